@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfield.llm import bpe, kdtree, repair, simhash
+from lumenfield.llm import bpe, byte_cnn, decontaminate, kdtree, longest_match, pivots, repair, simhash, toxicity
 from lumenfield.llm.tables import read
 from lumenfield.plans.scratch import new_path
 
@@ -26,15 +26,44 @@ def op4_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read(spark, path)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.identify(read(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op7_pivot_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longest_match.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, with the item that they hold most of."""
+    found = decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.filter("contaminated").select(
+        "doc_id", "contaminated", found["contaminating_item"].alias("item_id"), found["contamination"].alias("score")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_kdtree_shards": op3_kdtree_shards,
     "op4_repair_token_files": op4_repair_token_files,
+    "op5_language_id": op5_language_id,
+    "op6_toxicity": op6_toxicity,
+    "op7_pivot_near_duplicates": op7_pivot_near_duplicates,
+    "op8_token_counts": op8_token_counts,
     "op9_simhash": op9_simhash,
+    "op10_decontamination": op10_decontamination,
 }
 
 #: None of these methods can be put in SQL; tests/llm holds each against a brute-force version.
