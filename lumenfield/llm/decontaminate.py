@@ -240,8 +240,12 @@ def scores(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS, ro
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, max_words: int = MAX_WORDS) -> DataFrame:
-    """docs (all columns) with contaminated, item_id and score: the best item's."""
+    """docs (all columns) with contaminated, and contaminating_item and contamination of the best item.
+
+    Columns of these names are replaced.
+    """
     ship_package(docs.sparkSession)
+    docs = docs.drop("contaminated", "contaminating_item", "contamination")
     names = docs.columns
     numbered = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col("text"), F.monotonically_increasing_id().alias("rid"))
     numbered = materialize(numbered, "numbered")

@@ -35,6 +35,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenfield.llm.cache import Cache
 from lumenfield.llm.tables import pieces
@@ -331,13 +332,14 @@ def labelled(docs: DataFrame, labels: DataFrame, fold: Column, out: int, sample:
 
 
 def score(docs: DataFrame, model: Model | None, rows: int = 512) -> DataFrame:
-    """docs (all columns) with toxicity, between 0 and 1."""
+    """docs (all columns) with toxicity, between 0 and 1; a column of that name is replaced."""
     spark = docs.sparkSession
     ship_package(spark)
+    docs = docs.drop("toxicity")
     if model is None:
         return docs.withColumn("toxicity", F.lit(0.0))
     sent = spark.sparkContext.broadcast(model)
-    schema = docs.schema.add("toxicity", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
