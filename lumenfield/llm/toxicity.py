@@ -25,6 +25,7 @@ with repeated labels count as toxic if one label says so. Other columns are igno
 from __future__ import annotations
 
 import itertools
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -43,6 +44,8 @@ from lumenfield.session import ship_package
 
 ORDER, DECAY, CUT, LANDMARKS = 3, 0.6, 24, 48
 SAMPLE, TERMS, POOL, ROUNDS = 4000, 2000, 20_000, 3
+#: Expected marks by chance, which decides how many marked texts a mark needs.
+CHANCE = 0.1
 #: A mark's least length; the marked texts it has to explain, as a number and as a share of all;
 #: the share of them that a mark with no clean text needs; how often a clean text may hold it for each marked one; what a clean one counts against marked ones.
 STEM, SUPPORT, LEAST_SHARE, COMMON, IMPURE, PENALTY = 4, 3, 0.005, 0.02, 0.05, 8
@@ -222,6 +225,9 @@ def stems(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
     against: Counter[str] = Counter()
     for own in clean:
         against.update({x for w in own for k in range(STEM, len(w) + 1) if (x := w[:k]) in count})
+    # so few texts that chance would hardly find one mark among all candidates that only marked texts hold
+    base = len(toxic) / (len(toxic) + len(clean))
+    support = max(SUPPORT, math.ceil(math.log(CHANCE / max(1, len(count))) / math.log(base)))
     # as many clean texts as there would be if the classes were alike, at most a few hundredths of them
     count = Counter({x: n for x, n in count.items() if against[x] / max(1, len(clean)) <= IMPURE * n / len(toxic)})
     where: dict[str, list[int]] = {}
@@ -232,7 +238,7 @@ def stems(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
     out, open_texts = [], np.ones(len(toxic), bool)
     while count:
         best = max(count, key=lambda x: (count[x] - PENALTY * against[x], len(x), x))
-        if count[best] - PENALTY * against[best] < max(SUPPORT, LEAST_SHARE * len(toxic)):
+        if count[best] - PENALTY * against[best] < max(support, LEAST_SHARE * len(toxic)):
             break
         out.append(best)
         for k in where[best]:
@@ -242,7 +248,7 @@ def stems(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
                     if x in count:
                         count[x] -= 1
         count = +count
-    often = Counter({x: len(own) for x, own in where.items() if not against[x] and len(own) >= max(SUPPORT, COMMON * len(toxic))})
+    often = Counter({x: len(own) for x, own in where.items() if not against[x] and len(own) >= max(support, COMMON * len(toxic))})
     for x in sorted(often, key=lambda x: (-often[x], -len(x), x)):
         if not any(x.startswith(o) or o.startswith(x) for o in out):
             out.append(x)
