@@ -7,11 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenfield.llm import bpe, byte_cnn, decontaminate, kdtree, longest_match, pivots, repair, simhash, toxicity
+from lumenfield.llm import bpe, byte_cnn, decontaminate, kdtree, longest_match, pii, pivots, repair, simhash, toxicity
 from lumenfield.llm.tables import read
 from lumenfield.plans.scratch import new_path
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -55,6 +60,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_kdtree_shards": op3_kdtree_shards,
     "op4_repair_token_files": op4_repair_token_files,
