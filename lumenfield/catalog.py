@@ -1,11 +1,5 @@
 """All registered queries of the library's own operators, with their DuckDB SQL where it exists."""
 
-from __future__ import annotations
+from lumenfield.plans.queries import FLAGSHIP, ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
