@@ -7,11 +7,29 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfield.plans.scratch import materialize
+
+
+def global_index(df: DataFrame, order: list[Column | str], name: str = "index") -> DataFrame:
+    """Rows numbered from 0 in a total order, without bringing them into one task.
+
+    A range shuffle puts them in order; each partition numbers its own rows, and the sizes of the
+    partitions before, one row a partition, are added.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("m_", F.monotonically_increasing_id())
+    ordered = materialize(ordered, "ordered").withColumn("p_", F.shiftright("m_", 33))
+    sizes = ordered.groupBy("p_").agg(F.count(F.lit(1)).alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("p_", before.alias("o_"))
+    numbered = ordered.join(F.broadcast(offsets), "p_").withColumn(name, F.col("o_") + F.col("m_").bitwiseAND((1 << 33) - 1))
+    return numbered.drop("p_", "m_", "o_")
+
 
 def concat(parts: list[tuple[str, DataFrame]], order: list[str]) -> DataFrame:
     """Rows of all parts with dataset, local_index and global_index (local plus the sizes before)."""
     numbered = [
-        df.withColumns({"dataset": F.lit(name), "ordinal_": F.lit(k), "local_index": F.row_number().over(Window.orderBy(*order)) - 1})
+        global_index(df, order, "local_index").withColumns({"dataset": F.lit(name), "ordinal_": F.lit(k)})
         for k, (name, df) in enumerate(parts)
     ]
     all_ = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
@@ -31,8 +49,7 @@ def resize(df: DataFrame, key: str, size: int, seed: int = 0) -> DataFrame:
     total = df.count()
     if not total:
         return df.withColumn("position", F.lit(0).cast("long"))
-    order = Window.orderBy(F.xxhash64(F.col(key), F.lit(777 + seed)), key)
-    placed = df.withColumn("i_", F.row_number().over(order) - 1)
+    placed = global_index(df.withColumn("h_", F.xxhash64(F.col(key), F.lit(777 + seed))), ["h_", key], "i_").drop("h_")
     cycles = -(-size // total)
     out = placed.withColumn("c_", F.explode(F.sequence(F.lit(0), F.lit(max(0, cycles - 1)))))
     return out.withColumn("position", (F.col("c_") * total + F.col("i_")).cast("long")).filter(F.col("position") < size).drop("i_", "c_")
@@ -69,7 +86,7 @@ def shard_prune(df: DataFrame, shard: Column, begin: int, end: int) -> DataFrame
 def systematic(df: DataFrame, order: list[str], most: int) -> DataFrame:
     """Every ceil(n / most)-th row in order."""
     stride = max(1, -(-df.count() // most))
-    out = df.withColumn("i_", F.row_number().over(Window.orderBy(*order)) - 1)
+    out = global_index(df, order, "i_")
     return out.filter(F.pmod(F.col("i_"), F.lit(stride)) == 0).drop("i_")
 
 
@@ -90,8 +107,8 @@ def split_by_hash(df: DataFrame, key: str, share: float = 0.9, seed: int = 0) ->
 
 def batches(df: DataFrame, key: str, size: int, pool: int, seed: int) -> DataFrame:
     """Full batches of a shuffled table: batch, and feature, the same within a batch."""
-    order = Window.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    out = df.withColumn("batch", F.floor((F.row_number().over(order) - 1) / size)).filter(F.col("batch") < df.count() // size)
+    out = global_index(df.withColumn("h_", F.xxhash64(F.col(key), F.lit(seed))), ["h_", key], "i_")
+    out = out.withColumn("batch", F.floor(F.col("i_") / size)).filter(F.col("batch") < df.count() // size).drop("h_", "i_")
     return out.withColumn("feature", F.pmod(F.xxhash64("batch", F.lit(seed)), F.lit(pool)))
 
 
@@ -106,7 +123,7 @@ def margin_best(df: DataFrame, group: str, ident: str, score: str, share: float
 
 def renumber(df: DataFrame, order: list[Column | str], prefix: str = "object_") -> DataFrame:
     """object_id by order, from object_0001 on."""
-    return df.withColumn("object_id", F.format_string(prefix + "%04d", F.row_number().over(Window.orderBy(*order))))
+    return global_index(df, order, "i_").withColumn("object_id", F.format_string(prefix + "%04d", F.col("i_") + 1)).drop("i_")
 
 
 def latest(df: DataFrame, key: str, sequence: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfield.operators.datasets import global_index
+
 
 def finite(c: str | Column) -> Column:
     c = F.col(c) if isinstance(c, str) else c
@@ -74,10 +76,10 @@ def sparsification(df: DataFrame, error: str, uncertainty: str, key: str, steps:
 
     Rows are counted and summed by percentile bins; the curve is a running sum over the bins.
     """
-    total = df.agg(F.count(F.lit(1)).alias("n_"), F.sum(error).alias("s_"))
-    ranked = df.select(error, F.row_number().over(Window.orderBy(F.desc(uncertainty), key)).alias("r_"))
-    bins = ranked.crossJoin(F.broadcast(total)).withColumn("step", F.floor((F.col("r_") - 1) * steps / F.col("n_")))
-    sums = bins.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.sum(error).alias("s"), F.first("n_").alias("n_"), F.first("s_").alias("s_"))
+    ranked = global_index(df.select(error, uncertainty, key), [F.desc(uncertainty), key], "r_")
+    total = df.agg(F.count(F.lit(1)).alias("n"), F.sum(error).alias("s")).first()
+    bins = ranked.withColumn("step", F.floor(F.col("r_") * steps / F.lit(max(total["n"], 1))))
+    sums = bins.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.sum(error).alias("s"), F.lit(total["n"]).alias("n_"), F.lit(total["s"]).alias("s_"))
     left = Window.orderBy("step").rowsBetween(0, Window.unboundedFollowing)
     return sums.select("step", (F.sum("s").over(left) / F.sum("n").over(left) / (F.col("s_") / F.col("n_"))).alias("ratio"))
 

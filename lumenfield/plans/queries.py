@@ -429,12 +429,12 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "set_iou_novelty",
-    """WITH s AS (SELECT DISTINCT l_suppkey AS id, l_partkey AS x FROM lineitem WHERE l_suppkey < 60), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+    """WITH s AS (SELECT DISTINCT l_suppkey AS id, l_partkey AS x FROM lineitem), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
     p AS (SELECT a.id AS a, b.id AS b, count(*) AS i FROM s a JOIN s b ON a.x = b.x AND a.id != b.id GROUP BY 1, 2), u AS (SELECT p.a, i / (x.n + y.n - i) AS iou FROM p JOIN n x ON x.id = p.a JOIN n y ON y.id = p.b)
     SELECT n.id AS id, (SELECT count(*) FROM u WHERE u.a = n.id AND iou >= 0.2) AS connected, round(1 - coalesce((SELECT max(iou) FROM u WHERE u.a = n.id), 0), 6) AS novelty FROM n""",
 )
 def set_iou_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = table(spark, sf_dir, "lineitem").filter("l_suppkey < 60").groupBy("l_suppkey").agg(F.collect_set("l_partkey").alias("m"))
+    sets = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.collect_set("l_partkey").alias("m"))
     return selection.novelty(sets, sets, "l_suppkey", "m").withColumn("novelty", r6("novelty"))
 
 
@@ -510,7 +510,7 @@ def best_second_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("greedy_pool")
 def greedy_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").filter("l_suppkey < 60").groupBy("l_linenumber", "l_suppkey")
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_linenumber", "l_suppkey")
     views = rows.agg(F.avg("l_discount").alias("rel"), F.collect_set("l_partkey").alias("m"))
     return selection.select_views(views, "l_linenumber", "l_suppkey", "rel", "m", 10)
 
@@ -529,7 +529,7 @@ def farthest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("hungarian_matches")
 def hungarian_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _points(spark, sf_dir).filter("vec_id < 300")
+    p = _points(spark, sf_dir)
     pairs = p.filter("vec_id % 2 = 0").alias("a").join(p.filter("vec_id % 2 = 1").alias("b"), F.col("a.label") == F.col("b.label"))
     worth = F.greatest(F.lit(0.0), 1 - F.abs(F.col("a.x") - F.col("b.x")) * 5)
     return selection.matched_instances(pairs.select(F.col("a.label").alias("label"), F.col("a.vec_id").alias("gt"), F.col("b.vec_id").alias("pred"), worth.alias("iou")), "label")
@@ -571,14 +571,14 @@ def frustum_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "running_confusion",
-    """WITH d AS (SELECT l_orderkey AS k, sum((l_linestatus = 'F' AND l_quantity > 25)::INT) AS i, sum((l_linestatus = 'F' OR l_quantity > 25)::INT) AS u FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1)
-    SELECT k, round(sum(i) OVER w / greatest(sum(u) OVER w, 1), 6) AS iou FROM d WINDOW w AS (ORDER BY k ROWS UNBOUNDED PRECEDING)""",
+    """WITH d AS (SELECT l_returnflag AS f, l_orderkey AS k, sum((l_linestatus = 'F' AND l_quantity > 25)::INT) AS i, sum((l_linestatus = 'F' OR l_quantity > 25)::INT) AS u FROM lineitem GROUP BY 1, 2)
+    SELECT f, k, round(sum(i) OVER w / greatest(sum(u) OVER w, 1), 6) AS iou FROM d WINDOW w AS (PARTITION BY f ORDER BY k ROWS UNBOUNDED PRECEDING)""",
 )
 def running_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, g = F.col("l_linestatus") == "F", F.col("l_quantity") > 25
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey < 2000").groupBy(F.col("l_orderkey").alias("k")).agg(F.count_if(p & g).alias("i"), F.count_if(p | g).alias("u"))
-    w = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("k", r6(F.sum("i").over(w) / F.greatest(F.sum("u").over(w), F.lit(1))).alias("iou"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("f"), F.col("l_orderkey").alias("k")).agg(F.count_if(p & g).alias("i"), F.count_if(p | g).alias("u"))
+    w = Window.partitionBy("f").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("f", "k", r6(F.sum("i").over(w) / F.greatest(F.sum("u").over(w), F.lit(1))).alias("iou"))
 
 
 @query(
