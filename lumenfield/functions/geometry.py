@@ -27,7 +27,8 @@ def array_norm(a: C, n: int) -> Column:
 
 
 def normalize(a: C, n: int) -> Column:
-    return F.array(*[x / array_norm(a, n) for x in cells(a, n)])
+    size = array_norm(a, n)
+    return F.transform(F.slice(_c(a), 1, n), lambda x: x.cast("double") / size)
 
 
 def quaternion_multiply(a: C, b: C) -> Column:
@@ -59,15 +60,15 @@ def matrix_to_quaternion(a: C) -> Column:
     size = [F.sqrt(F.greatest(1 + t, F.lit(0.0))) * 2 for t in four]
     a_, b_, c_ = m[7] - m[5], m[2] - m[6], m[3] - m[1]
     xy, xz, yz = m[1] + m[3], m[2] + m[6], m[5] + m[7]
+    sign = lambda x: F.when(x < 0, -1.0).otherwise(1.0)
     made = [
         F.array(size[0] / 4, a_ / size[0], b_ / size[0], c_ / size[0]),
-        F.array(a_ / size[1], size[1] / 4, xy / size[1], xz / size[1]),
-        F.array(b_ / size[2], xy / size[2], size[2] / 4, yz / size[2]),
-        F.array(c_ / size[3], xz / size[3], yz / size[3], size[3] / 4),
+        F.array(F.abs(a_) / size[1], sign(a_) * size[1] / 4, sign(a_) * xy / size[1], sign(a_) * xz / size[1]),
+        F.array(F.abs(b_) / size[2], sign(b_) * xy / size[2], sign(b_) * size[2] / 4, sign(b_) * yz / size[2]),
+        F.array(F.abs(c_) / size[3], sign(c_) * xz / size[3], sign(c_) * yz / size[3], sign(c_) * size[3] / 4),
     ]
     most = F.greatest(*four)
-    pick = F.when(four[0] == most, made[0]).when(four[1] == most, made[1]).when(four[2] == most, made[2]).otherwise(made[3])
-    return F.transform(pick, lambda x: F.when(pick[0] < 0, -x).otherwise(x))
+    return F.when(four[0] == most, made[0]).when(four[1] == most, made[1]).when(four[2] == most, made[2]).otherwise(made[3])
 
 
 def slerp(a: C, b: C, t: Column) -> Column:
@@ -225,12 +226,8 @@ def color_of(ident: Column) -> Column:
 
 
 def resize_resolution(width: int, height: int, most: int = 250_000, divisor: int = 14) -> tuple[int, int]:
-    """The size nearest to an image's shape with sides of whole divisors and at most so many pixels."""
-    scale = min(1.0, math.sqrt(most / (width * height)))
-    w, h = max(1, round(width * scale / divisor)), max(1, round(height * scale / divisor))
-    while w * h * divisor * divisor > most:
-        if w / h > width / height:
-            w -= 1
-        else:
-            h -= 1
+    """The widest size in whole divisors, its height rounded to the image's shape, of at most so many pixels."""
+    tiles = most / divisor**2
+    sizes = ((w, max(1, round(w * height / width))) for w in range(int(math.isqrt(most * width // height)) // divisor, 0, -1))
+    w, h = next((s for s in sizes if s[0] * s[1] <= tiles), (1, 1))
     return w * divisor, h * divisor
