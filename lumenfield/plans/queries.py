@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfield.functions import geometry, masks
-from lumenfield.operators import alignment, datasets, evaluation, selection, temporal, vectors
+from lumenfield.operators import alignment, datasets, evaluation, fusion, inertial, selection, temporal, vectors
 from lumenfield.operators.components import connected_components
 from lumenfield.session import ship_package
 
@@ -589,3 +589,67 @@ def meter_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name")).agg(
         F.count("value").alias("n"), F.round(F.sum("value"), 4).alias("total"), r6(F.avg("value")).alias("global_avg"), F.max_by("value", "event_id").alias("last")
     )
+
+
+@query(
+    "voxel_fusion",
+    f"""SELECT floor(x / 0.05)::BIGINT AS vx, floor(y / 0.05)::BIGINT AS vy, floor(z / 0.05)::BIGINT AS vz, round(sum(label * (vec_id % 3 + 1)) / sum(vec_id % 3 + 1), 6) AS value,
+    sum(vec_id % 3 + 1)::DOUBLE AS weight FROM {_POINT} GROUP BY 1, 2, 3 HAVING sum(vec_id % 3 + 1) >= 2""",
+)
+def voxel_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _points(spark, sf_dir).select("x", "y", "z", F.col("label").cast("double").alias("value"), (F.col("vec_id") % 3 + 1).cast("double").alias("w"))
+    return fusion.voxel_fuse(rows, [], "value", "w", 0.05, 2.0).withColumn("value", r6("value"))
+
+
+@query(
+    "scene_scale",
+    "WITH p AS " + _POINT + """ SELECT label, round(sqrt((quantile_cont(x, 0.95) - quantile_cont(x, 0.05)) ** 2 + (quantile_cont(y, 0.95) - quantile_cont(y, 0.05)) ** 2
+    + (quantile_cont(z, 0.95) - quantile_cont(z, 0.05)) ** 2), 6) AS scale FROM p GROUP BY label""",
+)
+def scene_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.scene_scale(_points(spark, sf_dir), ["label"]).withColumn("scale", r6("scale"))
+
+
+@query("normalisation_factor", "SELECT label, round(least(greatest(avg(sqrt(x * x + y * y + z * z)), 0.001), 1000), 6) AS factor FROM " + _POINT + " GROUP BY label")
+def normalisation_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.normalisation(_points(spark, sf_dir), ["label"]).withColumn("factor", r6("factor"))
+
+
+@query(
+    "median_centre",
+    "WITH p AS " + _POINT + """, c AS (SELECT label, median(x) AS cx, median(y) AS cy, median(z) AS cz FROM p GROUP BY label)
+    SELECT c.label AS label, round(cx, 6) AS cx, round(cy, 6) AS cy, round(cz, 6) AS cz, round(median(sqrt((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2)), 6) AS scale FROM p JOIN c ON p.label = c.label GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY c.label, cx, cy, cz"),
+)
+def median_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.median_centre(_points(spark, sf_dir), ["label"]).select("label", *[r6(c).alias(c) for c in ("cx", "cy", "cz", "scale")])
+
+
+@query("masked_mean", "SELECT event_type, round(coalesce(sum(value * (value > 50)::INT) / nullif(sum((value > 50)::INT), 0), 0), 6) AS mean, sum((value > 50)::INT) > 0 AS valid FROM events GROUP BY event_type")
+def masked_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("m", F.col("value") > 50)
+    return fusion.masked_mean(rows, ["event_type"], "value", "m").withColumn("mean", r6("mean"))
+
+
+@query(
+    "depth_statistics",
+    """SELECT event_type, round(quantile_cont(value, 0.01), 6) AS p1, round(quantile_cont(value, 0.99), 6) AS p99, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std,
+    1.0::DOUBLE AS valid_ratio FROM events WHERE value > 0 GROUP BY event_type""",
+)
+def depth_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fusion.depth_statistics(table(spark, sf_dir, "events"), ["event_type"], "value")
+    return out.select("event_type", *[r6(c).alias(c) for c in ("p1", "p99", "mean", "std", "valid_ratio")])
+
+
+@query("support_episodes")
+def support_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.episodes(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id", "label", 5, 1)
+
+
+@query("inertial_tracks")
+def inertial_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as inertial samples, a series for each user."""
+    rows = events(spark, sf_dir).select(
+        F.col("user_id").alias("series"), (F.col("t") / 1000).alias("ts"), F.lit(0.0).alias("acc_x"), (F.col("value") / 100).alias("acc_y"), F.lit(9.81).alias("acc_z"),
+        (F.col("value") / 1e9).alias("gyro_x"), F.lit(0.0).alias("gyro_y"), F.lit(0.0).alias("gyro_z"),
+    )
+    return inertial.track(rows, "series")
