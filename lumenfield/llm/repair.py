@@ -14,8 +14,11 @@ columns are ignored. A worker holds one block and one slice of texts.
 
 from __future__ import annotations
 
+import os
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,12 +35,16 @@ from lumenfield.session import ship_package
 BLOCK = 1 << 20
 #: Rules a round, rounds, occurrences a pair needs, and the share of symbols a round must save to go on.
 RULES, ROUNDS, LEAST, SAVING = 3000, 8, 6, 0.005
+#: Slots of the table of a round's pairs, in bits.
+_BITS = 18
 _HEAD = struct.Struct("<4sIIIIQ")
 _MAGIC = b"RPG1"
 
 
 class Encoder:
     def __init__(self, path: str):
+        # a worker has one core; the library's own threads would only wait for each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -49,7 +56,9 @@ class Encoder:
 
     def _encode(self, keys: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([unit(k) for k in keys], add_special_tokens=False)
-        return [np.array(x.ids, "<u2").tobytes() for x in found]
+        if sys.byteorder == "big":
+            return [np.array(x.ids, "<u2").tobytes() for x in found]
+        return [array("H", x.ids).tobytes() for x in found]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 16-bit integers."""
@@ -61,6 +70,10 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _hash(pairs: np.ndarray) -> np.ndarray:
+    return (pairs * np.uint32(2654435761)) >> np.uint32(32 - _BITS)
+
+
 def _frequent(pairs: np.ndarray, most: int, least: int) -> np.ndarray:
     """The most frequent values, at least so often, in ascending order."""
     if not len(pairs):
@@ -90,12 +103,20 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int) -> bytes:
         chosen = _frequent(pairs[inside], room, LEAST)
         if not len(chosen):
             break
-        slot = np.minimum(np.searchsorted(chosen, pairs), len(chosen) - 1)
-        hit = inside & (chosen[slot] == pairs)
-        place = np.arange(len(hit))
-        run = np.maximum.accumulate(np.where(hit, -1, place)) + 1  # where the run of hits around a hit began
-        hit &= (place - run) % 2 == 0
+        # pairs are looked up in a table by hash; of those that fall together one waits for another round
+        table = np.zeros(1 << _BITS, np.uint16)
+        table[_hash(chosen)] = np.arange(len(chosen))
+        chosen = chosen[np.unique(table[_hash(chosen)])]
+        table[:] = len(chosen)
+        table[_hash(chosen)] = np.arange(len(chosen))
+        slot = table[_hash(pairs)]
+        hit = np.append(chosen, np.uint32(0))[slot] == pairs
+        hit &= inside & (slot < len(chosen))
         at = np.flatnonzero(hit)
+        # of hits in a row every second is taken, from the first on
+        fresh = np.concatenate(([True], at[1:] != at[:-1] + 1))
+        begin = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+        at = at[(np.arange(len(at)) - begin) % 2 == 0]
         symbols[at] = base + rules + slot[at]
         last[at] |= last[at + 1]
         keep = np.ones(len(symbols), bool)
