@@ -40,10 +40,11 @@ from pyspark.sql import types as T
 
 from lumenfield.llm.cache import Cache
 from lumenfield.llm.tables import pieces
+from lumenfield.plans.scratch import materialize
 from lumenfield.session import ship_package
 
 ORDER, DECAY, CUT, LANDMARKS = 3, 0.6, 24, 48
-SAMPLE, TERMS, POOL, ROUNDS = 4000, 2000, 20_000, 3
+SAMPLE, TERMS, POOL, ROUNDS = 3000, 2000, 20_000, 3
 #: Expected marks by chance, which decides how many marked texts a mark needs.
 CHANCE = 0.1
 #: A mark's least length; the marked texts it has to explain, as a number and as a share of all;
@@ -219,7 +220,9 @@ def stems(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
     no clean one. Copies of a marked text count once.
     """
     toxic = _apart(toxic)
-    held = [{w[:k] for w in own for k in range(STEM, len(w) + 1)} for own in toxic]
+    share: dict[str, str] = {}
+    held = [{share.setdefault(x := w[:k], x) for w in own for k in range(STEM, len(w) + 1)} for own in toxic]
+    del share
     count = Counter(x for own in held for x in own)
     count = Counter({x: n for x, n in count.items() if n >= SUPPORT})
     against: Counter[str] = Counter()
@@ -279,8 +282,10 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     """A model of labelled texts (text, 1 or 0)."""
     rng = np.random.default_rng(SEED)
     held: list[list[set[str]]] = [[], []]
+    share: dict[str, str] = {}  # texts hold the same strings again and again; one object stands for all
     for text, toxic in rows:
-        held[int(toxic)].append({c for s in sentences(text) for w in s for c in windows(w) if len(c) >= ORDER})
+        held[int(toxic)].append({share.setdefault(c, c) for s in sentences(text) for w in s for c in windows(w) if len(c) >= ORDER})
+    del share
     clean, toxic = held
     if not clean or not toxic:
         return None
@@ -324,17 +329,20 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
 
 def labelled(docs: DataFrame, labels: DataFrame, fold: Column, out: int, sample: int = SAMPLE) -> list[tuple[str, int]]:
     """A bounded sample of labelled texts of the folds to learn from: at most LONGEST characters of each."""
-    marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    pool = (
-        docs.filter(F.col("text").isNotNull() & (fold != out))
-        .select("doc_id", "text")
-        .join(marks, "doc_id")
-        .select(F.col("text").substr(1, LONGEST).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic"), F.xxhash64("doc_id", "text").alias("key"))
-    )
-    got = []
-    for k in (0, 1):
-        got += [(r["text"], k) for r in pool.filter(F.col("toxic") == k).orderBy("key", "text").limit(sample).toLocalIterator()]
-    return got
+    marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max(F.col("toxic").cast("int")) > 0).cast("int").alias("toxic"))
+    key = F.xxhash64("doc_id")
+    pool = docs.filter(F.col("text").isNotNull() & (fold != out)).select("doc_id").distinct().join(marks, "doc_id").withColumn("key", key)
+    # ids and marks are joined and cut to the sample first; texts are then fetched for it alone
+    some = [pool.filter(F.col("toxic") == k).orderBy("key", "doc_id").limit(sample) for k in (0, 1)]
+    chosen = materialize(some[0].unionByName(some[1]), "sample")
+    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", F.col("text").substr(1, LONGEST).alias("text"))
+    # at most twice the sample's rows are broadcast
+    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy("key", "text").select("text", "toxic").toLocalIterator()
+    got: list[list[str]] = [[], []]
+    for r in rows:
+        if len(got[r["toxic"]]) < sample:
+            got[r["toxic"]].append(r["text"])
+    return [(text, k) for k in (0, 1) for text in got[k]]
 
 
 def score(docs: DataFrame, model: Model | None, rows: int = 512) -> DataFrame:
