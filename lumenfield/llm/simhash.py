@@ -221,7 +221,8 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
         F.expr("(cast(q as long) << 37) | (rest & ~shiftleft(1L, q))").alias("k2"),
     )
     within = (
-        finer.filter("fine = 4294967295")
+        # pairs that share the value itself meet under wildcard 0; neighbours of a crowded value may have lost it too
+        finer.filter("fine & 1 = 1")
         .withColumn("p", one)
         .withColumn("q", one)
         .filter("p < q")

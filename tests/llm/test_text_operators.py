@@ -181,6 +181,18 @@ def test_simhash_components(spark, hot):
     assert [got.get(p, p) for p in signed] == want
 
 
+@pytest.mark.parametrize("segment", [0, 1])
+def test_simhash_neighbours_of_a_crowded_segment(spark, segment):
+    """Two fingerprints beside a crowded value share their segment and differ in 2 bits of the other one."""
+    v, rest = 0x12345678, 0x0F1E2D3C
+    halves = [(v, x) for x in (0x11112222, 0x84848484, 0xFEDCBA98, 0x7A7A0505)] + [(v ^ 1, rest), (v ^ 1, rest ^ 0b101000)]
+    prints = [own << 32 | other if segment == 0 else other << 32 | own for own, other in halves]
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    assert brute_components(prints, list(range(6))) == [0, 1, 2, 3, 4, 4]
+    pairs = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), 3).collect()
+    assert {frozenset((r["a"], r["b"])) for r in pairs} == {frozenset(signed[4:])}
+
+
 def test_simhash_documents(spark, sf_dir, odd, none):
     rows = sorted(documents(spark, sf_dir))
     got = {r["doc_id"]: r for r in queries.op9_simhash(spark, sf_dir).collect()}
