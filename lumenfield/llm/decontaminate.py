@@ -4,10 +4,12 @@ Words are the runs of a text that are left when ASCII punctuation and white spac
 and A-Z are lowered. Every SEED consecutive words of a test item are a seed. Documents are scanned
 for seeds whole, and a seed is rare if at most a share RARE of all documents, or FEW documents, hold
 it, or if it is in the rarer half of an item's seeds, so that a passage that very many documents
-hold is found in all of them. Other seeds say nothing and are not used, for any document. Where a document holds rare seeds of
+hold is found in all of them. Where a document holds rare seeds of
 an item, the passage around them, with the item's length before and after, is aligned to the item
-by Smith-Waterman on words: MATCH for equal words, MISMATCH and GAP otherwise. An item's score in a
-document is the best alignment's score over that of the item with itself, between 0 and 1. A document
+by Smith-Waterman on words: MATCH for equal words, MISMATCH and GAP otherwise. The passage around
+other, common seeds is aligned too unless its words and the item's show that no alignment in it can
+reach the least score asked for, so commonness hides no contaminated document; only scores under that
+may be missing. An item's score in a document is the best alignment's score over that of the item with itself, between 0 and 1. A document
 is contaminated if an item of MIN_WORDS words or more reaches LEAST. Items with fewer words than a
 seed are compared as one seed of their own length; their score is then 1 if found.
 
@@ -85,7 +87,7 @@ class Items:
         return key
 
     def rare(self, frequency: np.ndarray, most: int) -> np.ndarray:
-        """Whether each seed is used: if it is rare, or in the rarer half of some item's seeds."""
+        """Whether a seed's passages are aligned in any case: if it is rare, or in the rarer half of some item's seeds."""
         usable = frequency <= most
         for row in self.rows:
             own = np.searchsorted(self.seeds, self.keys(row))
@@ -132,6 +134,28 @@ def smith_waterman(passages: list[np.ndarray], items: list[np.ndarray]) -> np.nd
     return best
 
 
+def _most(own: np.ndarray) -> int:
+    """The highest sum of a stretch of words, where a word counts MATCH or, if it has no equal, the least cost."""
+    total = np.cumsum(np.where(own, MATCH, max(MISMATCH, GAP)))
+    return int((total - np.minimum.accumulate(np.concatenate(([0], total)))[:-1]).max(initial=0))
+
+
+def _could(passage: np.ndarray, item: np.ndarray, known: np.ndarray, need: float) -> bool:
+    """Whether an alignment might score `need`: a word on either side matches only if the other side has it.
+
+    known is scratch space, false for every word number.
+    """
+    known[item] = True
+    some = _most(known[passage]) >= need
+    known[item] = False
+    if some:
+        known[passage] = True
+        known[0] = False
+        some = _most(known[item]) >= need
+        known[passage] = False
+    return some
+
+
 def _regions(places: np.ndarray, length: int, end: int) -> list[tuple[int, int]]:
     """Passages of a document around an item's seeds; those that overlap are one, split when long."""
     spans: list[list[int]] = []
@@ -170,9 +194,10 @@ def _holds(row: np.ndarray, item: np.ndarray) -> bool:
     return n > 0 and bool(np.logical_and.reduce([row[k : k + n] == w for k, w in enumerate(item)]).any())
 
 
-def _aligned(hits: DataFrame, items: object, rare: object) -> DataFrame:
+def _aligned(hits: DataFrame, items: object, rare: object, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, usable = items.value, rare.value
+        known = np.zeros(own.base, bool)
         for batch in batches:
             out: dict[tuple[int, int], float] = {}
             jobs = []
@@ -181,13 +206,17 @@ def _aligned(hits: DataFrame, items: object, rare: object) -> DataFrame:
                 seeds, places, row = (np.array(x.values) for x in (seeds, places, row))
                 for k in (-1 - seeds[seeds < 0]).tolist():
                     out[rid, k] = 1.0
-                at: dict[int, list[int]] = {}
+                at: dict[int, tuple[list[int], list[int]]] = {}
                 for seed, place in zip(seeds.tolist(), places.tolist(), strict=False):
-                    if usable[seed]:
-                        for k, _ in own.places[seed]:
-                            at.setdefault(k, []).append(place)
+                    for k, _ in own.places[seed]:
+                        at.setdefault(k, ([], []))[0 if usable[seed] else 1].append(place)
                 for k, found in at.items():
-                    jobs += [(rid, k, row[a:b]) for a, b in _regions(np.array(found), len(own.rows[k]), len(row))]
+                    item = own.rows[k]
+                    sure, more = (_regions(np.array(x, np.int64), len(item), len(row)) for x in found)
+                    jobs += [(rid, k, row[a:b]) for a, b in sure]
+                    for a, b in more:
+                        if not any(lo <= a and b <= hi for lo, hi in sure) and _could(row[a:b], item, known, least * MATCH * len(item)):
+                            jobs.append((rid, k, row[a:b]))
             jobs.sort(key=lambda x: (len(x[2]), len(own.rows[x[1]])))
             for first in range(0, len(jobs), 256):
                 some = jobs[first : first + 256]
@@ -218,8 +247,8 @@ def _parts(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
     yield held
 
 
-def scores(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS, rows: int = 512) -> DataFrame:
-    """(rid, item_id, n_words, score): items that documents (columns rid, text) hold passages of."""
+def scores(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS, rows: int = 512, least: float = LEAST) -> DataFrame:
+    """(rid, item_id, n_words, score): items that documents (columns rid, text) hold passages of; all scores of `least` or more."""
     spark = docs.sparkSession
     total = docs.count()
     most = max(FEW, int(RARE * total))
@@ -234,7 +263,7 @@ def scores(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS, ro
         for row in held.filter((F.col("n") > most) & (F.col("seed") >= 0)).toLocalIterator():
             frequency[row["seed"]] = row["n"]
         usable = items.rare(frequency, most)
-        some = _aligned(hits, sent, spark.sparkContext.broadcast(usable))
+        some = _aligned(hits, sent, spark.sparkContext.broadcast(usable), least)
         found = some if found is None else found.unionByName(some)
     return found
 
@@ -249,7 +278,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, m
     names = docs.columns
     numbered = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col("text"), F.monotonically_increasing_id().alias("rid"))
     numbered = materialize(numbered, "numbered")
-    found = scores(numbered.select("rid", "text"), benchmark, max_words).filter(F.col("n_words") >= MIN_WORDS)
+    found = scores(numbered.select("rid", "text"), benchmark, max_words, least=least).filter(F.col("n_words") >= MIN_WORDS)
     best = found.groupBy("rid").agg(F.max(F.struct("score", (-F.col("item_id")).alias("item"))).alias("b"))
     best = best.select(F.col("rid").alias("hit"), F.col("b.score").alias("best_score"), (-F.col("b.item")).alias("best_item"))
     return numbered.join(best, F.col("rid") == F.col("hit"), "left").select(

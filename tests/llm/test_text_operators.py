@@ -246,6 +246,32 @@ def test_contamination_planted(spark, none):
     assert decontaminate.decontaminate(none, bench).count() == 0
 
 
+def test_contamination_by_common_seeds_alone(spark):
+    """Half of an item is a passage that many documents share; nothing else of it is anywhere."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    item = [word() for _ in range(100)]
+    text = lambda n, more: " ".join([*(word() for _ in range(40)), *item[:n], *more, *(word() for _ in range(40))])
+    # the rest with every third word kept has no seed
+    kept = [w if k % 3 else word() for k, w in enumerate(item[51:])]
+    texts = [text(51, []) for _ in range(30)] + [text(51, kept) for _ in range(10)] + [text(49, []) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert [k for k in range(70) if got[k]["contaminated"]] == list(range(40))
+    assert all(got[k]["contamination"] == 0.51 for k in range(30)) and all(got[k]["contamination"] > 0.6 for k in range(30, 40))
+
+
+def test_alignments_stay_under_their_bound():
+    rng = np.random.default_rng(13)
+    known = np.zeros(9, bool)
+    for _ in range(300):
+        p, q = rng.integers(0, 9, rng.integers(1, 30)), rng.integers(1, 9, rng.integers(1, 15))
+        score = decontaminate.smith_waterman([p], [q])[0]
+        assert decontaminate._could(p, q, known, score) and not known.any()
+    assert not decontaminate._could(np.array([1, 0, 0, 2]), np.array([1, 2, 3]), known, 4)
+
+
 # op1
 
 
