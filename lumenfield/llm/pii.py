@@ -8,8 +8,8 @@ separators), each labelled with its kind. It reads overlapping windows of a text
 decoded by the CRF, and the spans of all windows are reconciled for the text as a whole: those cut
 by a window's inner edge are left to the window that has them whole, and of spans that overlap, the
 set with the highest total confidence stays. Base spans always stay, and what the network adds has
-to touch none of them, to hold a digit or an @ sign, to be plausible for its kind and to be sure.
-Windows with neither a digit nor an @ sign could therefore add nothing and are not computed.
+to touch none of them, to hold a digit, an @ sign or a bracketed "at", to be plausible for its kind
+and to be sure. Windows with none of these could therefore add nothing and are not computed.
 
 Offsets are code points, ends exclusive. Null texts are empty; empty texts have no spans. Repeated
 rows and null doc_ids each keep their row. Other columns are ignored. Where the sample has no span at
@@ -40,7 +40,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+#: What stands between an address' parts, and what an added span holds at least.
+_AT = re.compile(r"@|[\[(]\s*at\s*[\])]", re.IGNORECASE)
+_TRIGGER = re.compile(rf"[0-9]|{_AT.pattern}", re.IGNORECASE)
 
 
 def emails(text: str) -> list[Span]:
@@ -290,7 +292,7 @@ def examples(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             near = [(x - a + len(around), y - a + len(around), k) for x, y, k in spans if y <= a and x >= a - len(around)]
             add(around + new + text[b : b + WINDOW].split("@")[0], [*near, (len(around), len(around) + len(new), kind)], len(around))
         inside = {k for a, b, _ in spans for k in range(a, b)}
-        others = [m.start() for m in _TRIGGER.finditer(text) if m.start() not in inside]
+        others = [m.start() for m in re.finditer("[0-9@]", text) if m.start() not in inside]
         for at in others[:: max(1, len(others) // 3)][:3]:
             add(text, spans, at)
         add(text, spans, int(rng.integers(len(text))))
@@ -318,7 +320,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, around: int = 4000) -> Tagger | N
 def _plausible(value: str, kind: str) -> bool:
     digits = len(_DIGITS.findall(value))
     if kind == "email":
-        return "@" in value and "." in value and len(value) >= 7
+        return bool(_AT.search(value)) and "." in value and len(value) >= 7
     if kind == "ip":
         return 4 <= digits <= 12 and value.count(".") == 3
     if kind == "card":

@@ -346,6 +346,20 @@ def test_network_finds_what_patterns_miss():
     assert not own and all(k == "phone" for _, _, k in all_)
 
 
+def test_network_finds_addresses_with_a_bracketed_at():
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8)))
+    line = lambda v: " ".join([*(word() for _ in range(20)), v, *(word() for _ in range(20))])
+    model = pii.Tagger().train(*pii.examples([line(f"{word()}.{word()}@mail.{word()}.com") for _ in range(250)]))
+    for sign in (" (at) ", " [at] "):
+        values = [f"jane.doe{sign}mail.example.com", *(f"{word()}.{word()}{sign}mail.{word()}.com" for _ in range(30))]
+        texts = [line(v) for v in values]
+        got = [[text[a:b] for a, b, kind in all_ if kind == "email"] for text, (_, all_) in zip(texts, pii.spans(texts, model), strict=True)]
+        assert got[0] == values[:1] and sum(v in found for v, found in zip(values, got, strict=True)) >= 25
+        assert pii.redacted(f"write {values[0]} now", [(6, 6 + len(values[0]), "email")]) == "write [EMAIL] now"
+    assert not pii._plausible("a.word (attic) b.word", "email") and pii._plausible("jane.doe [ AT ] mail.org", "email")
+
+
 # op5 and op6
 
 
