@@ -6,7 +6,8 @@ labelled spans: the base spans of a bounded sample of documents, as they are and
 that the patterns miss (an email with a bracketed "at", a phone without its plus, a card with other
 separators), each labelled with its kind. It reads overlapping windows of a text; every window is
 decoded by the CRF, and the spans of all windows are reconciled for the text as a whole: those cut
-by a window's inner edge are left to the window that has them whole, and of spans that overlap, the
+by a window's inner edge are left to the window that has them whole; what may be too long for that is
+read again in a window of its own, whole up to LONGEST characters. Of spans that overlap, the
 set with the highest total confidence stays. Base spans always stay, and what the network adds has
 to touch none of them, to hold a digit, an @ sign or a bracketed "at", to be plausible for its kind
 and to be sure. Windows with none of these could therefore add nothing and are not computed.
@@ -98,6 +99,8 @@ SHORT = 64
 SURE = 0.9
 #: A span this near to a window's inner edge is taken from the next window.
 EDGE = 4
+#: Characters up to which a span is sure to be read whole: the longest address there may be.
+LONGEST = 254
 
 
 def codes(text: str) -> np.ndarray:
@@ -346,36 +349,50 @@ def _best(spans: list[tuple[int, int, str, float]]) -> list[Span]:
     return out[::-1]
 
 
-def network_spans(texts: list[str], model: Tagger, step: int = 256) -> list[list[Span]]:
-    """What the network finds in each text, all windows reconciled."""
-    jobs = []
-    for k, text in enumerate(texts):
-        last = -1
-        for m in _TRIGGER.finditer(text):
-            # the windows that have this character: they begin at multiples of the stride
-            for w in range(max(last + 1, -(-(m.start() - WINDOW + 1) // STRIDE)), m.start() // STRIDE + 1):
-                jobs.append((k, w * STRIDE))
-                last = w
-    found: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
+def _read(texts: list[str], model: Tagger, jobs: list[tuple[int, int]], wide: int, step: int) -> Iterator[tuple[int, int, int, int, str, float]]:
+    """Spans in windows (text, start): text, start, the span's begin and end in the window, kind, confidence."""
     for at in range(0, len(jobs), step):
         some = jobs[at : at + step]
-        em = model.emissions(np.stack([codes(texts[k][a : a + WINDOW].ljust(WINDOW)) for k, a in some]))
+        em = model.emissions(np.stack([codes(texts[k][a : a + wide].ljust(wide)) for k, a in some]))
         tags, sure = model.viterbi(em), model.marginals(em)
         for r, (k, a) in enumerate(some):
             own, t = tags[r], 0
-            while t < WINDOW:
+            while t < wide:
                 if own[t] == 0 or own[t] % 2 == 0:
                     t += 1
                     continue
                 end = t + 1
-                while end < WINDOW and own[end] == own[t] + 1:
+                while end < wide and own[end] == own[t] + 1:
                     end += 1
-                whole = (t >= EDGE or a == 0) and (end <= WINDOW - EDGE or a + WINDOW >= len(texts[k]))
-                kind, value = KINDS[(own[t] - 1) // 2], texts[k][a + t : a + end]
-                p = float(sure[np.arange(t, end), r, own[t:end]].mean())
-                if whole and p >= SURE and _plausible(value, kind):
-                    found[k].append((a + t, a + end, kind, p))
+                yield k, a, t, end, KINDS[(own[t] - 1) // 2], float(sure[np.arange(t, end), r, own[t:end]].mean())
                 t = end
+
+
+def network_spans(texts: list[str], model: Tagger, step: int = 256) -> list[list[Span]]:
+    """What the network finds in each text, all windows reconciled."""
+    jobs = []
+    for k, text in enumerate(texts):
+        last = -1
+        for m in _TRIGGER.finditer(text):
+            # the windows that have this character: they begin at multiples of the stride
+            for w in range(max(last + 1, -(-(m.start() - WINDOW + 1) // STRIDE)), m.start() // STRIDE + 1):
+                jobs.append((k, w * STRIDE))
+                last = w
+    found: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
+    again: set[tuple[int, int]] = set()
+    for k, a, t, end, kind, p in _read(texts, model, jobs, WINDOW, step):
+        left, right = t < EDGE and a > 0, end > WINDOW - EDGE and a + WINDOW < len(texts[k])
+        if (right and t < STRIDE + EDGE) or (left and end > WINDOW - EDGE - STRIDE):
+            # the windows beside this one need not have it whole either
+            again.add((k, max(0, a + t - LONGEST - EDGE)))
+        if not (left or right) and p >= SURE and _plausible(texts[k][a + t : a + end], kind):
+            found[k].append((a + t, a + end, kind, p))
+    wide = 2 * (LONGEST + EDGE)
+    for k, a, t, end, kind, p in _read(texts, model, sorted(again), wide, max(1, step * WINDOW // wide)):
+        whole = (t >= EDGE or a == 0) and (end <= wide - EDGE or a + wide >= len(texts[k]))
+        # shorter ones were read before
+        if whole and end - t > WINDOW - 2 * EDGE - STRIDE and p >= SURE and _plausible(texts[k][a + t : a + end], kind):
+            found[k].append((a + t, a + end, kind, p))
     return [_best(f) for f in found]
 
 

@@ -360,6 +360,25 @@ def test_network_finds_addresses_with_a_bracketed_at():
     assert not pii._plausible("a.word (attic) b.word", "email") and pii._plausible("jane.doe [ AT ] mail.org", "email")
 
 
+def test_long_spans_are_found_at_any_place():
+    class Runs(pii.Tagger):
+        """All that is no space is an address."""
+
+        def emissions(self, x, keep=None):
+            inside = x.T != 32
+            first = inside & np.concatenate((np.ones((1, x.shape[0]), bool), ~inside[:-1]))
+            em = np.zeros((*inside.shape, pii.TAGS))
+            em[..., 1], em[..., 2], em[..., 0] = 50.0 * first, 50.0 * (inside & ~first), 50.0 * ~inside
+            return em
+
+    model = Runs()
+    for value in ("firstname.lastname(@)department.university.example.org", "a" * 100 + "(@)" + "b.c" * 50):
+        for n in range(0, 330, 7):
+            for after in (0, 400):
+                text = " " * n + value + " " * after
+                assert pii.network_spans([text], model) == [[(n, n + len(value), "email")]], (len(value), n, after)
+
+
 # op5 and op6
 
 
