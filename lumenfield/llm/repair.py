@@ -1,7 +1,7 @@
 """Token ids of a corpus as Re-Pair grammars: written in blocks, read back, decoded at random.
 
 Documents are put into ascending doc_id order (nulls first) by a range shuffle, encoded with the
-tokenizers library, closed with an end id and gathered into blocks of about BLOCK ids. Each block is
+tokenizers library (a special token that a text spells out is that token), closed with an end id and gathered into blocks of about BLOCK ids. Each block is
 one grammar: its frequent pairs of symbols are replaced by new symbols, many pairs a round, until
 no pair is frequent or symbols of 16 bits run out; no pair crosses the end of a document. A block
 holds the rules, the length that each rule expands to, where each document starts among the
@@ -48,7 +48,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         if self.size > 1 << 16:
             raise ValueError("the format holds ids of 16 bits")

@@ -84,6 +84,21 @@ def test_token_files_round_trip(spark, sf_dir):
         start += len(ids)
 
 
+def test_token_files_hold_special_tokens_as_the_library_does(spark):
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    rng = random.Random(15)
+    texts = [end, f"a {end} b", f"one{end}two  {end}\n{end}", f" {end} ", f"x <|endof text|> {end}{end} 's"]
+    texts += ["".join(rng.choice([end, " ", "  ", "\n", "word", "'s", "é", "<|", "|>"]) for _ in range(12)) for _ in range(200)]
+    path = new_path(spark, "special")
+    repair.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, P.path("byte_bpe_50k.json"))
+    got = {r["doc_id"]: r for r in repair.read(spark, path).collect()}
+    for k, text in enumerate(texts):
+        ids = [*tok.encode(text, add_special_tokens=False).ids, 0]
+        assert 50256 in ids or end not in text
+        assert (got[k]["n_tokens"], got[k]["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), text
+
+
 def test_grammar_decodes_any_part():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 60, 300)
