@@ -33,8 +33,8 @@ from lumenfield.llm.tables import pieces
 from lumenfield.session import ship_package
 
 BLOCK = 1 << 20
-#: Rules a round, rounds, occurrences a pair needs, and the share of symbols a round must save to go on.
-RULES, ROUNDS, LEAST, SAVING = 3000, 8, 6, 0.005
+#: Rules a round, and occurrences a pair needs.
+RULES, LEAST = 3000, 6
 #: Slots of the table of a round's pairs, in bits.
 _BITS = 18
 _HEAD = struct.Struct("<4sIIIIQ")
@@ -93,7 +93,7 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int) -> bytes:
     last[np.cumsum(lengths) - 1] = True
     left, right, spans = [], [], [np.ones(base, np.uint32)]
     rules, size = 0, np.ones(base, np.uint32)
-    for _ in range(ROUNDS):
+    while True:
         room = min(RULES, (1 << 16) - base - rules)
         if room <= 0 or len(symbols) < 2:
             break
@@ -126,8 +126,6 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int) -> bytes:
         right.append(b)
         size = np.concatenate((size, size[a] + size[b]))
         rules += len(chosen)
-        if len(at) < SAVING * len(keep):
-            break
     starts = np.concatenate(([0], np.flatnonzero(last) + 1))
     pack = lambda x, kind: np.asarray(x).astype(kind).tobytes()
     return b"".join(

@@ -113,6 +113,16 @@ def test_grammar_decodes_any_part():
         assert (block.document(k) == own).all() and (block.document(k, a, b) == own[a:b]).all()
 
 
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(16)
+    rare = np.concatenate([rng.integers(100, 40_000, 40_000), np.tile(rng.integers(0, 100, 20), 6)])
+    for ids, base in ((np.full(1 << 16, 3), 7), (rare, 40_000)):
+        block = repair.Block(repair.compress(ids, np.array([len(ids)]), base))
+        pairs = (block.symbols[:-1].astype(np.int64) << 16) | block.symbols[1:]
+        assert np.unique(pairs, return_counts=True)[1].max(initial=0) < repair.LEAST
+        assert (block.documents()[0] == ids).all()
+
+
 def test_token_files_odd_rows(spark, odd, none):
     path = new_path(spark, "odd")
     repair.write(odd, path, P.path("byte_bpe_50k.json"), block=50)
