@@ -447,6 +447,12 @@ def test_toxicity_held_out(spark, odd, none):
     assert toxicity.score(odd, model).columns == [*odd.columns, "toxicity"]
 
 
+def test_toxicity_sample_is_the_one_that_quality_was_measured_with(spark):
+    docs = spark.range(9000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    labels = spark.range(9000).selectExpr("id as doc_id", "id % 2 as toxic")
+    assert len(toxicity.labelled(docs, labels, toxicity.F.lit(0), 1)) == 8000
+
+
 def test_spaced_and_cut_strings():
     assert toxicity.strings("You i d i o t now") == ["you", "idiot", "now"]
     assert toxicity.windows("i.d.i.o.t!") == ["i.d.i.o.t", "idiot"]
