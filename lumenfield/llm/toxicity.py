@@ -9,7 +9,9 @@ A sentence is a sequence of strings, its words; runs of single characters, as in
 are one string, and strings over CUT characters are read in overlapping windows. A sentence's score
 is its worst string's, and a text's is its worst sentence's. That is also how the labels, which mark
 whole texts, are learned from. Beginnings of strings that explain the marked texts are found first;
-strings that begin so, and gapped forms of them, are the positive examples. Strings of clean texts are the
+strings that begin so, and gapped forms of them, are the positive examples. All that are found are
+landmarks, next to clean strings like them: LANDMARKS together, or more where there are many. They have STEM
+characters or more, and what is learned and scored is single strings: a phrase of harmless words has no score of its own. Strings of clean texts are the
 negative ones, and those that score worst are added over ROUNDS. The margin becomes a probability on
 the scores of the training texts.
 
@@ -109,10 +111,14 @@ class Kernel:
         letters = sorted(set("".join(landmarks)))
         self.size = len(letters) + 1
         self.code = {c: k + 1 for k, c in enumerate(letters)}
-        self.table = np.zeros((self.size**ORDER, len(landmarks)))
-        for k, w in enumerate(landmarks):
-            places, weight = _triples(len(w))
-            np.add.at(self.table[:, k], self._cells(self._codes([w]), places)[0], weight)
+        own = [(self._cells(self._codes([w]), places)[0], weight) for w in landmarks for places, weight in [_triples(len(w))]]
+        # rows are kept for cells that some landmark has; row 0 is empty and stands for all others
+        used = np.unique(np.concatenate([cells for cells, _ in own]))
+        self.slot = np.zeros(self.size**ORDER, np.int32)
+        self.slot[used] = np.arange(1, len(used) + 1)
+        self.table = np.zeros((len(used) + 1, len(landmarks)))
+        for k, (cells, weight) in enumerate(own):
+            np.add.at(self.table[:, k], self.slot[cells], weight)
 
     def _codes(self, words: list[str]) -> np.ndarray:
         get = self.code.get
@@ -128,7 +134,7 @@ class Kernel:
         return cells
 
     def sums(self, words: list[str], table: np.ndarray) -> np.ndarray:
-        """Each word's subsequences' table rows (or values), weighted and summed; words of at most CUT characters."""
+        """Each word's subsequences' table rows (or values, one a cell), weighted and summed; words of at most CUT characters."""
         out = np.zeros((len(words), *table.shape[1:]))
         by_length: dict[int, list[int]] = {}
         for k, w in enumerate(words):
@@ -140,7 +146,8 @@ class Kernel:
             step = max(1, (1 << 20) // len(places) // (1 if table.ndim == 1 else table.shape[1]))
             for at in range(0, len(own), step):
                 some = own[at : at + step]
-                rows = table[self._cells(self._codes([words[k] for k in some]), places)]
+                cells = self._cells(self._codes([words[k] for k in some]), places)
+                rows = table[cells] if table.ndim == 1 else table[self.slot[cells]]
                 out[some] = np.tensordot(rows, weight, (1, 0)) if table.ndim == 1 else np.einsum("wtm,t->wm", rows, weight)
         return out
 
@@ -161,7 +168,7 @@ class Model:
     def weigh(self, weights: np.ndarray) -> None:
         self.weights = weights
         # weights on features are weights on kernels, and those are weights on subsequences
-        self.flat = self.kernel.table @ (self.whiten @ weights)
+        self.flat = (self.kernel.table @ (self.whiten @ weights))[self.kernel.slot]
 
     def features(self, words: list[str]) -> np.ndarray:
         return self.kernel(words) @ self.whiten
@@ -289,7 +296,7 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     clean, toxic = held
     if not clean or not toxic:
         return None
-    marks = stems(toxic, clean)[: LANDMARKS * 3 // 4]
+    marks = stems(toxic, clean)
     if not marks:
         return None
     starts = tuple(marks)
@@ -304,7 +311,7 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     like = Kernel(marks)
     near = (like(pool) / np.sqrt(np.diag(like(marks)))).max(1) / np.sqrt(np.array([max(1, len(w) - ORDER) for w in pool]))
     close = np.argsort(-near, kind="stable")
-    model = Model(marks + [pool[k] for k in close[: LANDMARKS - len(marks)]])
+    model = Model(marks + [pool[k] for k in close[: max(LANDMARKS - len(marks), LANDMARKS // 4)]])
     x_pos = model.features(positive)
     weight = np.array([1 + np.log1p(seen[w]) for w in positive])
     chosen = list(dict.fromkeys([*pool[: TERMS // 2], *[pool[k] for k in close[: TERMS // 2]]]))

@@ -447,6 +447,17 @@ def test_toxicity_held_out(spark, odd, none):
     assert toxicity.score(odd, model).columns == [*odd.columns, "toxicity"]
 
 
+def test_toxicity_learns_all_marks():
+    rng = random.Random(17)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(7))
+    harmless = [word("abcdefghij") for _ in range(300)]
+    insults = [word("klmnopqrstuvwxyz") for _ in range(45)]
+    text = lambda *more: " ".join([*(rng.choice(harmless) for _ in range(12)), *more])
+    model = toxicity.fit([(text(w), 1) for w in insults for _ in range(25)] + [(text(), 0) for _ in range(1125)])
+    sure = model.probability(np.array(model.string_scores([*insults, *harmless])))
+    assert (sure[:45] >= toxicity.LEAST).all() and (sure[45:] < toxicity.LEAST).all()
+
+
 def test_toxicity_sample_is_the_one_that_quality_was_measured_with(spark):
     docs = spark.range(9000).selectExpr("id as doc_id", "concat('text ', id) as text")
     labels = spark.range(9000).selectExpr("id as doc_id", "id % 2 as toxic")
