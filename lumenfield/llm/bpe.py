@@ -7,8 +7,8 @@ ids, every row merges its leftmost pair of least rank each round. The ranks of a
 an open-addressing hash table; a round takes one cell out of every row, so dropping those cells
 compacts the matrix, and rows with no pair left leave it.
 
-Pieces of more than LONG bytes would need a round for each merge of one wide row; they take the same
-merges in the same order from a heap.
+A piece of more than LONG bytes is a matrix of one wide row. Its rounds merge all pairs of the least
+rank that the single merges would take one after the other.
 
 Null texts are empty; an empty text has no ids. Rows, repeated or with null doc_id, each return one
 row. Other columns are ignored. Memory is bounded by the cache limits and one slice of texts.
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lumenfield.llm.cache import Cache, unit, units
+from lumenfield.llm.cache import Cache, gather, unit, units
 from lumenfield.llm.tables import pieces
 from lumenfield.session import ship_package
 
@@ -57,7 +56,6 @@ class PairTable:
                     right.append(b)
                     rank.append(r)
         keys = (np.array(left, np.int64) << 32) | np.array(right, np.int64)
-        self.pairs = dict(zip(keys.tolist(), rank, strict=True))
         self.bits = max(4, int(len(keys) * 4 - 1).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.values = np.full(1 << self.bits, _NONE, np.int32)
@@ -144,25 +142,32 @@ class Codec:
                 if len(ok):
                     ranks[ok, j[ok]] = self.table.rank(ids[ok, j[ok]], ids[ok, j[ok] + 1])
 
-    def _heap(self, raw: bytes) -> bytes:
-        ids = self.of_byte[np.frombuffer(raw, np.uint8)].tolist()
-        n, pairs = len(ids), self.table.pairs
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pairs.get((ids[i] << 32) | ids[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j] = r, -1
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for k in (before[i], i):
-                if k >= 0 and after[k] < n and (s := pairs.get((ids[k] << 32) | ids[after[k]])) is not None:
-                    heapq.heappush(heap, (s, k, ids[k], ids[after[k]]))
-        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+    def _wide(self, raw: bytes) -> bytes:
+        """Ids of a piece that is a matrix of one wide row: a round takes the leftmost pair of least rank and its like.
+
+        Further pairs of that rank would be the leftmost ones of the rounds that follow, unless a merge
+        before them makes a pair of lower rank; the round ends at the first merge that does.
+        """
+        ids = self.of_byte[np.frombuffer(raw, np.uint8)]
+        ranks = self.table.rank(ids[:-1], ids[1:])
+        while len(ranks) and (least := ranks.min()) != _NONE:
+            at = np.flatnonzero(ranks == least)
+            # of pairs that overlap in a run of like ones, every second is taken
+            fresh = np.concatenate(([True], np.diff(at) > 1))
+            at = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))) % 2 == 0]
+            padded = np.concatenate(([-1], ids, [-1])).astype(np.int32)
+            left, right, own = padded[at], padded[at + 3], np.full(len(at), least, np.int32)
+            left[1:][np.diff(at) == 2] = least
+            lower = np.flatnonzero(np.minimum(self.table.rank(left, own), self.table.rank(own, right)) < least)
+            if len(lower):
+                at = at[: lower[0] + 1]
+            ids[at] = least
+            ids, ranks = np.delete(ids, at + 1), np.delete(ranks, at)
+            at -= np.arange(len(at))
+            near = np.unique(np.concatenate((at - 1, at)))
+            near = near[(near >= 0) & (near < len(ranks))]
+            ranks[near] = self.table.rank(ids[near], ids[near + 1])
+        return ids.astype("<u4").tobytes()
 
     def merge(self, raws: set[bytes]) -> dict[bytes, bytes]:
         """Ids of each piece, as little-endian 32-bit integers."""
@@ -172,7 +177,7 @@ class Codec:
             if (whole := self.ranks.get(raw)) is not None:
                 out[raw] = whole.to_bytes(4, "little")
             elif len(raw) > LONG:
-                out[raw] = self._heap(raw)
+                out[raw] = self._wide(raw)
             else:
                 buckets.setdefault(_BUCKET[len(raw)], []).append(raw)
         for width, group in buckets.items():
@@ -186,12 +191,14 @@ class Codec:
         made = self.merge({p for ps in cut for p in ps})
         return [b"".join([made[p] for p in ps]) for ps in cut]
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as little-endian 32-bit integers."""
-        return list(map(b"".join, self.cache.values(list(map(units, texts)))))
+        keys, count = units(texts)
+        ids, count = gather(*self.cache.of(keys), count, "<u4")
+        return np.split(ids, np.cumsum(count)[:-1]) if len(count) else []
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
 @lru_cache(maxsize=2)
@@ -209,7 +216,7 @@ def encode(docs: DataFrame, path: str, pattern: str, decode: bool = True, rows:
         for batch in batches:
             for part in pieces(batch, rows):
                 ids = own.encode_all([t or "" for t in part.column("text").to_pylist()])
-                cols = [part.column("doc_id"), pa.array(ids, pa.binary())]
+                cols = [part.column("doc_id"), pa.array([x.tobytes() for x in ids], pa.binary())]
                 cols += [pa.array(map(own.decode, ids), pa.binary())] if decode else []
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", *with_decoded])
 
@@ -228,8 +235,8 @@ def digests(docs: DataFrame, path: str, pattern: str, rows: int = 512) -> DataFr
                 ids = own.encode_all([t or "" for t in part.column("text").to_pylist()])
                 cols = [
                     part.column("doc_id"),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([sha(x).hexdigest() for x in ids]),
+                    pa.array(list(map(len, ids)), pa.int64()),
+                    pa.array([sha(x.tobytes()).hexdigest() for x in ids]),
                     pa.array([sha(own.decode(x)).hexdigest() for x in ids]),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfield.llm.tables import pieces
+from lumenfield.llm.tables import least_keys, pieces
 from lumenfield.session import ship_package
 
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 12, (2, 3, 4), 24
@@ -153,13 +153,10 @@ def fit(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> ByteCnn |
     length = F.length("text")
     key = F.xxhash64("doc_id", "text")
     start = F.pmod(F.xxhash64(key, F.lit(1)), F.greatest(length - WINDOW + 1, F.lit(1))).cast("int") + 1
-    rows = (
-        docs.filter(F.col("text").isNotNull() & F.col(label).isNotNull())
-        .select(F.col("text").substr(start, F.lit(WINDOW)).alias("part"), F.col(label).cast("string").alias("label"), key.alias("key"))
-        .orderBy("key", "part", "label")
-        .limit(sample)
-        .collect()
-    )
+    known = docs.filter(F.col("text").isNotNull() & F.col(label).isNotNull())
+    total = known.count()
+    parts = known.select(F.col("text").substr(start, F.lit(WINDOW)).alias("part"), F.col(label).cast("string").alias("label"), key.alias("key"))
+    rows = least_keys(parts, "key", sample, total, "part", "label").collect()
     rows = [r for r in rows if _LETTER.search(r["part"])]
     if not rows:
         return None

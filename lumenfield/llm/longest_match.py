@@ -103,7 +103,11 @@ class Counter:
 
     def counts(self, texts: list[str | None]) -> tuple[list[int], list[int]]:
         words = [(t or "").split() for t in texts]
-        return list(map(len, words)), list(map(sum, self.cache.values(words)))
+        number = np.array(list(map(len, words)), np.int64)
+        values, index = self.cache.of(pa.array([w for own in words for w in own], pa.large_string()))
+        pieces_of = np.array(values, np.int64)[index] if values else np.zeros(0, np.int64)
+        total = np.concatenate(([0], np.cumsum(pieces_of)))[np.cumsum(number)]
+        return number.tolist(), np.diff(total, prepend=0).tolist()
 
 
 @lru_cache(maxsize=1)

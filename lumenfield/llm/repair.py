@@ -14,7 +14,9 @@ columns are ignored. A worker holds one block and one slice of texts.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import sys
 import zlib
@@ -28,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenfield.llm.cache import Cache, unit, units
+from lumenfield.llm.cache import Cache, gather, unit, units
 from lumenfield.llm.tables import pieces
 from lumenfield.session import ship_package
 
@@ -41,6 +43,17 @@ _HEAD = struct.Struct("<4sIIIIQ")
 _MAGIC = b"RPG1"
 
 
+def _shown() -> dict[int, str]:
+    """The visible character that byte-level vocabularies show each byte as."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or (b >= 161 and b != 173)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_SHOWN = _shown()
+_WORD = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
+
+
 class Encoder:
     def __init__(self, path: str):
         # a worker has one core; the library's own threads would only wait for each other
@@ -51,17 +64,45 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         if self.size > 1 << 16:
             raise ValueError("the format holds ids of 16 bits")
+        # a word of letters, and the ASCII punctuation after it, are pieces of the byte-level cut: the library's model can take them directly
+        state = json.loads(self.tokenizer.to_str())
+        cut = state["pre_tokenizer"] or {}
+        self.by_word = not state["normalizer"] and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
         self.cache = Cache(self._encode)
 
     def _encode(self, keys: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([unit(k) for k in keys], add_special_tokens=False)
-        if sys.byteorder == "big":
-            return [np.array(x.ids, "<u2").tobytes() for x in found]
-        return [array("H", x.ids).tobytes() for x in found]
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 16-bit integers."""
-        return list(map(b"".join, self.cache.values(list(map(units, texts)))))
+        out: list[bytes | None] = [None] * len(keys)
+        heads, tails, at = [], [], []
+        for k, found in enumerate(map(_WORD.fullmatch, keys)) if self.by_word else ():
+            if found and (head := found[1]).isalpha():
+                heads.append(head)
+                tails.append(found[2])
+                at.append(k)
+        after = {tail: self._library([tail])[0] for tail in dict.fromkeys(tails)}
+        for k, ids, tail in zip(at, self._words(heads), tails, strict=True):
+            out[k] = ids + after[tail]
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(rest, self._library([unit(keys[k]) for k in rest]), strict=True):
+            out[k] = ids
+        return out
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u2").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words, each with the space before it."""
+        tokenize = self.tokenizer.model.tokenize
+        shown = "\n".join(words).encode().decode("latin-1").translate(_SHOWN)
+        for word in shown.split(_SHOWN[10]) if words else ():
+            ids = array("H", [token.id for token in tokenize(_SHOWN[32] + word)])
+            if sys.byteorder == "big":
+                ids.byteswap()
+            yield ids.tobytes()
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one after the other, and each text's number of them."""
+        keys, count = units(texts)
+        return gather(*self.cache.of(keys), count, "<u2")
 
 
 @lru_cache(maxsize=1)
@@ -198,14 +239,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, block: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part = encoder(tokenizer), TaskContext.get().partitionId()
-        end, names = np.array([end_id], "<u2").tobytes(), [x.split()[0] for x in _SCHEMA.split(", ")]
+        end, names = np.array([end_id], "<u2"), [x.split()[0] for x in _SCHEMA.split(", ")]
         held, ids, kept, number, first = [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
             nonlocal number, first, kept
-            lengths = np.array([len(x) // 2 for x in ids], np.int64)
-            grammar = compress(np.frombuffer(b"".join(ids), "<u2"), lengths, own.size)
-            cols = [pa.array([x], t) for x, t in ((part, pa.int32()), (number, pa.int32()), (first, pa.int64()), (len(ids), pa.int32()), (kept, pa.int64()), (held, pa.list_(pa.int64())), (grammar, pa.binary()))]
+            lengths = np.array([len(x) + 1 for x in ids[::2]], np.int64)
+            grammar = compress(np.concatenate(ids), lengths, own.size)
+            cols = [pa.array([x], t) for x, t in ((part, pa.int32()), (number, pa.int32()), (first, pa.int64()), (len(held), pa.int32()), (kept, pa.int64()), (held, pa.list_(pa.int64())), (grammar, pa.binary()))]
             number, first, kept = number + 1, first + kept, 0
             out = pa.RecordBatch.from_arrays(cols, names)
             held.clear()
@@ -214,11 +255,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, block: in
 
         for batch in batches:
             for piece in pieces(batch, rows):
-                found = own.encode_all([t or "" for t in piece.column("text").to_pylist()])
-                for doc, x in zip(piece.column("doc_id").to_pylist(), found, strict=True):
+                flat, count = own.encode_all([t or "" for t in piece.column("text").to_pylist()])
+                for doc, x in zip(piece.column("doc_id").to_pylist(), np.split(flat, np.cumsum(count)[:-1]), strict=True):
                     held.append(doc)
-                    ids.append(x + end)
-                    kept += len(x) // 2 + 1
+                    ids += [x, end]
+                    kept += len(x) + 1
                     if kept >= block:
                         yield flush()
         if ids:

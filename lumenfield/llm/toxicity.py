@@ -1,23 +1,24 @@
 """Toxicity by a support vector machine on a gap-tolerant string kernel with Nystroem landmarks.
 
-Kernel of two strings: all subsequences of ORDER characters that they share, each weighted by DECAY
-for every character that it skips in either string. An insult with characters put between its own
-keeps most of its kernel, one with a suffix keeps all of it. Landmarks are strings of the training
-sentences; a string's features are its kernels with them, whitened by the landmarks' own kernel.
-
-A sentence is a sequence of strings, its words; runs of single characters, as in a spaced-out word,
-are one string, and strings over CUT characters are read in overlapping windows. A sentence's score
-is its worst string's, and a text's is its worst sentence's. That is also how the labels, which mark
-whole texts, are learned from. Beginnings of strings that explain the marked texts are found first;
-strings that begin so, and gapped forms of them, are the positive examples. All that are found are
-landmarks, next to clean strings like them: LANDMARKS together, or more where there are many. They have STEM
-characters or more, and what is learned and scored is single strings: a phrase of harmless words has no score of its own. Strings of clean texts are the
-negative ones, and those that score worst are added over ROUNDS. The margin becomes a probability on
-the scores of the training texts.
+Kernel of two strings: all subsequences of ORDER characters that they share, within SPAN characters,
+each weighted by DECAY for every character that it skips in either string; brought to 1 for equal
+strings and raised to POWER. An insult with characters put between its own or with a suffix keeps
+much of its kernel. Strings are a text's lower-cased words, their letters and digits alone, so that
+punctuation within a word hides nothing; runs of single characters, as in a spaced-out word, are one
+string, and those over CUT characters are read in overlapping windows.
+
+Kernel of two sentences: the sum over all pairs of their strings; a text is the bag of its sentences
+and has the mean of theirs (the set kernel of multiple-instance learning), so the SVM's examples are
+whole labelled texts, and a margin is a mean over strings. The kernel is approximated by landmarks:
+strings that the labelled texts hold. They are drawn from both classes: strings that more toxic texts
+hold than chance would explain, alone or with strings like them, and the clean texts' strings that
+are most like those. Languages are never looked at; a string of a rare language needs no more texts
+than one of a common language. The margin becomes a probability on the margins of labelled texts
+that the model that scored them, one of FOLDS, had not seen.
 
 Training reads at most SAMPLE labelled texts of each class, those with the least hashes of their
-ids, up to LONGEST characters of each, and at most POOL clean strings. Scoring reads all texts whole;
-the scores of strings are kept by each worker up to a number of them.
+ids, whole; copies of a text count once. Scoring reads all texts whole; the scores of strings are
+kept by each worker up to a number of them.
 
 Null and empty texts score as a text with a harmless string. Where there is nothing to learn from,
 all scores are 0. Each row of the table returns one row, repeated rows and null doc_ids too. Rows
@@ -27,329 +28,343 @@ with repeated labels count as toxic if one label says so. Other columns are igno
 from __future__ import annotations
 
 import itertools
-import math
-import zlib
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenfield.llm.cache import Cache
-from lumenfield.llm.tables import pieces
+from lumenfield.llm.tables import least_keys, pieces
 from lumenfield.plans.scratch import materialize
 from lumenfield.session import ship_package
 
-ORDER, DECAY, CUT, LANDMARKS = 3, 0.6, 24, 48
-SAMPLE, TERMS, POOL, ROUNDS = 4000, 2000, 20_000, 3
-#: Expected marks by chance, which decides how many marked texts a mark needs.
-CHANCE = 0.1
-#: A mark's least length; the marked texts it has to explain, as a number and as a share of all;
-#: the share of them that a mark with no clean text needs; how often a clean text may hold it for each marked one; what a clean one counts against marked ones.
-STEM, SUPPORT, LEAST_SHARE, COMMON, IMPURE, PENALTY = 4, 3, 0.005, 0.02, 0.05, 8
-SEED, LEAST, LONGEST = 11, 0.7, 20_000
-_EDGES = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
-_INNER = regex.compile(r"[^\p{L}\p{N}]+")
-_SENTENCE = regex.compile(r"(?<=[.!?])\s+|\n+")
-
-
-def strings(text: str | None) -> list[str]:
-    """The strings of a text: lower-cased words, spaced-out letters put together."""
-    words = (text or "").lower().split()
-    if not any(map(_SINGLE, words)):
-        return words
-    out, run = [], []
-    for w in [*words, "  "]:
-        if len(w) == 1 and w.isalnum():
-            run.append(w)
-            continue
-        if len(run) > 2:
-            out.append("".join(run))
-        else:
-            out += run
-        run = []
-        out.append(w)
-    return out[:-1]
-
-
-def _SINGLE(word: str) -> bool:
-    return len(word) == 1
-
-
-def sentences(text: str | None) -> list[list[str]]:
-    return [s for s in map(strings, _SENTENCE.split(text or "")) if s]
+ORDER, SPAN, DECAY, POWER, CUT = 3, 6, 0.8, 4, 24
+#: Kernels of strings that share less with all landmarks (a share of the squared norm) are 0.
+KNOWN = 0.35
+SAMPLE, LANDMARKS, CANDIDATES, FOLDS = 4000, 512, 2000, 8
+#: Toxic texts that a landmark's string has to be in, and how far beyond chance (in nats) they have to be.
+SUPPORT, BEYOND = 3, 4.0
+#: What a mean over strings is multiplied by, and the ridge of the SVM.
+SCALE, RIDGE = 40.0, 1e-3
+LEAST = 0.7
+#: Odd numbers that make one number of a subsequence; two different ones are the same in one case of 2**32.
+_MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
+_BITS = 22
+_JUNK = re.compile(r"[^\w\s]+|_+")
+_SPACED = re.compile(r"(?<!\S)\w(?:\s\w){2,}(?!\S)")
+
+
+def strings(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+    """The strings of texts, all in one array, and each text's number of them (1 for none: the empty one)."""
+    plain = [_JUNK.sub("", (t or "").lower()) for t in texts]
+    plain = [_SPACED.sub(_joined, t) if _SPACED.search(t) else t for t in plain]
+    cut = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pa.array(plain, pa.large_string())))
+    return cut.flatten(), cut.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _joined(run: re.Match) -> str:
+    return "".join(run[0].split())
 
 
 def windows(word: str) -> list[str]:
-    """A string's core, and its letters alone where others stand between; long ones in overlapping windows."""
-    word = _EDGES.sub("", word)
-    forms = [word] if word.isalnum() else [word, _INNER.sub("", word)]
-    return [f[at : at + CUT] for f in forms for at in range(0, max(1, len(f) - CUT // 2), CUT // 2)]
+    return [word[at : at + CUT] for at in range(0, max(1, len(word) - CUT // 2), CUT // 2)]
 
 
 @lru_cache(maxsize=CUT + 1)
-def _triples(length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all subsequences of ORDER characters in a string of some length, and their weights."""
-    places = np.array(list(itertools.combinations(range(length), ORDER)), np.int64).reshape(-1, ORDER)
+def _places(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the subsequences of a string of some length, and their weights."""
+    inner = list(itertools.combinations(range(1, SPAN), ORDER - 1))
+    places = np.array([(at, *(at + k for k in rest)) for at in range(length) for rest in inner if at + rest[-1] < length], np.int64).reshape(-1, ORDER)
     return places, DECAY ** (places[:, -1] - places[:, 0] + 1.0 - ORDER) if len(places) else np.zeros(0)
 
 
-class Kernel:
-    """The kernel with some landmarks, through their subsequences: a table over ORDER characters.
+def _by_length(words: list[str], step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(numbers of words of one length, their subsequences' cells, weights of those), in bounded blocks."""
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    for n in np.unique(length[length <= CUT]).tolist():
+        places, weight = _places(n)
+        own = np.flatnonzero(length == n)
+        size = max(1, step // max(1, len(places)))
+        for at in range(0, len(own) if len(places) else 0, size):
+            some = own[at : at + size]
+            code = np.frombuffer("".join([words[k] for k in some]).encode("utf-32-le"), np.uint32).reshape(-1, n)
+            cells = (code * _MIX[0])[:, places[:, 0]]
+            for k in range(1, ORDER):
+                cells += (code * _MIX[k])[:, places[:, k]]
+            yield some, cells, weight
+
+
+def _norms(cells: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Squared norm of each row's subsequences, those that occur more than once added up."""
+    order = np.argsort(cells, axis=1)
+    c, w = np.take_along_axis(cells, order, 1), weight[order]
+    fresh = np.ones(c.shape, bool)
+    fresh[:, 1:] = c[:, 1:] != c[:, :-1]
+    total = np.add.reduceat(w.ravel(), np.flatnonzero(fresh.ravel())) ** 2
+    row = np.repeat(np.arange(len(c)), fresh.sum(1))
+    return np.bincount(row, total, len(c))
 
-    Summing a table row over a word's own subsequences gives its kernels with all landmarks, the same
-    sums as the usual recursion finds. Subsequences with a character of no landmark have none.
-    """
+
+class Kernel:
+    """The kernel with some landmarks: lists of landmarks by subsequence."""
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        letters = sorted(set("".join(landmarks)))
-        self.size = len(letters) + 1
-        self.code = {c: k + 1 for k, c in enumerate(letters)}
-        own = [(self._cells(self._codes([w]), places)[0], weight) for w in landmarks for places, weight in [_triples(len(w))]]
-        # rows are kept for cells that some landmark has; row 0 is empty and stands for all others
-        used = np.unique(np.concatenate([cells for cells, _ in own]))
-        self.slot = np.zeros(self.size**ORDER, np.int32)
-        self.slot[used] = np.arange(1, len(used) + 1)
-        self.table = np.zeros((len(used) + 1, len(landmarks)))
-        for k, (cells, weight) in enumerate(own):
-            np.add.at(self.table[:, k], self.slot[cells], weight)
-
-    def _codes(self, words: list[str]) -> np.ndarray:
-        get = self.code.get
-        return np.array([[get(c, 0) for c in w] for w in words], np.int64)
-
-    def _cells(self, codes: np.ndarray, places: np.ndarray) -> np.ndarray:
-        cells, known = np.zeros((len(codes), len(places)), np.int64), np.ones((len(codes), len(places)), bool)
-        for k in range(ORDER):
-            part = codes[:, places[:, k]]
-            cells = cells * self.size + part
-            known &= part > 0
-        cells[~known] = 0
-        return cells
-
-    def sums(self, words: list[str], table: np.ndarray) -> np.ndarray:
-        """Each word's subsequences' table rows (or values, one a cell), weighted and summed; words of at most CUT characters."""
-        out = np.zeros((len(words), *table.shape[1:]))
-        by_length: dict[int, list[int]] = {}
-        for k, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(k)
-        for length, own in by_length.items():
-            places, weight = _triples(length)
-            if not len(places):
+        cells, owner, weight = [], [], []
+        norm = np.zeros(len(landmarks))
+        for some, c, w in _by_length(landmarks):
+            norm[some] = _norms(c, w)
+            cells.append(c.ravel())
+            owner.append(np.repeat(some, c.shape[1]))
+            weight.append(np.tile(w, len(some)))
+        cells = np.concatenate([*cells, np.zeros(0, np.uint32)])
+        order = np.argsort(cells, kind="stable")
+        self.owner = np.concatenate([*owner, np.zeros(0, np.int64)])[order].astype(np.int64)
+        self.weight = np.concatenate([*weight, np.zeros(0)])[order] / np.sqrt(norm[self.owner])
+        self.cells, start = np.unique(cells[order], return_index=True)
+        self.size = np.diff(np.append(start, len(cells)))
+        self.start = start
+        self.known = np.zeros(1 << _BITS, bool)
+        self.known[(self.cells >> np.uint32(32 - _BITS)).astype(np.int64)] = True
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the words with a kernel, their kernels with all landmarks)."""
+        numbers, values = [np.zeros(0, np.int64)], [np.zeros((0, len(self.landmarks)))]
+        for some, cells, weight in _by_length(words):
+            hit = self.known[(cells >> np.uint32(32 - _BITS)).astype(np.int64)]
+            good = np.flatnonzero(hit @ (weight * weight) >= KNOWN * float(weight @ weight))
+            if not len(good):
                 continue
-            step = max(1, (1 << 20) // len(places) // (1 if table.ndim == 1 else table.shape[1]))
-            for at in range(0, len(own), step):
-                some = own[at : at + step]
-                cells = self._cells(self._codes([words[k] for k in some]), places)
-                rows = table[cells] if table.ndim == 1 else table[self.slot[cells]]
-                out[some] = np.tensordot(rows, weight, (1, 0)) if table.ndim == 1 else np.einsum("wtm,t->wm", rows, weight)
+            cells, hit = cells[good], hit[good]
+            norm = _norms(cells, weight)
+            row, col = np.nonzero(hit)
+            own = cells[row, col]
+            slot = np.minimum(np.searchsorted(self.cells, own), len(self.cells) - 1)
+            real = self.cells[slot] == own
+            row, slot, w = row[real], slot[real], weight[col[real]]
+            each = self.size[slot]
+            at = np.arange(int(each.sum())) + np.repeat(self.start[slot] - (np.cumsum(each) - each), each)
+            key = np.repeat(row, each) * len(self.landmarks) + self.owner[at]
+            k = np.bincount(key, np.repeat(w, each) * self.weight[at], len(good) * len(self.landmarks)).reshape(len(good), -1)
+            numbers.append(some[good])
+            values.append((k / np.sqrt(norm)[:, None]) ** POWER)
+        return np.concatenate(numbers), np.concatenate(values)
+
+
+class Texts:
+    """Labelled texts as their distinct strings' numbers and how often they hold each."""
+
+    def __init__(self, rows: Iterable[tuple[str, int]]):
+        number: dict[str, int] = {}
+        self.ids, self.counts, self.lengths, label = [], [], [], []
+        seen: dict[int, list[int]] = {}
+        for text, toxic in rows:
+            flat, count = strings([text])
+            coded = flat.value_counts()
+            own: Counter[int] = Counter()
+            for word, n in zip(coded.field(0).to_pylist(), coded.field(1).to_pylist(), strict=True):
+                for w in windows(word):
+                    own[number.setdefault(w, len(number))] += n
+            ids = np.array(sorted(own), np.int64)
+            if self._copy(ids, toxic, seen, len(label)):
+                continue
+            self.ids.append(ids)
+            self.counts.append(np.array([own[k] for k in ids.tolist()], np.int64))
+            self.lengths.append(int(count[0]))
+            label.append(int(toxic))
+        self.names, self.label = list(number), np.array(label, np.int64)
+
+    @staticmethod
+    def _copy(ids: np.ndarray, toxic: int, seen: dict[int, list[int]], mine: int) -> bool:
+        """Whether a text is much like one before: half of eight least hashes of its strings are the same."""
+        least = np.sort((ids + 1) * 0x9E3779B1 % 2**31)[:8].tolist()
+        like = Counter(k for h in least for k in seen.get(h * 2 + toxic, ()))
+        if like and like.most_common(1)[0][1] * 2 > len(least):
+            return True
+        for h in least:
+            seen.setdefault(h * 2 + toxic, []).append(mine)
+        return False
+
+    def held(self, which: np.ndarray) -> np.ndarray:
+        """In how many of some texts each string is."""
+        return np.bincount(np.concatenate([*(self.ids[k] for k in which), np.zeros(0, np.int64)]), minlength=len(self.names))
+
+    def features(self, kernel: Kernel, step: int = 50_000) -> np.ndarray:
+        """Each text's mean kernel with the landmarks, times SCALE; strings are taken `step` at a time."""
+        out = np.zeros((len(self.label), len(kernel.landmarks)))
+        for first in range(0, len(self.names), step):
+            good, values = kernel(self.names[first : first + step])
+            row = np.full(step, -1)
+            row[good] = np.arange(len(good))
+            for k, (ids, counts) in enumerate(zip(self.ids, self.counts, strict=True)):
+                a, b = np.searchsorted(ids, (first, first + step))
+                own = row[ids[a:b] - first]
+                has = own >= 0
+                if has.any():
+                    out[k] += counts[a:b][has] @ values[own[has]] * (SCALE / self.lengths[k])
         return out
 
-    def __call__(self, words: list[str]) -> np.ndarray:
-        return self.sums(words, self.table)
+
+def beyond(toxic: np.ndarray, clean: np.ndarray, texts: tuple[int, int]) -> np.ndarray:
+    """How much better a rate of its own in toxic texts explains a string than one rate for all, in nats; 0 if it is lower."""
+    share = texts[0] / (texts[0] + texts[1])
+    both = toxic + clean
+    p = toxic / np.maximum(both, 1e-12)
+    gain = toxic * np.log(np.maximum(p, 1e-12) / share) + clean * np.log(np.maximum(1 - p, 1e-12) / (1 - share))
+    return np.where(p > share, gain, 0.0)
+
+
+def choose(texts: Texts, toxic: np.ndarray, clean: np.ndarray, most: int = LANDMARKS) -> list[str]:
+    """Landmarks, from both classes."""
+    in_toxic, in_clean, sizes = texts.held(toxic), texts.held(clean), (len(toxic), len(clean))
+    length = np.fromiter(map(len, texts.names), np.int64, len(texts.names))
+    gain = beyond(in_toxic, in_clean, sizes) * (length >= ORDER)
+    first = np.flatnonzero((in_toxic >= SUPPORT) & (gain > 0))
+    first = first[np.lexsort((first, -gain[first]))][:CANDIDATES]
+    if not len(first):
+        return []
+    names = [texts.names[k] for k in first.tolist()]
+    number, like = Kernel(names)(names)
+    full = np.zeros((len(names), len(names)))
+    full[number] = like
+    # strings like one another speak for each other
+    joint = beyond(full @ in_toxic[first], full @ in_clean[first], sizes)
+    total = np.maximum(joint, gain[first])
+    good = np.flatnonzero(total >= BEYOND)
+    marks = [names[k] for k in good[np.lexsort((good, -total[good]))][: most * 3 // 4].tolist()]
+    if not marks:
+        return []
+    own = np.flatnonzero((in_clean > in_toxic) & (length >= ORDER))
+    number, like = Kernel(marks)([texts.names[k] for k in own.tolist()])
+    near = like.max(1) * np.log1p(in_clean[own[number]])
+    chosen = np.lexsort((number, -near))[: most // 4]
+    return marks + [texts.names[k] for k in own[number[chosen]].tolist()]
 
 
 class Model:
     def __init__(self, landmarks: list[str]):
+        self.landmarks, self.bias, self.slope, self.shift = landmarks, -1.0, 1.0, 0.0
         self.kernel = Kernel(landmarks)
-        gram = self.kernel(landmarks)
-        value, vector = np.linalg.eigh((gram + gram.T) / 2)
-        good = value > 1e-6 * max(value.max(), 1e-12)
+        number, gram = self.kernel(landmarks)
+        full = np.zeros((len(landmarks), len(landmarks)))
+        full[number] = gram
+        value, vector = np.linalg.eigh((full + full.T) / 2)
+        good = value > 1e-3 * max(value.max(), 1e-12)
         self.whiten = vector[:, good] / np.sqrt(value[good])
-        self.bias, self.slope, self.shift = -1.0, 1.0, 0.0
-        self.weigh(np.zeros(int(good.sum())))
 
-    def weigh(self, weights: np.ndarray) -> None:
-        self.weights = weights
-        # weights on features are weights on kernels, and those are weights on subsequences
-        self.flat = (self.kernel.table @ (self.whiten @ weights))[self.kernel.slot]
+    def __getstate__(self) -> dict:
+        return {k: getattr(self, k) for k in ("landmarks", "weights", "bias", "slope", "shift")}
 
-    def features(self, words: list[str]) -> np.ndarray:
-        return self.kernel(words) @ self.whiten
-
-    def margins(self, words: list[str]) -> np.ndarray:
-        return self.kernel.sums(words, self.flat) + self.bias
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.kernel = Kernel(self.landmarks)
 
     def string_scores(self, words: list[str]) -> list[float]:
-        """The worst window's margin of each string."""
+        """What each string adds to its text's sum."""
         cut = [windows(w) for w in words]
-        cores = sorted({c for own in cut for c in own}, key=len)
-        found = dict(zip(cores, self.margins(cores).tolist(), strict=True))
-        return [max(map(found.__getitem__, own)) for own in cut]
+        parts = list(dict.fromkeys(c for own in cut for c in own))
+        number, values = self.kernel(parts)
+        score = np.zeros(len(parts))
+        score[number] = values @ self.weights
+        found = dict(zip(parts, score.tolist(), strict=True))
+        return [sum(map(found.__getitem__, own)) for own in cut]
+
+    def margins(self, values: list[float], index: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Texts' margins from the scores of distinct strings, each string's place among them, and texts' numbers of strings."""
+        total = np.concatenate(([0.0], np.cumsum(np.array(values, np.float64)[index]))) if len(index) else np.zeros(1)
+        return SCALE * np.diff(total[np.concatenate(([0], np.cumsum(count)))]) / np.maximum(count, 1) + self.bias
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
 
-    def train(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float = 1e-3, epochs: int = 400) -> None:
-        """Primal SVM with squared hinge loss by Newton steps on the examples within the margin."""
-        z = np.hstack([x, np.ones((len(x), 1))])
-        w, ridge = np.zeros(z.shape[1]), np.eye(z.shape[1]) * strength
-        ridge[-1, -1] = 1e-8
-        before = None
-        for _ in range(epochs):
+    def train(self, features: np.ndarray, label: np.ndarray, ridge: float = RIDGE, rounds: int = 100) -> Model:
+        """Primal SVM with squared hinge loss by Newton steps on the examples within the margin; both classes weigh the same."""
+        y = np.where(label > 0, 1.0, -1.0)
+        weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+        z = np.hstack([features @ self.whiten, np.ones((len(y), 1))])
+        w, penalty, before = np.zeros(z.shape[1]), np.eye(z.shape[1]) * ridge, None
+        penalty[-1, -1] = 1e-9
+        for _ in range(rounds):
             active = y * (z @ w) < 1
             if before is not None and (active == before).all():
                 break
             before = active
             a = z[active] * weight[active, None]
-            w = np.linalg.solve(a.T @ z[active] + ridge, a.T @ y[active])
-        self.bias = float(w[-1])
-        self.weigh(w[:-1])
+            w = np.linalg.solve(a.T @ z[active] + penalty, a.T @ y[active])
+        self.weights, self.bias = self.whiten @ w[:-1], float(w[-1])
+        return self
 
-    def calibrate(self, margin: np.ndarray, y: np.ndarray) -> None:
+    def calibrate(self, margin: np.ndarray, label: np.ndarray) -> None:
         """Platt's sigmoid: a logistic fit of labels on margins, with smoothed targets."""
-        pos, neg = max(1, (y > 0).sum()), max(1, (y <= 0).sum())
-        target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
+        pos, neg = (label > 0).sum(), (label <= 0).sum()
+        target = np.where(label > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
         a, b = 1.0, 0.0
-        for _ in range(100):
+        for _ in range(200):
             p = 1 / (1 + np.exp(-np.clip(a * margin + b, -40, 40)))
             g = np.array([((p - target) * margin).sum(), (p - target).sum()])
             r = p * (1 - p)
-            h = np.array([[(r * margin * margin).sum(), (r * margin).sum()], [(r * margin).sum(), r.sum()]]) + 1e-6 * np.eye(2)
+            h = np.array([[(r * margin * margin).sum(), (r * margin).sum()], [(r * margin).sum(), r.sum()]]) + 1e-3 * np.eye(2)
             step = np.linalg.solve(h, g)
             a, b = a - step[0], b - step[1]
             if np.abs(step).max() < 1e-8:
                 break
-        self.slope, self.shift = (a, b) if a > 0 else (1.0, 0.0)
-
-
-def stems(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
-    """Beginnings of strings that mark texts.
-
-    They are chosen in turn, each for the texts that those before leave unexplained, so that what comes
-    along with an insult is not learned; then all that are in a share COMMON of the marked texts and in
-    no clean one. Copies of a marked text count once.
-    """
-    toxic = _apart(toxic)
-    share: dict[str, str] = {}
-    held = [{share.setdefault(x := w[:k], x) for w in own for k in range(STEM, len(w) + 1)} for own in toxic]
-    del share
-    count = Counter(x for own in held for x in own)
-    count = Counter({x: n for x, n in count.items() if n >= SUPPORT})
-    against: Counter[str] = Counter()
-    for own in clean:
-        against.update({x for w in own for k in range(STEM, len(w) + 1) if (x := w[:k]) in count})
-    # so few texts that chance would hardly find one mark among all candidates that only marked texts hold
-    base = len(toxic) / (len(toxic) + len(clean))
-    support = max(SUPPORT, math.ceil(math.log(CHANCE / max(1, len(count))) / math.log(base)))
-    # as many clean texts as there would be if the classes were alike, at most a few hundredths of them
-    count = Counter({x: n for x, n in count.items() if against[x] / max(1, len(clean)) <= IMPURE * n / len(toxic)})
-    where: dict[str, list[int]] = {}
-    for k, own in enumerate(held):
-        for x in own:
-            if x in count:
-                where.setdefault(x, []).append(k)
-    out, open_texts = [], np.ones(len(toxic), bool)
-    while count:
-        best = max(count, key=lambda x: (count[x] - PENALTY * against[x], len(x), x))
-        if count[best] - PENALTY * against[best] < max(support, LEAST_SHARE * len(toxic)):
-            break
-        out.append(best)
-        for k in where[best]:
-            if open_texts[k]:
-                open_texts[k] = False
-                for x in held[k]:
-                    if x in count:
-                        count[x] -= 1
-        count = +count
-    often = Counter({x: len(own) for x, own in where.items() if not against[x] and len(own) >= max(support, COMMON * len(toxic))})
-    for x in sorted(often, key=lambda x: (-often[x], -len(x), x)):
-        if not any(x.startswith(o) or o.startswith(x) for o in out):
-            out.append(x)
-    return out
-
-
-def _apart(texts: list[set[str]]) -> list[set[str]]:
-    """Texts without those that are much like one before: half of eight least hashes of strings are the same."""
-    seen: dict[int, list[int]] = {}
-    out = []
-    for own in texts:
-        least = sorted(zlib.crc32(w.encode()) for w in own)[:8]
-        like = Counter(k for h in least for k in seen.get(h, ()))
-        if like and like.most_common(1)[0][1] * 2 >= len(least):
-            continue
-        for h in least:
-            seen.setdefault(h, []).append(len(out))
-        out.append(own)
-    return out
+        # LEAST is where the labels are told apart best
+        order = np.argsort(-margin, kind="stable")
+        found = np.cumsum(label[order] > 0)
+        best = int(np.argmax(2 * found / (np.arange(1, len(order) + 1) + pos)))
+        edge = float(margin[order[best : best + 2]].mean())
+        self.slope = a if a > 0 else 1.0
+        self.shift = float(np.log(LEAST / (1 - LEAST)) - self.slope * edge)
 
 
-def gapped(word: str) -> list[str]:
-    """A word with one character put in at each place."""
-    return [word[:k] + c + word[k:] for k in range(1, len(word)) for c in "-x" if len(word) < CUT]
-
-
-def fit(rows: list[tuple[str, int]]) -> Model | None:
+def fit(rows: Iterable[tuple[str, int]], folds: int = FOLDS) -> Model | None:
     """A model of labelled texts (text, 1 or 0)."""
-    rng = np.random.default_rng(SEED)
-    held: list[list[set[str]]] = [[], []]
-    share: dict[str, str] = {}  # texts hold the same strings again and again; one object stands for all
-    for text, toxic in rows:
-        held[int(toxic)].append({share.setdefault(c, c) for s in sentences(text) for w in s for c in windows(w) if len(c) >= ORDER})
-    del share
-    clean, toxic = held
-    if not clean or not toxic:
-        return None
-    marks = stems(toxic, clean)
-    if not marks:
+    texts = Texts(rows)
+    every = np.arange(len(texts.label))
+    parts = [every] + [every[every % folds != k] for k in range(folds)]
+    chosen = [choose(texts, *(p[texts.label[p] == k] for k in (1, 0))) if len(set(texts.label[p].tolist())) == 2 else [] for p in parts]
+    if not chosen[0]:
         return None
-    starts = tuple(marks)
-    seen = Counter(w for own in toxic for w in own if w.startswith(starts))
-    positive = list(dict.fromkeys([*marks, *[w for w, _ in seen.most_common(TERMS)], *[g for m in marks for g in gapped(m)]]))
-    known = set(positive)
-    common = Counter(w for own in clean for w in own if w not in known)
-    order = [w for w, _ in common.most_common(TERMS)]
-    rest = sorted(w for w in common if w not in set(order))
-    # clean strings that are likest to the marks stand among the landmarks too
-    pool = order + [rest[k] for k in rng.permutation(len(rest))[: POOL - len(order)]]
-    like = Kernel(marks)
-    near = (like(pool) / np.sqrt(np.diag(like(marks)))).max(1) / np.sqrt(np.array([max(1, len(w) - ORDER) for w in pool]))
-    close = np.argsort(-near, kind="stable")
-    model = Model(marks + [pool[k] for k in close[: max(LANDMARKS - len(marks), LANDMARKS // 4)]])
-    x_pos = model.features(positive)
-    weight = np.array([1 + np.log1p(seen[w]) for w in positive])
-    chosen = list(dict.fromkeys([*pool[: TERMS // 2], *[pool[k] for k in close[: TERMS // 2]]]))
-    x_neg = model.features(chosen)
-    for _ in range(ROUNDS):
-        y = np.concatenate([np.ones(len(x_pos)), -np.ones(len(chosen))])
-        model.train(np.vstack([x_pos, x_neg]), y, np.concatenate([weight * len(chosen) / weight.sum(), np.ones(len(chosen))]))
-        worst = np.argsort(-model.margins(pool), kind="stable")[: TERMS // 4]
-        more = sorted({pool[k] for k in worst} - set(chosen))
-        chosen += more
-        x_neg = np.vstack([x_neg, model.features(more)])
-    texts = [*clean, *toxic]
-    every = sorted({w for own in texts for w in own})
-    margin_of = dict(zip(every, model.margins(every).tolist(), strict=True))
-    margin = np.array([max(map(margin_of.__getitem__, own), default=model.bias) for own in texts])
-    label = np.concatenate([-np.ones(len(clean)), np.ones(len(toxic))])
-    # texts that are marked but hold no mark that was learned would only flatten the curve
-    used = (label < 0) | np.array([any(w.startswith(starts) for w in own) for own in texts])
-    model.calibrate(margin[used], label[used])
-    return model
-
-
-def labelled(docs: DataFrame, labels: DataFrame, fold: Column, out: int, sample: int = SAMPLE) -> list[tuple[str, int]]:
-    """A bounded sample of labelled texts of the folds to learn from: at most LONGEST characters of each."""
+    # all parts' landmarks together, so that the texts' strings are read once
+    union = list(dict.fromkeys(x for own in chosen for x in own))
+    place = {x: k for k, x in enumerate(union)}
+    features = texts.features(Kernel(union))
+    models = [Model(own).train(features[p][:, [place[x] for x in own]], texts.label[p]) if own else None for p, own in zip(parts, chosen, strict=True)]
+    margins, seen = [], []
+    for k, part in enumerate(models[1:]):
+        if part is not None:
+            own = every[every % folds == k]
+            margins.append(features[own][:, [place[x] for x in part.landmarks]] @ part.weights + part.bias)
+            seen.append(own)
+    if seen:
+        models[0].calibrate(np.concatenate(margins), texts.label[np.concatenate(seen)])
+    return models[0]
+
+
+def labelled(docs: DataFrame, labels: DataFrame, fold: Column, out: int, sample: int = SAMPLE) -> Iterator[tuple[str, int]]:
+    """A bounded sample of labelled texts of the folds to learn from, one after the other."""
     marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max(F.col("toxic").cast("int")) > 0).cast("int").alias("toxic"))
-    key = F.xxhash64("doc_id")
-    pool = docs.filter(F.col("text").isNotNull() & (fold != out)).select("doc_id").distinct().join(marks, "doc_id").withColumn("key", key)
+    pool = docs.filter(F.col("text").isNotNull() & (fold != out)).select("doc_id").distinct().join(marks, "doc_id")
+    pool = materialize(pool.withColumn("key", F.xxhash64("doc_id")), "labelled")
+    sizes = {r["toxic"]: r["count"] for r in pool.groupBy("toxic").count().collect()}
     # ids and marks are joined and cut to the sample first; texts are then fetched for it alone
-    some = [pool.filter(F.col("toxic") == k).orderBy("key", "doc_id").limit(sample) for k in (0, 1)]
+    some = [least_keys(pool.filter(F.col("toxic") == k), "key", sample, sizes.get(k, 0), "doc_id") for k in (0, 1)]
     chosen = materialize(some[0].unionByName(some[1]), "sample")
-    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", F.col("text").substr(1, LONGEST).alias("text"))
+    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
     # at most twice the sample's rows are broadcast
     rows = texts.join(F.broadcast(chosen), "doc_id").orderBy("key", "text").select("text", "toxic").toLocalIterator()
-    got: list[list[str]] = [[], []]
+    left = [sample, sample]
     for r in rows:
-        if len(got[r["toxic"]]) < sample:
-            got[r["toxic"]].append(r["text"])
-    return [(text, k) for k in (0, 1) for text in got[k]]
+        if left[r["toxic"]]:
+            left[r["toxic"]] -= 1
+            yield r["text"], r["toxic"]
 
 
 def score(docs: DataFrame, model: Model | None, rows: int = 512) -> DataFrame:
@@ -367,8 +382,8 @@ def score(docs: DataFrame, model: Model | None, rows: int = 512) -> DataFrame:
         cache = Cache(own.string_scores)
         for batch in batches:
             for part in pieces(batch, rows):
-                found = cache.values([strings(t) for t in part.column("text").to_pylist()])
-                margin = np.array([max(f, default=own.bias) for f in found])
+                keys, count = strings(part.column("text").to_pylist())
+                margin = own.margins(*cache.of(keys), count)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.probability(margin))], schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -57,9 +57,10 @@ def test_bpe_on_random_and_long_strings():
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
     random.seed(4)
     texts = ["".join(random.choice(" \n\t  ' abcTHE12٣½…é日😀.,!'s\r\x1c\x85") for _ in range(random.randint(0, 60))) for _ in range(800)]
-    texts += ["ab" * 3000 + "aaaa" * 700, "the" * 900, " " * 5000]
+    texts += ["ab" * 3000 + "aaaa" * 700, "the" * 900, " " * 5000, "é" * 3000]
+    texts += ["".join(random.choice("etaoinshrdlu") for _ in range(20_000)), "".join(random.choice("thea") for _ in range(9000))]
     for text, ids in zip(texts, own.encode_all(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(text)
+        assert ids.tolist() == enc.encode_ordinary(text)
         assert own.decode(ids) == text.encode()
 
 
@@ -422,49 +423,92 @@ def test_string_kernel_is_exact():
     import itertools
 
     random.seed(9)
-    words = ["".join(random.choice("abc") for _ in range(random.randint(1, 8))) for _ in range(15)]
+    words = ["".join(random.choice("abc") for _ in range(random.randint(4, 10))) for _ in range(15)] + ["ab", "x"]
 
     def brute(s: str, t: str) -> float:
-        places = lambda w: itertools.combinations(range(len(w)), toxicity.ORDER)
+        places = lambda w: [p for p in itertools.combinations(range(len(w)), toxicity.ORDER) if p[-1] - p[0] < toxicity.SPAN]
         return sum(
             toxicity.DECAY ** (a[-1] - a[0] + b[-1] - b[0] + 2 - 2 * toxicity.ORDER)
             for a in places(s) for b in places(t) if all(s[x] == t[y] for x, y in zip(a, b, strict=True))
         )
 
-    assert np.allclose(toxicity.Kernel(words[:6])(words), [[brute(a, b) for b in words[:6]] for a in words])
+    number, values = toxicity.Kernel(words[:6])(words)
+    got = np.zeros((len(words), 6))
+    got[number] = values
+    want = [[(brute(a, b) / max(1e-9, brute(a, a) * brute(b, b)) ** 0.5) ** toxicity.POWER for b in words[:6]] for a in words]
+    # strings that share little with all landmarks count as unlike them
+    assert set(range(6)) <= set(number.tolist()) and np.allclose(got[number], np.array(want)[number])
+
+
+def test_toxicity_scores_against_plain_sums():
+    model = toxicity.Model(["idiot", "moron", "pleasant"]).train(np.array([[3.0, 0, 0], [0, 3, 0], [0, 0, 3], [0, 0, 0]]), np.array([1, 1, 0, 0]))
+    texts = ["you IDIOT, mor-on", "pleasant day", "", None, "i d i o t " * 3 + "z" * 70]
+    keys, count = toxicity.strings(texts)
+    got = model.margins(*toxicity.Cache(model.string_scores).of(keys), count)
+    for text, margin in zip(texts, got, strict=True):
+        flat = toxicity.strings([text])[0].to_pylist()
+        total = 0.0
+        for word in flat:
+            for w in toxicity.windows(word):
+                for values in model.kernel([w])[1]:
+                    total += float(values @ model.weights)
+        assert np.isclose(margin, toxicity.SCALE * total / len(flat) + model.bias)
+
+
+def held_out_figures(got) -> tuple[float, float]:
+    hits = [r for r in got if r["predicted"]]
+    return sum(r["toxic"] for r in hits) / max(1, len(hits)), sum(r["toxic"] for r in hits) / sum(r["toxic"] for r in got)
 
 
-def test_toxicity_held_out(spark, odd, none):
-    root = "/root/testdata/sf0.01"
+def test_toxicity_held_out(spark):
+    root = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet")
-    got = toxicity.classify(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").filter("held_out").collect()
-    hits = [r for r in got if r["predicted"]]
-    assert len(hits) >= 5 and sum(r["toxic"] for r in hits) >= 0.8 * len(hits)
-    assert all(0 <= r["score"] <= 1 for r in got)
-    assert toxicity.classify(odd, labels.limit(0)).filter("score = 0 and predicted = 0").count() == len(ODD)
+    scored = queries.op6_toxicity(spark, root).join(labels.select("doc_id", "toxic"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    got = scored.filter("held_out").collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 for r in got)
+    assert all(r["predicted"] == (r["score"] >= 0.7) for r in got)
+    precision, recall = held_out_figures(got)
+    assert precision >= 0.88 and recall >= 0.88
+    for lang in ("en", "fr", "de", "es"):
+        assert held_out_figures([r for r in got if r["lang"] == lang])[1] >= 0.8, lang
+
+
+def test_toxicity_odd_rows(odd, none, spark):
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.classify(odd, labels).filter("score = 0 and predicted = 0").count() == len(ODD)
     assert toxicity.classify(none, labels).count() == 0
-    model = toxicity.Model(["idiot", "moron"])
-    assert toxicity.score(odd, model).columns == [*odd.columns, "toxicity"]
+    model = toxicity.Model(["idiot", "moron"]).train(np.eye(2) * 3, np.array([1, 0]))
+    got = toxicity.score(odd, model)
+    assert got.columns == [*odd.columns, "toxicity"] and got.count() == len(ODD)
+    assert all(0 <= r["toxicity"] <= 1 for r in got.collect())
+    assert toxicity.score(none, model).count() == 0
 
 
-def test_toxicity_learns_all_marks():
+def test_toxicity_learns_all_marks_and_their_gapped_forms():
     rng = random.Random(17)
     word = lambda letters: "".join(rng.choice(letters) for _ in range(7))
     harmless = [word("abcdefghij") for _ in range(300)]
     insults = [word("klmnopqrstuvwxyz") for _ in range(45)]
-    text = lambda *more: " ".join([*(rng.choice(harmless) for _ in range(12)), *more])
-    model = toxicity.fit([(text(w), 1) for w in insults for _ in range(25)] + [(text(), 0) for _ in range(1125)])
-    sure = model.probability(np.array(model.string_scores([*insults, *harmless])))
-    assert (sure[:45] >= toxicity.LEAST).all() and (sure[45:] < toxicity.LEAST).all()
+    text = lambda *more, n=12: " ".join([*(rng.choice(harmless) for _ in range(n)), *more])
+    some = lambda: rng.randint(12, 40)
+    model = toxicity.fit([(text(w, n=some()), 1) for w in insults for _ in range(25)] + [(text(n=some()), 0) for _ in range(1125)])
+
+    def scores(texts: list[str]) -> np.ndarray:
+        keys, count = toxicity.strings(texts)
+        return model.probability(model.margins(*toxicity.Cache(model.string_scores).of(keys), count))
+
+    assert (scores([text(w) for w in insults]) >= toxicity.LEAST).all() and (scores([text() for _ in range(300)]) < toxicity.LEAST).all()
+    for hidden in (lambda w: "-".join(w), lambda w: " ".join(w), lambda w: w[:3] + "." + w[3:], lambda w: w[:3] + "q" + w[3:]):
+        assert (scores([text(hidden(w)) for w in insults]) >= toxicity.LEAST).mean() >= 0.9
 
 
-def test_toxicity_sample_is_the_one_that_quality_was_measured_with(spark):
-    docs = spark.range(9000).selectExpr("id as doc_id", "concat('text ', id) as text")
-    labels = spark.range(9000).selectExpr("id as doc_id", "id % 2 as toxic")
-    assert len(toxicity.labelled(docs, labels, toxicity.F.lit(0), 1)) == 8000
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.range(20000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    labels = spark.range(20000).selectExpr("id as doc_id", "id % 2 as toxic")
+    assert len(list(toxicity.labelled(docs, labels, toxicity.F.lit(0), 1))) == 8000
 
 
 def test_spaced_and_cut_strings():
-    assert toxicity.strings("You i d i o t now") == ["you", "idiot", "now"]
-    assert toxicity.windows("i.d.i.o.t!") == ["i.d.i.o.t", "idiot"]
+    keys, count = toxicity.strings(["You i d i o t now", "i.d.i.o.t!", " ", "a b"])
+    assert keys.to_pylist() == ["you", "idiot", "now", "idiot", "", "a", "b"] and count.tolist() == [3, 1, 1, 2]
     assert all(len(w) <= toxicity.CUT for w in toxicity.windows("y" * 1000))
