@@ -3,14 +3,16 @@
 Base spans follow fixed patterns for email, ip, card and phone, found in linear time in whole texts.
 A bidirectional LSTM over characters with a linear-chain CRF on top is trained here in numpy, on
 labelled spans: the base spans of a bounded sample of documents, as they are and in altered forms
-that the patterns miss (an email with a bracketed "at", a phone without its plus, a card with other
-separators), each labelled with its kind. It reads overlapping windows of a text; every window is
-decoded by the CRF, and the spans of all windows are reconciled for the text as a whole: those cut
-by a window's inner edge are left to the window that has them whole; what may be too long for that is
-read again in a window of its own, whole up to LONGEST characters. Of spans that overlap, the
-set with the highest total confidence stays. Base spans always stay, and what the network adds has
-to touch none of them, to hold a digit, an @ sign or a bracketed "at", to be plausible for its kind
-and to be sure. Windows with none of these could therefore add nothing and are not computed.
+that the patterns miss (an email with its signs spelled out or in brackets, a phone without its plus,
+a card or an ip with other separators), each labelled with its kind. It reads overlapping windows of
+the whole text; every window is decoded by the CRF, and the spans of all windows are reconciled for
+the text as a whole: those cut by a window's inner edge are left to the window that has them whole;
+what may be too long for that is read again in a window of its own, whole up to LONGEST characters.
+Of spans that overlap, the set with the highest total confidence stays. Base spans always stay, and
+what the network adds has to touch none of them, to have the parts of its kind and to be sure.
+
+The network computes in single precision. A window whose characters all lie so far on the side of
+"no span" that no path of tags can win is "no span" throughout, without the sums of the CRF.
 
 Offsets are code points, ends exclusive. Null texts are empty; empty texts have no spans. Repeated
 rows and null doc_ids each keep their row. Other columns are ignored. Where the sample has no span at
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenfield.llm.tables import pieces
+from lumenfield.llm.tables import least_keys, pieces
 from lumenfield.session import ship_package
 
 KINDS = ("email", "ip", "card", "phone")
@@ -41,9 +43,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-#: What stands between an address' parts, and what an added span holds at least.
-_AT = re.compile(r"@|[\[(]\s*at\s*[\])]", re.IGNORECASE)
-_TRIGGER = re.compile(rf"[0-9]|{_AT.pattern}", re.IGNORECASE)
+#: What stands between an address' parts, as a sign or spelled out.
+_AT = re.compile(r"@|[\[(]\s*at\s*[\])]|\sat\s", re.IGNORECASE)
+_DOT = re.compile(r"\.|[\[(]\s*dot\s*[\])]|\sdot\s", re.IGNORECASE)
+_NUMBER = re.compile(r"[0-9]+")
 
 
 def emails(text: str) -> list[Span]:
@@ -91,10 +94,10 @@ def base_spans(text: str) -> list[Span]:
 # --- the network -------------------------------------------------------------------------------------
 
 TAGS = 1 + 2 * len(KINDS)
-EMBED, HIDDEN, WINDOW, STRIDE = 12, 16, 128, 80
-SAMPLE, EPOCHS, BATCH, RATE, SEED = 500, 12, 32, 0.02, 7
-#: Characters of a training window.
-SHORT = 64
+EMBED, HIDDEN, WINDOW, STRIDE = 12, 12, 384, 336
+SAMPLE, EPOCHS, BATCH, RATE, SEED = 500, 20, 96, 0.03, 7
+#: Characters of a training window, and of what windows are filled up to.
+SHORT = FILL = 64
 #: Least probability, over its characters, that a span is what the network says.
 SURE = 0.9
 #: A span this near to a window's inner edge is taken from the next window.
@@ -107,9 +110,10 @@ def codes(text: str) -> np.ndarray:
     """Characters as numbers: ASCII as it is, then other letters, other digits and the rest."""
     raw = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     out = np.minimum(raw, 130).astype(np.int64)
-    for k in np.flatnonzero(raw >= 128):
-        c = chr(raw[k])
-        out[k] = 128 if c.isalpha() else 129 if c.isdigit() else 130
+    high = np.flatnonzero(raw >= 128)
+    if len(high):
+        seen, place = np.unique(raw[high], return_inverse=True)
+        out[high] = np.array([128 if (c := chr(x)).isalpha() else 129 if c.isdigit() else 130 for x in seen.tolist()])[place]
     return out
 
 
@@ -138,7 +142,7 @@ class Tagger:
     def _lstm(self, e: np.ndarray, d: str, keep: list | None) -> np.ndarray:
         """Outputs over time (time x rows x hidden) for embedded input in reading order."""
         n, rows = e.shape[0], e.shape[1]
-        h, c = np.zeros((rows, HIDDEN)), np.zeros((rows, HIDDEN))
+        h, c = np.zeros((2, rows, HIDDEN))
         into, out = e @ self.p[f"x{d}"] + self.p[f"c{d}"], np.empty((n, rows, HIDDEN))
         for t in range(n):
             z = into[t] + h @ self.p[f"h{d}"]
@@ -250,6 +254,64 @@ class Tagger:
         return self
 
 
+class Reader:
+    """A trained tagger for reading: the same network in single precision, rows of windows last."""
+
+    def __init__(self, model: Tagger):
+        self.model, p = model, {k: v.astype(np.float32) for k, v in model.p.items()}
+        # what a character adds to the gates, in either direction
+        self.into = {d: np.ascontiguousarray(p["embed"] @ p[f"x{d}"] + p[f"c{d}"]) for d in "fb"}
+        self.again = {d: np.ascontiguousarray(p[f"h{d}"].T) for d in "fb"}
+        self.out = {"f": p["out"][:HIDDEN].T, "b": p["out"][HIDDEN:].T}
+        self.bias = p["bias"][:, None]
+
+    def emissions(self, x: np.ndarray) -> np.ndarray:
+        """Scores of tags, time x tags x rows, for rows of character numbers."""
+        rows, n = x.shape
+        em = np.broadcast_to(self.bias, (n, TAGS, rows)).copy()
+        kept, z = np.empty((n, HIDDEN, rows), np.float32), np.empty((4 * HIDDEN, rows), np.float32)
+        x = np.ascontiguousarray(x.T)
+        for d in "fb":
+            h, c, tanh = np.zeros((3, HIDDEN, rows), np.float32)
+            for t in range(n) if d == "f" else range(n - 1, -1, -1):
+                np.matmul(self.again[d], h, out=z)
+                z += self.into[d][x[t]].T
+                gates, new = z[: 3 * HIDDEN], z[3 * HIDDEN :]
+                np.negative(gates, out=gates)
+                np.exp(gates, out=gates)
+                gates += 1
+                np.reciprocal(gates, out=gates)
+                np.tanh(new, out=new)
+                c *= gates[HIDDEN : 2 * HIDDEN]
+                new *= gates[:HIDDEN]
+                c += new
+                np.tanh(c, out=tanh)
+                h = np.multiply(gates[2 * HIDDEN :], tanh, out=kept[t])
+            em += self.out[d] @ kept
+        return em
+
+    def open_rows(self, em: np.ndarray) -> np.ndarray:
+        """Rows in which some path with a span might beat the one without any.
+
+        Against that one, a span gains its characters' scores and steps. Each span of a path gains at
+        most what the best one does that is entered from any tag and left at no cost, or better.
+        """
+        step = self.model.steps()
+        first, inner = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
+        enter = (step[:, first].max(0) - step[0, 0]).astype(np.float32)[:, None]
+        begin = (step[first, inner] - step[0, 0]).astype(np.float32)[:, None]
+        go = (step[inner, inner] - step[0, 0]).astype(np.float32)[:, None]
+        leave = max(0.0, float(step[1:, 0].max() - step[0, 0]))
+        gain = em[:, 1:] - em[:, :1]
+        b, i = np.full((2, len(KINDS), em.shape[2]), -1e9, np.float32)
+        best = np.full((len(KINDS), em.shape[2]), -1e9, np.float32)
+        for t in range(len(em)):
+            i = np.maximum(b + begin, i + go) + gain[t, 1::2]
+            b = enter + gain[t, ::2]
+            np.maximum(best, np.maximum(b, i), out=best)
+        return np.flatnonzero(best.max(0) + leave > -1e-3)
+
+
 # --- labelled spans ------------------------------------------------------------------------------------
 
 
@@ -257,7 +319,9 @@ def altered(value: str, kind: str, rng: np.random.Generator) -> str:
     """A form of a value that the base patterns miss or cut short."""
     pick = lambda *x: x[int(rng.integers(len(x)))]
     if kind == "email":
-        return value.replace("@", pick(" @ ", "(@)", "[@]", " (at) ", " [at] "))
+        name, _, host = value.partition("@")
+        sign = pick(" @ ", "(@)", "[@]", " (at) ", " [at] ", " at ")
+        return name + sign + (host.replace(".", pick(" dot ", ".")) if sign == " at " else host)
     if kind == "phone":
         return value.replace("+", pick("", "00"), 1).replace(" ", pick(" ", "-", ".", " "))
     if kind == "card":
@@ -298,22 +362,18 @@ def examples(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         others = [m.start() for m in re.finditer("[0-9@]", text) if m.start() not in inside]
         for at in others[:: max(1, len(others) // 3)][:3]:
             add(text, spans, at)
-        add(text, spans, int(rng.integers(len(text))))
+        for _ in range(3):
+            add(text, spans, int(rng.integers(len(text))))
     return np.array(xs).reshape(-1, SHORT), np.array(ys).reshape(-1, SHORT)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, around: int = 4000) -> Tagger | None:
-    """Trained on the first stretch with digits or @ signs of at most `sample` documents, those of least hash."""
+    """Trained on at most `sample` documents with a digit or @ sign, those of least hash: on the stretch of `around` characters about the first one."""
     start = F.greatest(F.regexp_instr("text", F.lit("[0-9@]")) - around // 2, F.lit(1))
-    rows = (
-        docs.filter(F.col("text").rlike("[0-9@]"))
-        .select(F.col("text").substr(start, F.lit(around)).alias("part"), F.xxhash64("text").alias("key"))
-        .distinct()
-        .orderBy("key", "part")
-        .limit(sample)
-        .collect()
-    )
-    x, y = examples([r["part"] for r in rows])
+    some = docs.filter(F.col("text").rlike("[0-9@]"))
+    keyed = some.select(F.col("text").substr(start, F.lit(around)).alias("part"), F.xxhash64("doc_id", "text").alias("key"))
+    rows = least_keys(keyed, "key", sample, some.count(), "part").collect()
+    x, y = examples(list(dict.fromkeys(r["part"] for r in rows)))
     return Tagger().train(x, y) if (y > 0).any() else None
 
 
@@ -323,9 +383,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, around: int = 4000) -> Tagger | N
 def _plausible(value: str, kind: str) -> bool:
     digits = len(_DIGITS.findall(value))
     if kind == "email":
-        return bool(_AT.search(value)) and "." in value and len(value) >= 7
+        at = _AT.search(value)
+        return bool(at) and at.start() > 0 and bool(_DOT.search(value, at.end())) and len(value) >= 7
     if kind == "ip":
-        return 4 <= digits <= 12 and value.count(".") == 3
+        parts = _NUMBER.findall(value)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == "card":
         return 14 <= digits <= 19 and _luhn(re.sub("[^0-9]", "", value))
     return 10 <= digits <= 15
@@ -349,38 +411,43 @@ def _best(spans: list[tuple[int, int, str, float]]) -> list[Span]:
     return out[::-1]
 
 
-def _read(texts: list[str], model: Tagger, jobs: list[tuple[int, int]], wide: int, step: int) -> Iterator[tuple[int, int, int, int, str, float]]:
-    """Spans in windows (text, start): text, start, the span's begin and end in the window, kind, confidence."""
-    for at in range(0, len(jobs), step):
-        some = jobs[at : at + step]
-        em = model.emissions(np.stack([codes(texts[k][a : a + wide].ljust(wide)) for k, a in some]))
-        tags, sure = model.viterbi(em), model.marginals(em)
-        for r, (k, a) in enumerate(some):
-            own, t = tags[r], 0
-            while t < wide:
-                if own[t] == 0 or own[t] % 2 == 0:
-                    t += 1
-                    continue
-                end = t + 1
-                while end < wide and own[end] == own[t] + 1:
-                    end += 1
-                yield k, a, t, end, KINDS[(own[t] - 1) // 2], float(sure[np.arange(t, end), r, own[t:end]].mean())
-                t = end
-
-
-def network_spans(texts: list[str], model: Tagger, step: int = 256) -> list[list[Span]]:
+def _read(texts: list[str], reader: Reader, jobs: list[tuple[int, int]], wide: int, step: int) -> Iterator[tuple[int, int, int, int, str, float]]:
+    """Spans in windows (text, start): text, start, the span's begin and end in the window, kind, confidence.
+
+    The last window of a text is filled up to a multiple of FILL; windows of one width are read together.
+    """
+    by_width: dict[int, list[tuple[int, int]]] = {}
+    for k, a in jobs:
+        by_width.setdefault(min(wide, -(-(len(texts[k]) - a) // FILL) * FILL), []).append((k, a))
+    for width, own_jobs in by_width.items():
+        for at in range(0, len(own_jobs), step):
+            some = own_jobs[at : at + step]
+            em = reader.emissions(codes("".join([texts[k][a : a + width].ljust(width) for k, a in some])).reshape(len(some), width))
+            rows = reader.open_rows(em)
+            if not len(rows):
+                continue
+            em = np.ascontiguousarray(em[:, :, rows].transpose(0, 2, 1), np.float64)
+            tags, sure = reader.model.viterbi(em), reader.model.marginals(em)
+            for r, (k, a) in enumerate([some[n] for n in rows.tolist()]):
+                own, t = tags[r], 0
+                while t < width:
+                    if own[t] == 0 or own[t] % 2 == 0:
+                        t += 1
+                        continue
+                    end = t + 1
+                    while end < width and own[end] == own[t] + 1:
+                        end += 1
+                    yield k, a, t, end, KINDS[(own[t] - 1) // 2], float(sure[np.arange(t, end), r, own[t:end]].mean())
+                    t = end
+
+
+def network_spans(texts: list[str], reader: Reader, step: int = 512) -> list[list[Span]]:
     """What the network finds in each text, all windows reconciled."""
-    jobs = []
-    for k, text in enumerate(texts):
-        last = -1
-        for m in _TRIGGER.finditer(text):
-            # the windows that have this character: they begin at multiples of the stride
-            for w in range(max(last + 1, -(-(m.start() - WINDOW + 1) // STRIDE)), m.start() // STRIDE + 1):
-                jobs.append((k, w * STRIDE))
-                last = w
+    # windows until one reaches the end
+    jobs = [(k, a) for k, text in enumerate(texts) if text for a in range(0, max(1, len(text) - WINDOW + STRIDE), STRIDE)]
     found: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
     again: set[tuple[int, int]] = set()
-    for k, a, t, end, kind, p in _read(texts, model, jobs, WINDOW, step):
+    for k, a, t, end, kind, p in _read(texts, reader, jobs, WINDOW, step):
         left, right = t < EDGE and a > 0, end > WINDOW - EDGE and a + WINDOW < len(texts[k])
         if (right and t < STRIDE + EDGE) or (left and end > WINDOW - EDGE - STRIDE):
             # the windows beside this one need not have it whole either
@@ -388,7 +455,7 @@ def network_spans(texts: list[str], model: Tagger, step: int = 256) -> list[list
         if not (left or right) and p >= SURE and _plausible(texts[k][a + t : a + end], kind):
             found[k].append((a + t, a + end, kind, p))
     wide = 2 * (LONGEST + EDGE)
-    for k, a, t, end, kind, p in _read(texts, model, sorted(again), wide, max(1, step * WINDOW // wide)):
+    for k, a, t, end, kind, p in _read(texts, reader, sorted(again), wide, max(1, step * WINDOW // wide)):
         whole = (t >= EDGE or a == 0) and (end <= wide - EDGE or a + wide >= len(texts[k]))
         # shorter ones were read before
         if whole and end - t > WINDOW - 2 * EDGE - STRIDE and p >= SURE and _plausible(texts[k][a + t : a + end], kind):
@@ -396,10 +463,10 @@ def network_spans(texts: list[str], model: Tagger, step: int = 256) -> list[list
     return [_best(f) for f in found]
 
 
-def spans(texts: list[str], model: Tagger | None) -> list[tuple[list[Span], list[Span]]]:
+def spans(texts: list[str], reader: Reader | None) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text."""
     base = [base_spans(t) for t in texts]
-    added = network_spans(texts, model) if model else [[] for _ in texts]
+    added = network_spans(texts, reader) if reader else [[] for _ in texts]
     out = []
     for own, more in zip(base, added, strict=True):
         held = sorted((a, b) for a, b, _ in own)
@@ -434,9 +501,10 @@ def find(docs: DataFrame, model: Tagger | None, rows: int = 256) -> DataFrame:
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = sent.value and Reader(sent.value)
         for batch in batches:
             for part in pieces(batch, rows):
-                got = spans([t or "" for t in part.column("text").to_pylist()], sent.value)
+                got = spans([t or "" for t in part.column("text").to_pylist()], reader)
                 cols = [part.column("doc_id")]
                 cols += [pa.array([sum(s[2] == k for s in b) for b, _ in got], pa.int64()) for k in KINDS]
                 cols += [pa.array([hashlib.sha256(_join(b).encode()).hexdigest() for b, _ in got])]
@@ -455,10 +523,11 @@ def redact(docs: DataFrame, model: Tagger | None, rows: int = 256) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = sent.value and Reader(sent.value)
         for batch in batches:
             for part in pieces(batch, rows):
                 texts = part.column(at).to_pylist()
-                got = spans([t or "" for t in texts], sent.value)
+                got = spans([t or "" for t in texts], reader)
                 new = [t and redacted(t, s) for t, (_, s) in zip(texts, got, strict=True)]
                 cols = list(part.columns)
                 cols[at] = pa.array(new, part.column(at).type)
