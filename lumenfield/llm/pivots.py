@@ -14,8 +14,8 @@ longer than BLOCK is dealt over several tasks as all pairs of its blocks of BLOC
 out is, for each vector and block, its number of links and one edge to each group that it joins, so
 no pairs are emitted. Equal vectors are collapsed first and counted by their number.
 
-A vector that is null, empty, zero or holds null or non-finite components, or of other length than
-most, links with nothing. Each row of the table returns one row, repeated rows and vec_ids too; rows
+A vector that is null, empty, zero or holds null or non-finite components links with nothing. Vectors
+of different lengths are never linked; each length has an index of its own. Each row of the table returns one row, repeated rows and vec_ids too; rows
 with a null vec_id link like others and name a component only if all of its ids are null; kept is
 then false. Other columns are ignored. An empty table gives no rows.
 """
@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfield.llm.tables import salted
 from lumenfield.operators.components import connected_components
 from lumenfield.plans.scratch import materialize
 from lumenfield.session import ship_package
@@ -131,13 +132,20 @@ def near_duplicates(
         F.lit(False),
     )
     rows = materialize(rows.withColumn("vec", F.when(good, F.col("v"))).select("vec_id", "vec"), "vectors")
-    sizes = rows.filter("vec is not null").groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").head()
-    if sizes is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.col("vec_id"), F.lit(False)).alias("kept"))
-    fits = F.coalesce(F.size("vec") == sizes["d"], F.lit(False))
+    lengths_found = sorted(r["d"] for r in rows.filter("vec is not null").select(F.size("vec").alias("d")).distinct().collect())
+    alone = rows.filter("vec is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = alone
+    for length in lengths_found:
+        fits = rows.filter(F.coalesce(F.size("vec") == length, F.lit(False)))
+        out = out.unionByName(_linked(fits, kind, least, pivots, k, shared, block))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _linked(rows: DataFrame, kind: str, least: float, pivots: int | None, k: int, shared: int, block: int) -> DataFrame:
+    """vec_id, n_links and component_id of vectors of one length."""
+    spark = rows.sparkSession
     distinct = (
-        rows.filter(fits)
-        .groupBy("vec")
+        rows.groupBy("vec")
         .agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least_id"))
         .withColumn("uid", F.monotonically_increasing_id())
     )
@@ -205,6 +213,4 @@ def near_duplicates(
         "uid", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id"
     )
     by_vec = distinct.select("uid", "vec").join(by_uid, "uid").drop("uid")
-    linked = rows.filter(fits).join(by_vec, "vec").select("vec_id", "n_links", "component_id")
-    alone = rows.filter(~fits).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return salted(rows, by_vec, "vec").select("vec_id", "n_links", "component_id")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfield.llm.tables import pieces
+from lumenfield.llm.tables import pieces, salted
 from lumenfield.operators.components import connected_components
 from lumenfield.plans.scratch import materialize
 from lumenfield.session import ship_package
@@ -250,6 +250,6 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
         classes.join(merged, "fp", "left")
         .select("fp", F.coalesce("component_id", "least").alias("component_id"))
     )
-    return prints.join(named, "fp").select(
+    return salted(prints, named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp"
     )

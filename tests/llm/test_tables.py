@@ -12,6 +12,7 @@ import pytest
 import tiktoken
 
 from lumenfield.llm import bpe, decontaminate, kdtree, pii, pivots, queries, simhash, toxicity
+from lumenfield.llm.tables import salted
 
 
 def test_shards(spark, sf_dir):
@@ -76,6 +77,19 @@ def test_vectors_against_brute_force(spark, block):
     assert sum((r["component_id"] == want[r["vec_id"]][1]) and r["kept"] == (r["vec_id"] == r["component_id"]) for r in got) >= 0.98 * len(got)
 
 
+def test_vectors_of_every_length_are_compared(spark):
+    rows = [(1, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [2.0, 2.01]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.0, 0.0]), (6, [0.0, 1.0, 0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pivots.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
+
+
+def test_hot_keys_are_dealt(spark):
+    rows = spark.range(2000).selectExpr("id", "if(id % 3 = 0, 7, id) as k", "if(id = 5, null, 1) as one")
+    unique = rows.groupBy("k").count()
+    got = {(r["id"], r["count"]) for r in salted(rows, unique, "k", parts=8).collect()}
+    assert len(got) == 2000 and (9, 668) in got and (1, 1) in got
+
+
 def test_vectors_of_odd_tables(spark, sf_dir):
     schema = "vec_id long, embedding array<float>, label int"
     for rows in ([], [(1, None, 0)], [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (None, [2.0, 0.0], 0), (3, [0.0, 1.0], 1)]):
@@ -106,7 +120,7 @@ def test_pipeline_against_brute_force(spark):
     # contamination: every document aligned to every item
     items = [decontaminate.words(r["text"]) for r in spark.read.parquet(f"{root}/benchmark.parquet").collect()]
     number = {w: k + 1 for k, w in enumerate({w for i in items for w in i})}
-    coded = [np.array([number[w] for w in i]) for i in items if len(i) >= decontaminate.MIN_WORDS]
+    coded = [np.array([number[w] for w in i]) for i in items if len(i) > decontaminate.SHORT]
     clean = []
     for i in kept:
         own = np.array([number.get(w, 0) for w in decontaminate.words(rows[i])])
