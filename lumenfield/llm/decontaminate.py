@@ -10,8 +10,9 @@ by Smith-Waterman on words: MATCH for equal words, MISMATCH and GAP otherwise. T
 other, common seeds is aligned too unless its words and the item's show that no alignment in it can
 reach the least score asked for, so commonness hides no contaminated document; only scores under that
 may be missing. An item's score in a document is the best alignment's score over that of the item with itself, between 0 and 1. A document
-is contaminated if an item of MIN_WORDS words or more reaches LEAST. Items with fewer words than a
-seed are compared as one seed of their own length; their score is then 1 if found.
+is contaminated if an item reaches LEAST. Items of SEED to 4 words have to be there word for word: half
+of so few words is no copy. Items with fewer words than a seed are compared as one seed of their own
+length; their score is then 1 if found.
 
 The scan emits rows only for seeds, each carrying its positions; passages travel only for those. Test items are
 broadcast, after their words are counted and found to be MAX_WORDS or fewer; a larger benchmark is
@@ -20,7 +21,7 @@ document's, and a document's hits are grouped where they are found, in its own t
 
 Null and empty texts hold nothing. Repeated rows and null doc_ids each return their own row. Items
 that are null, empty or repeated are harmless: equal items share a score and the smallest item_id is
-named. Other columns are ignored. An empty benchmark leaves every document clean.
+named; a null item_id is -1. Other columns are ignored. An empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
@@ -38,7 +39,9 @@ from lumenfield.session import ship_package
 
 SEED, RARE, FEW = 3, 0.002, 20
 MATCH, MISMATCH, GAP = 2, -1, -1
-LEAST, MIN_WORDS, MAX_WORDS = 0.5, 5, 2_000_000
+#: Items of so many words or fewer count only where they are found whole.
+SHORT = 4
+LEAST, MAX_WORDS = 0.5, 2_000_000
 
 _PLAIN = bytes(
     32 if b < 128 and not chr(b).isalnum() else b + 32 if 65 <= b <= 90 else b for b in range(256)
@@ -278,7 +281,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, m
     names = docs.columns
     numbered = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col("text"), F.monotonically_increasing_id().alias("rid"))
     numbered = materialize(numbered, "numbered")
-    found = scores(numbered.select("rid", "text"), benchmark, max_words, least=least).filter(F.col("n_words") >= MIN_WORDS)
+    found = scores(numbered.select("rid", "text"), benchmark, max_words, least=least).filter((F.col("n_words") > SHORT) | (F.col("score") >= 1))
     best = found.groupBy("rid").agg(F.max(F.struct("score", (-F.col("item_id")).alias("item"))).alias("b"))
     best = best.select(F.col("rid").alias("hit"), F.col("b.score").alias("best_score"), (-F.col("b.item")).alias("best_item"))
     return numbered.join(best, F.col("rid") == F.col("hit"), "left").select(
