@@ -9,7 +9,8 @@ that the median falls into, until that bin weighs next to nothing. All nodes of
 pass, a pass is one map-side combined aggregation over a narrow table, and the driver sees at most
 4,096 rows a node.
 
-Law: "bytes". Size is the text's UTF-8 bytes plus 1; null texts have size 1, empty texts too. Null
+Law: "bytes". Equal texts are a group only in that they have one text_crc32: the law is about sizes, so
+copies lie wherever their metadata puts them, and a group larger than a shard can be cut. Size is the text's UTF-8 bytes plus 1; null texts have size 1, empty texts too. Null
 metadata counts as least. Repeated rows and null doc_ids keep their rows, each in one shard. An
 empty table gives no rows. Columns named as metadata but missing are not used.
 """
@@ -30,7 +31,9 @@ _TOP = (1 << 20) - 1
 def _dimension(df: DataFrame, name: str) -> Column:
     """A metadata column as an integer to be scaled: numbers as they are, others by hash."""
     if dict(df.dtypes)[name] in ("tinyint", "smallint", "int", "bigint", "float", "double"):
-        return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+        value = F.col(name).cast("double")
+        # numbers that are none count as null, infinite ones as the ends of the range of whole numbers
+        return F.coalesce(F.when(~F.isnan(value), F.least(F.greatest(value, F.lit(-(2.0**62))), F.lit(2.0**62))), F.lit(0.0))
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")).cast("double"), F.lit(0.0))
 
 
@@ -44,7 +47,7 @@ def _cases(pairs: list[tuple[int, object]], of: Column, otherwise: object) -> Co
     return out.otherwise(F.lit(otherwise))
 
 
-def shards(docs: DataFrame, count: int = 16, dimensions: tuple[str, ...] = ("source", "lang", "n_chars", "doc_id"), blocks: int = 64) -> DataFrame:
+def shards(docs: DataFrame, count: int = 16, dimensions: tuple[str, ...] = ("source", "lang", "n_chars", "doc_id"), block_rows: int = 1 << 18) -> DataFrame:
     """doc_id, size, text_crc32, law, shard (0 to count - 1), slot (gapless from 0), grown_shard (null)."""
     present = [d for d in dimensions if d in docs.columns]
     base = docs.select(
@@ -55,6 +58,7 @@ def shards(docs: DataFrame, count: int = 16, dimensions: tuple[str, ...] = ("sou
     ).withColumn("rid", F.monotonically_increasing_id())
     base = materialize(base, "sizes")
     bounds = base.agg(
+        F.count(F.lit(1)).alias("rows"),
         F.sum("size").alias("total"),
         *[f(f"m{k}").alias(f"{n}{k}") for k in range(len(present)) for n, f in (("lo", F.min), ("hi", F.max))],
     ).first()
@@ -123,8 +127,10 @@ def shards(docs: DataFrame, count: int = 16, dimensions: tuple[str, ...] = ("sou
             if s in state:
                 moved = moved.when((node == s) & (key[state[s]["axis"]] >= state[s]["cut"]), F.lit(s + n // 2))
         rows = materialize(rows.withColumn("node", F.coalesce(moved, node)), "level")
-    # slots: numbers within blocks of a shard, after the blocks before; count * blocks rows are broadcast
-    placed = rows.select("doc_id", "size", "text_crc32", node.alias("shard"), F.pmod(F.col("tie"), F.lit(blocks)).alias("block"), "tie")
+    # as many blocks as the rows ask for, and then some, so that tasks stay of one size
+    blocks = max(16, -(-bounds["rows"] // (count * block_rows)))
+    # slots: numbers within blocks of a shard, after the blocks before; one row for every block_rows documents is broadcast
+    placed = rows.select("doc_id", "size", "text_crc32", node.alias("shard"), F.pmod(F.xxhash64("tie", "doc_id"), F.lit(blocks)).alias("block"), "tie")
     sizes = placed.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select(
         "shard",
