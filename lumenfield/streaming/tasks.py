@@ -61,7 +61,7 @@ def pool_stream(queries: DataFrame, capacity: int = 50, margin: float = 0.05, fi
                 else:
                     pool, accepted = update_pool(pool, candidate, capacity, margin)
             out.append((key[0], int(row.seq), accepted, len(pool)))
-        state.update(([v[0] for v in pool], [v[1] for v in pool], [sorted(v[2]) for v in pool]))
+        state.update(([v[0] for v in pool], [v[1] for v in pool], [[int(x) for x in sorted(v[2])] for v in pool]))
         yield pd.DataFrame(out, columns=["scene", "seq", "accepted", "size"])
 
     return queries.groupBy("scene").applyInPandasWithState(
