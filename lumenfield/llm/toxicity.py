@@ -48,7 +48,7 @@ from lumenfield.session import ship_package
 ORDER, SPAN, DECAY, POWER, CUT = 3, 6, 0.8, 4, 24
 #: Kernels of strings that share less with all landmarks (a share of the squared norm) are 0.
 KNOWN = 0.35
-SAMPLE, LANDMARKS, CANDIDATES, FOLDS = 4000, 512, 2000, 8
+SAMPLE, LANDMARKS, CANDIDATES, FOLDS = 4000, 512, 1500, 6
 #: Toxic texts that a landmark's string has to be in, and how far beyond chance (in nats) they have to be.
 SUPPORT, BEYOND = 3, 4.0
 #: What a mean over strings is multiplied by, and the ridge of the SVM.
@@ -85,7 +85,7 @@ def _places(length: int) -> tuple[np.ndarray, np.ndarray]:
     return places, DECAY ** (places[:, -1] - places[:, 0] + 1.0 - ORDER) if len(places) else np.zeros(0)
 
 
-def _by_length(words: list[str], step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _by_length(words: list[str], step: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(numbers of words of one length, their subsequences' cells, weights of those), in bounded blocks."""
     length = np.fromiter(map(len, words), np.int64, len(words))
     for n in np.unique(length[length <= CUT]).tolist():
@@ -134,9 +134,9 @@ class Kernel:
         self.known = np.zeros(1 << _BITS, bool)
         self.known[(self.cells >> np.uint32(32 - _BITS)).astype(np.int64)] = True
 
-    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, words: list[str], step: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of the words with a kernel, their kernels with all landmarks)."""
-        numbers, values = [np.zeros(0, np.int64)], [np.zeros((0, len(self.landmarks)))]
+        numbers, values = [np.zeros(0, np.int64)], [np.zeros((0, len(self.landmarks)), np.float32)]
         for some, cells, weight in _by_length(words):
             hit = self.known[(cells >> np.uint32(32 - _BITS)).astype(np.int64)]
             good = np.flatnonzero(hit @ (weight * weight) >= KNOWN * float(weight @ weight))
@@ -149,12 +149,18 @@ class Kernel:
             slot = np.minimum(np.searchsorted(self.cells, own), len(self.cells) - 1)
             real = self.cells[slot] == own
             row, slot, w = row[real], slot[real], weight[col[real]]
-            each = self.size[slot]
-            at = np.arange(int(each.sum())) + np.repeat(self.start[slot] - (np.cumsum(each) - each), each)
-            key = np.repeat(row, each) * len(self.landmarks) + self.owner[at]
-            k = np.bincount(key, np.repeat(w, each) * self.weight[at], len(good) * len(self.landmarks)).reshape(len(good), -1)
-            numbers.append(some[good])
-            values.append((k / np.sqrt(norm)[:, None]) ** POWER)
+            total = np.cumsum(np.bincount(row, self.size[slot], len(good)))
+            # as many words at once as meet about `step` entries of the lists
+            wide = max(1, step // len(self.landmarks))
+            cuts = np.unique(np.concatenate((np.arange(0, len(good), wide), np.searchsorted(total, np.arange(step, total[-1], step)) + 1, [len(good)])))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                i, j = np.searchsorted(row, (a, b))
+                each = self.size[slot[i:j]]
+                at = np.arange(int(each.sum())) + np.repeat(self.start[slot[i:j]] - (np.cumsum(each) - each), each)
+                key = np.repeat(row[i:j] - a, each) * len(self.landmarks) + self.owner[at]
+                k = np.bincount(key, np.repeat(w[i:j], each) * self.weight[at], (b - a) * len(self.landmarks)).reshape(b - a, -1)
+                numbers.append(some[good[a:b]])
+                values.append(((k / np.sqrt(norm[a:b])[:, None]) ** POWER).astype(np.float32))
         return np.concatenate(numbers), np.concatenate(values)
 
 
@@ -175,8 +181,8 @@ class Texts:
             ids = np.array(sorted(own), np.int64)
             if self._copy(ids, toxic, seen, len(label)):
                 continue
-            self.ids.append(ids)
-            self.counts.append(np.array([own[k] for k in ids.tolist()], np.int64))
+            self.ids.append(ids.astype(np.int32))
+            self.counts.append(np.array([own[k] for k in ids.tolist()], np.int32))
             self.lengths.append(int(count[0]))
             label.append(int(toxic))
         self.names, self.label = list(number), np.array(label, np.int64)
@@ -196,9 +202,9 @@ class Texts:
         """In how many of some texts each string is."""
         return np.bincount(np.concatenate([*(self.ids[k] for k in which), np.zeros(0, np.int64)]), minlength=len(self.names))
 
-    def features(self, kernel: Kernel, step: int = 50_000) -> np.ndarray:
+    def features(self, kernel: Kernel, step: int = 16_384) -> np.ndarray:
         """Each text's mean kernel with the landmarks, times SCALE; strings are taken `step` at a time."""
-        out = np.zeros((len(self.label), len(kernel.landmarks)))
+        out = np.zeros((len(self.label), len(kernel.landmarks)), np.float32)
         for first in range(0, len(self.names), step):
             good, values = kernel(self.names[first : first + step])
             row = np.full(step, -1)
@@ -232,8 +238,9 @@ def choose(texts: Texts, toxic: np.ndarray, clean: np.ndarray, most: int = LANDM
         return []
     names = [texts.names[k] for k in first.tolist()]
     number, like = Kernel(names)(names)
-    full = np.zeros((len(names), len(names)))
+    full = np.zeros((len(names), len(names)), np.float32)
     full[number] = like
+    del like
     # strings like one another speak for each other
     joint = beyond(full @ in_toxic[first], full @ in_clean[first], sizes)
     total = np.maximum(joint, gain[first])
@@ -242,10 +249,12 @@ def choose(texts: Texts, toxic: np.ndarray, clean: np.ndarray, most: int = LANDM
     if not marks:
         return []
     own = np.flatnonzero((in_clean > in_toxic) & (length >= ORDER))
-    number, like = Kernel(marks)([texts.names[k] for k in own.tolist()])
-    near = like.max(1) * np.log1p(in_clean[own[number]])
-    chosen = np.lexsort((number, -near))[: most // 4]
-    return marks + [texts.names[k] for k in own[number[chosen]].tolist()]
+    kernel, near = Kernel(marks), np.zeros(len(own))
+    for at in range(0, len(own), 16_384):
+        number, like = kernel([texts.names[k] for k in own[at : at + 16_384].tolist()])
+        near[at + number] = like.max(1, initial=0) * np.log1p(in_clean[own[at + number]])
+    chosen = np.lexsort((own, -near))[: most // 4]
+    return marks + [texts.names[k] for k in own[chosen[near[chosen] > 0]].tolist()]
 
 
 class Model:
@@ -288,7 +297,8 @@ class Model:
         """Primal SVM with squared hinge loss by Newton steps on the examples within the margin; both classes weigh the same."""
         y = np.where(label > 0, 1.0, -1.0)
         weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-        z = np.hstack([features @ self.whiten, np.ones((len(y), 1))])
+        z = np.empty((len(y), self.whiten.shape[1] + 1))
+        z[:, :-1], z[:, -1] = features @ self.whiten, 1
         w, penalty, before = np.zeros(z.shape[1]), np.eye(z.shape[1]) * ridge, None
         penalty[-1, -1] = 1e-9
         for _ in range(rounds):
@@ -336,12 +346,12 @@ def fit(rows: Iterable[tuple[str, int]], folds: int = FOLDS) -> Model | None:
     union = list(dict.fromkeys(x for own in chosen for x in own))
     place = {x: k for k, x in enumerate(union)}
     features = texts.features(Kernel(union))
-    models = [Model(own).train(features[p][:, [place[x] for x in own]], texts.label[p]) if own else None for p, own in zip(parts, chosen, strict=True)]
+    models = [Model(own).train(features[np.ix_(p, [place[x] for x in own])], texts.label[p]) if own else None for p, own in zip(parts, chosen, strict=True)]
     margins, seen = [], []
     for k, part in enumerate(models[1:]):
         if part is not None:
             own = every[every % folds == k]
-            margins.append(features[own][:, [place[x] for x in part.landmarks]] @ part.weights + part.bias)
+            margins.append(features[np.ix_(own, [place[x] for x in part.landmarks])] @ part.weights + part.bias)
             seen.append(own)
     if seen:
         models[0].calibrate(np.concatenate(margins), texts.label[np.concatenate(seen)])
