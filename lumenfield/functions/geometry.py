@@ -197,10 +197,10 @@ def unproject(u: Column, v: Column, depth: Column, k: C, c2w: C) -> Column:
 
 
 def project(point: C, k: C, w2c: C) -> Column:
-    """(u, v, z) of a world point."""
+    """(u, v, z) of a world point; no u and v in the camera's own plane."""
     x, y, z = cells(transform_point(w2c, point), 3)
     m = cells(k, 9)
-    return F.array(m[0] * x / z + m[2], m[4] * y / z + m[5], z)
+    return F.array(F.try_divide(m[0] * x, z) + m[2], F.try_divide(m[4] * y, z) + m[5], z)
 
 
 def visible(point: C, k: C, w2c: C, width: Column, height: Column) -> Column:

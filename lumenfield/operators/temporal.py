@@ -15,9 +15,9 @@ def _merged(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts:
     rows = left.select(F.col(key).alias("k_"), F.col(left_ts).alias("t_"), F.struct(*left.columns).alias("l_"), F.lit(None).alias("r_")).unionByName(
         right.select(F.col(key).alias("k_"), F.col(right_ts).alias("t_"), F.lit(None).alias("l_"), pack.alias("r_"))
     )
-    ordered = Window.partitionBy("k_").orderBy("t_")
-    back = ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = ordered.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    # both frames start at the partition's end that comes first in their order, so that each grows row by row
+    back = Window.partitionBy("k_").orderBy("t_").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = Window.partitionBy("k_").orderBy(F.col("t_").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         rows.withColumn("before_", F.max("r_").over(back))
         .withColumn("after_", F.min("r_").over(ahead))

@@ -561,11 +561,11 @@ def rotation_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "frustum_visible",
-    f"SELECT vec_id, (z > 0 AND 100 * x / z + 50 >= 0 AND 100 * x / z + 50 < 100 AND 100 * y / z + 40 >= 0 AND 100 * y / z + 40 < 80) AS seen FROM {_POINT} WHERE z != 0",
+    f"SELECT vec_id, coalesce(z > 0 AND 100 * x / nullif(z, 0) + 50 >= 0 AND 100 * x / nullif(z, 0) + 50 < 100 AND 100 * y / nullif(z, 0) + 40 >= 0 AND 100 * y / nullif(z, 0) + 40 < 80, false) AS seen FROM {_POINT}",
 )
 def frustum_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.array(*map(F.lit, (100.0, 0.0, 50.0, 0.0, 100.0, 40.0, 0.0, 0.0, 1.0)))
-    p = _points(spark, sf_dir).filter("z != 0").withColumn("p", F.array("x", "y", "z")).withColumn("k", k).withColumn("w2c", geometry.identity(4))
+    p = _points(spark, sf_dir).withColumn("p", F.array("x", "y", "z")).withColumn("k", k).withColumn("w2c", geometry.identity(4))
     return p.select("vec_id", geometry.visible("p", "k", "w2c", F.lit(100), F.lit(80)).alias("seen"))
 
 
