@@ -359,11 +359,13 @@ def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "merged_records",
-    "SELECT l_orderkey, array_to_string(list(l_partkey ORDER BY l_linenumber), ',') AS parts, arg_min(l_linestatus, l_linenumber) AS l_linestatus FROM lineitem GROUP BY 1",
+    """SELECT l_orderkey, array_to_string(list(l_partkey ORDER BY n), ',') AS parts, arg_min(l_linestatus, n) AS l_linestatus
+    FROM (SELECT *, l_linenumber * 100000000 + l_partkey * 10 + (l_linestatus = 'F')::INT AS n FROM lineitem) GROUP BY 1""",
 )
 def merged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array("l_partkey").alias("parts"), "l_linestatus")
-    out = reductions.merge_records(rows, "l_orderkey", "l_linenumber", ["parts"], ["l_linestatus"])
+    n = F.col("l_linenumber").cast("long") * 100000000 + F.col("l_partkey") * 10 + (F.col("l_linestatus") == "F").cast("int")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", n.alias("n"), F.array("l_partkey").alias("parts"), "l_linestatus")
+    out = reductions.merge_records(rows, "l_orderkey", "n", ["parts"], ["l_linestatus"])
     return out.withColumn("parts", F.array_join(F.col("parts").cast("array<string>"), ","))
 
 
