@@ -139,52 +139,53 @@ class Tagger:
     def steps(self) -> np.ndarray:
         return np.where(self.allowed(), self.p["step"], -1e4)
 
-    def _lstm(self, e: np.ndarray, d: str, keep: list | None) -> np.ndarray:
-        """Outputs over time (time x rows x hidden) for embedded input in reading order."""
-        n, rows = e.shape[0], e.shape[1]
-        h, c = np.zeros((2, rows, HIDDEN))
-        into, out = e @ self.p[f"x{d}"] + self.p[f"c{d}"], np.empty((n, rows, HIDDEN))
-        for t in range(n):
-            z = into[t] + h @ self.p[f"h{d}"]
-            gates = 1 / (1 + np.exp(-z[:, : 3 * HIDDEN]))
-            i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
-            g = np.tanh(z[:, 3 * HIDDEN :])
-            before = c
-            c = f * before + i * g
-            tc = np.tanh(c)
-            if keep is not None:
-                keep.append((h, before, i, f, o, g, tc))
-            h = o * tc
-            out[t] = h
-        return out
+    def _both(self, name: str) -> np.ndarray:
+        """A parameter of the forward and the backward direction, one on the other."""
+        return np.stack((self.p[f"{name}f"], self.p[f"{name}b"]))
 
     def emissions(self, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """Scores of tags, time x rows x tags, for rows of character numbers."""
+        """Scores of tags, time x rows x tags, for rows of character numbers; both directions step together."""
         e = self.p["embed"][x.T]
-        kept = {"f": [], "b": []} if keep is not None else {"f": None, "b": None}
-        both = np.concatenate((self._lstm(e, "f", kept["f"]), self._lstm(e[::-1], "b", kept["b"])[::-1]), axis=2)
+        n, rows = e.shape[:2]
+        z = np.stack((e, e[::-1]), 1) @ self._both("x") + self._both("c")[:, None]
+        again, h, c = self._both("h"), np.zeros((2, rows, HIDDEN), z.dtype), np.zeros((2, rows, HIDDEN), z.dtype)
+        out, cells, tanh = (np.empty((n, 2, rows, HIDDEN), z.dtype) for _ in range(3))
+        for t in range(n):
+            own = z[t]
+            own += h @ again
+            gates = own[..., : 3 * HIDDEN]
+            gates *= 0.5
+            np.tanh(own, out=own)
+            gates *= 0.5
+            gates += 0.5
+            i, f, o, g = own.reshape(2, rows, 4, HIDDEN).transpose(2, 0, 1, 3)
+            c = np.multiply(f, c, out=cells[t])
+            c += i * g
+            h = np.multiply(o, np.tanh(c, out=tanh[t]), out=out[t])
         if keep is not None:
-            keep |= {"e": e, "both": both, **kept}
-        return both @ self.p["out"] + self.p["bias"]
-
-    @staticmethod
-    def _lse(a: np.ndarray, axis: int) -> np.ndarray:
-        m = a.max(axis, keepdims=True)
-        return np.log(np.exp(a - m).sum(axis)) + m.squeeze(axis)
+            keep |= {"e": e, "out": out, "cells": cells, "tanh": tanh, "z": z.reshape(n, 2, rows, 4, HIDDEN)}
+        return np.concatenate((out[:, 0], out[::-1, 1]), axis=2) @ self.p["out"] + self.p["bias"]
 
     def _forward_backward(self, em: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        step = self.steps()
-        fwd, bwd = np.empty_like(em), np.zeros_like(em)
-        fwd[0] = em[0]
-        for t in range(1, len(em)):
-            fwd[t] = em[t] + self._lse(fwd[t - 1][:, :, None] + step[None], 1)
-        for t in range(len(em) - 2, -1, -1):
-            bwd[t] = self._lse((em[t + 1] + bwd[t + 1])[:, None, :] + step[None], 2)
-        return fwd, bwd, self._lse(fwd[-1], 1)
+        """Probabilities of tags given what is before; factors of what follows; and what each time's tags weigh.
+
+        The first two multiply to the tags' probabilities.
+        """
+        step = np.exp(self.steps())
+        own = np.exp(em - em.max(2, keepdims=True), dtype=np.float64)
+        fwd, bwd, size = np.empty_like(own), np.ones_like(own), np.empty((*own.shape[:2], 1))
+        for t in range(len(own)):
+            np.multiply(own[t], fwd[t - 1] @ step if t else 1.0, out=fwd[t])
+            size[t] = fwd[t].sum(1, keepdims=True)
+            fwd[t] /= size[t]
+        own /= size
+        for t in range(len(own) - 2, -1, -1):
+            np.matmul(own[t + 1] * bwd[t + 1], step.T, out=bwd[t])
+        return fwd, bwd, own
 
     def marginals(self, em: np.ndarray) -> np.ndarray:
-        fwd, bwd, total = self._forward_backward(em)
-        return np.exp(fwd + bwd - total[None, :, None])
+        fwd, bwd, _ = self._forward_backward(em)
+        return fwd * bwd
 
     def viterbi(self, em: np.ndarray) -> np.ndarray:
         """Best tags, rows x time."""
@@ -203,40 +204,45 @@ class Tagger:
         keep: dict = {}
         em = self.emissions(x, keep)
         n, rows = em.shape[:2]
-        fwd, bwd, total = self._forward_backward(em)
-        d = np.exp(fwd + bwd - total[None, :, None])
+        fwd, bwd, own = self._forward_backward(em)
+        d = fwd * bwd
         np.put_along_axis(d, y.T[:, :, None], np.take_along_axis(d, y.T[:, :, None], 2) - 1, 2)
-        d /= rows * 8
-        step, g = self.steps(), {k: np.zeros_like(v) for k, v in self.p.items()}
-        for t in range(1, n):
-            pair = np.exp(fwd[t - 1][:, :, None] + step[None] + (em[t] + bwd[t])[:, None, :] - total[:, None, None])
-            g["step"] += pair.sum(0) / (rows * 8)
-        np.add.at(g["step"], (y[:, :-1].ravel(), y[:, 1:].ravel()), -1 / (rows * 8))
-        g["step"] *= self.allowed()
-        g["out"], g["bias"] = np.einsum("trh,trk->hk", keep["both"], d), d.sum((0, 1))
+        d = (d / (rows * 8)).astype(em.dtype)
+        g = {"step": (fwd[:-1].reshape(-1, TAGS).T @ (own[1:] * bwd[1:]).reshape(-1, TAGS)) * np.exp(self.steps())}
+        np.add.at(g["step"], (y[:, :-1].ravel(), y[:, 1:].ravel()), -1)
+        g["step"] *= self.allowed() / (rows * 8)
+        out, cells, tanh, z = keep["out"], keep["cells"], keep["tanh"], keep["z"]
+        both = np.concatenate((out[:, 0], out[::-1, 1]), axis=2)
+        g["out"], g["bias"] = both.reshape(n * rows, -1).T @ d.reshape(n * rows, -1), d.sum((0, 1))
         dh_all = d @ self.p["out"].T
+        dh_all = np.stack((dh_all[..., :HIDDEN], dh_all[::-1, :, HIDDEN:]), 1)
+        i, f, o, new = (z[..., k, :] for k in range(4))
+        before = np.zeros_like(cells)
+        before[1:] = cells[:-1]
+        # what the cell (and for the third gate the output) gives to each gate's input
+        give = np.stack((new * i * (1 - i), before * f * (1 - f), tanh * o * (1 - o), i * (1 - new * new)), 3)
+        to_cell, again = o * (1 - tanh * tanh), self._both("h").transpose(0, 2, 1)
+        dz, dh, dc = np.empty_like(give), np.zeros_like(out[0]), np.zeros_like(out[0])
+        for t in range(n - 1, -1, -1):
+            dh = dh + dh_all[t]
+            dc = dc + dh * to_cell[t]
+            np.multiply(give[t], dc[:, :, None], out=dz[t])
+            np.multiply(give[t, :, :, 2], dh, out=dz[t, :, :, 2])
+            dh = dz[t].reshape(2, rows, -1) @ again
+            dc *= f[t]
         de = np.zeros_like(keep["e"])
-        for way, own, e in (("f", dh_all[:, :, :HIDDEN], keep["e"]), ("b", dh_all[::-1, :, HIDDEN:], keep["e"][::-1])):
-            dh, dc, dz_all = np.zeros((rows, HIDDEN)), np.zeros((rows, HIDDEN)), np.empty((n, rows, 4 * HIDDEN))
-            for t in range(n - 1, -1, -1):
-                h, before, i, f, o, gate, tc = keep[way][t]
-                dh = dh + own[t]
-                dc = dc + dh * o * (1 - tc * tc)
-                dz = dz_all[t]
-                dz[:, :HIDDEN] = dc * gate * i * (1 - i)
-                dz[:, HIDDEN : 2 * HIDDEN] = dc * before * f * (1 - f)
-                dz[:, 2 * HIDDEN : 3 * HIDDEN] = dh * tc * o * (1 - o)
-                dz[:, 3 * HIDDEN :] = dc * i * (1 - gate * gate)
-                g[f"h{way}"] += h.T @ dz
-                dh, dc = dz @ self.p[f"h{way}"].T, dc * f
-            g[f"x{way}"], g[f"c{way}"] = np.einsum("tre,trk->ek", e, dz_all), dz_all.sum((0, 1))
-            part = dz_all @ self.p[f"x{way}"].T
-            de += part if way == "f" else part[::-1]
+        for k, way in enumerate("fb"):
+            own_dz, e = dz[:, k].reshape(n, rows, -1), keep["e"][:: 1 - 2 * k]
+            g[f"h{way}"] = out[:-1, k].reshape(-1, HIDDEN).T @ own_dz[1:].reshape(-1, 4 * HIDDEN)
+            g[f"x{way}"], g[f"c{way}"] = e.reshape(-1, EMBED).T @ own_dz.reshape(-1, 4 * HIDDEN), own_dz.sum((0, 1))
+            de += (own_dz @ self.p[f"x{way}"].T)[:: 1 - 2 * k]
+        g["embed"] = np.zeros_like(self.p["embed"])
         np.add.at(g["embed"], x.T, de)
         return g
 
     def train(self, x: np.ndarray, y: np.ndarray) -> Tagger:
         rng = np.random.default_rng(SEED)
+        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(q) for k, q in self.p.items()}
         t, order = 0, np.arange(len(x))
