@@ -4,10 +4,11 @@ Base spans follow fixed patterns for email, ip, card and phone, found in linear
 A bidirectional LSTM over characters with a linear-chain CRF on top is trained here in numpy, on
 labelled spans: the base spans of a bounded sample of documents, as they are and in altered forms
 that the patterns miss (an email with its signs spelled out or in brackets, a phone without its plus,
-a card or an ip with other separators), each labelled with its kind. It reads overlapping windows of
+a card or an ip with other separators), FORMS of each, each labelled with its kind. It reads overlapping windows of
 the whole text; every window is decoded by the CRF, and the spans of all windows are reconciled for
 the text as a whole: those cut by a window's inner edge are left to the window that has them whole;
 what may be too long for that is read again in a window of its own, whole up to LONGEST characters.
+A span that cuts a word grows over it.
 Of spans that overlap, the set with the highest total confidence stays. Base spans always stay, and
 what the network adds has to touch none of them, to have the parts of its kind and to be sure.
 
@@ -95,7 +96,9 @@ def base_spans(text: str) -> list[Span]:
 
 TAGS = 1 + 2 * len(KINDS)
 EMBED, HIDDEN, WINDOW, STRIDE = 12, 12, 384, 336
-SAMPLE, EPOCHS, BATCH, RATE, SEED = 500, 20, 96, 0.03, 7
+SAMPLE, EPOCHS, BATCH, RATE, SEED = 500, 20, 64, 0.015, 7
+#: Altered forms of each span that training sees.
+FORMS = 6
 #: Characters of a training window, and of what windows are filled up to.
 SHORT = FILL = 64
 #: Least probability, over its characters, that a span is what the network says.
@@ -166,13 +169,14 @@ class Tagger:
             keep |= {"e": e, "out": out, "cells": cells, "tanh": tanh, "z": z.reshape(n, 2, rows, 4, HIDDEN)}
         return np.concatenate((out[:, 0], out[::-1, 1]), axis=2) @ self.p["out"] + self.p["bias"]
 
-    def _forward_backward(self, em: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probabilities of tags given what is before; factors of what follows; and what each time's tags weigh.
+    def _forward_backward(self, em: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Probabilities of tags given what is before; factors of what follows; rows' logarithms of all paths; times' weights of tags.
 
         The first two multiply to the tags' probabilities.
         """
         step = np.exp(self.steps())
-        own = np.exp(em - em.max(2, keepdims=True), dtype=np.float64)
+        top = em.max(2, keepdims=True)
+        own = np.exp(em - top, dtype=np.float64)
         fwd, bwd, size = np.empty_like(own), np.ones_like(own), np.empty((*own.shape[:2], 1))
         for t in range(len(own)):
             np.multiply(own[t], fwd[t - 1] @ step if t else 1.0, out=fwd[t])
@@ -181,10 +185,10 @@ class Tagger:
         own /= size
         for t in range(len(own) - 2, -1, -1):
             np.matmul(own[t + 1] * bwd[t + 1], step.T, out=bwd[t])
-        return fwd, bwd, own
+        return fwd, bwd, (np.log(size) + top).sum((0, 2)), own
 
     def marginals(self, em: np.ndarray) -> np.ndarray:
-        fwd, bwd, _ = self._forward_backward(em)
+        fwd, bwd, *_ = self._forward_backward(em)
         return fwd * bwd
 
     def viterbi(self, em: np.ndarray) -> np.ndarray:
@@ -204,7 +208,7 @@ class Tagger:
         keep: dict = {}
         em = self.emissions(x, keep)
         n, rows = em.shape[:2]
-        fwd, bwd, own = self._forward_backward(em)
+        fwd, bwd, _, own = self._forward_backward(em)
         d = fwd * bwd
         np.put_along_axis(d, y.T[:, :, None], np.take_along_axis(d, y.T[:, :, None], 2) - 1, 2)
         d = (d / (rows * 8)).astype(em.dtype)
@@ -360,10 +364,11 @@ def examples(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 spans.append(s)
         for a, b, kind in spans:
             add(text, spans, a)
-            new = altered(text[a:b], kind, rng)
             around = text[max(0, a - WINDOW) : a]
             near = [(x - a + len(around), y - a + len(around), k) for x, y, k in spans if y <= a and x >= a - len(around)]
-            add(around + new + text[b : b + WINDOW].split("@")[0], [*near, (len(around), len(around) + len(new), kind)], len(around))
+            for _ in range(FORMS):
+                new = altered(text[a:b], kind, rng)
+                add(around + new + text[b : b + WINDOW].split("@")[0], [*near, (len(around), len(around) + len(new), kind)], len(around))
         inside = {k for a, b, _ in spans for k in range(a, b)}
         others = [m.start() for m in re.finditer("[0-9@]", text) if m.start() not in inside]
         for at in others[:: max(1, len(others) // 3)][:3]:
@@ -399,6 +404,19 @@ def _plausible(value: str, kind: str) -> bool:
     return 10 <= digits <= 15
 
 
+def _whole_words(text: str, a: int, b: int) -> tuple[int, int]:
+    """A span grown over the words that it cuts, none further than LONGEST characters; what fills a window up is no part of it."""
+    a, b = min(a, len(text)), min(b, len(text))
+    if a == b:
+        return a, b
+    least, most = max(0, a - LONGEST), min(len(text), b + LONGEST)
+    while a > least and text[a].isalnum() and text[a - 1].isalnum():
+        a -= 1
+    while b < most and text[b - 1].isalnum() and text[b].isalnum():
+        b += 1
+    return a, b
+
+
 def _best(spans: list[tuple[int, int, str, float]]) -> list[Span]:
     """Spans that don't overlap, with the highest total confidence."""
     spans = sorted(set(spans), key=lambda s: (s[1], s[0], s[2]))
@@ -453,19 +471,25 @@ def network_spans(texts: list[str], reader: Reader, step: int = 512) -> list[lis
     jobs = [(k, a) for k, text in enumerate(texts) if text for a in range(0, max(1, len(text) - WINDOW + STRIDE), STRIDE)]
     found: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
     again: set[tuple[int, int]] = set()
+
+    def take(k: int, a: int, b: int, kind: str, p: float) -> None:
+        a, b = _whole_words(texts[k], a, b)
+        if p >= SURE and _plausible(texts[k][a:b], kind):
+            found[k].append((a, b, kind, p))
+
     for k, a, t, end, kind, p in _read(texts, reader, jobs, WINDOW, step):
         left, right = t < EDGE and a > 0, end > WINDOW - EDGE and a + WINDOW < len(texts[k])
         if (right and t < STRIDE + EDGE) or (left and end > WINDOW - EDGE - STRIDE):
             # the windows beside this one need not have it whole either
             again.add((k, max(0, a + t - LONGEST - EDGE)))
-        if not (left or right) and p >= SURE and _plausible(texts[k][a + t : a + end], kind):
-            found[k].append((a + t, a + end, kind, p))
+        if not (left or right):
+            take(k, a + t, a + end, kind, p)
     wide = 2 * (LONGEST + EDGE)
     for k, a, t, end, kind, p in _read(texts, reader, sorted(again), wide, max(1, step * WINDOW // wide)):
         whole = (t >= EDGE or a == 0) and (end <= wide - EDGE or a + wide >= len(texts[k]))
         # shorter ones were read before
-        if whole and end - t > WINDOW - 2 * EDGE - STRIDE and p >= SURE and _plausible(texts[k][a + t : a + end], kind):
-            found[k].append((a + t, a + end, kind, p))
+        if whole and end - t > WINDOW - 2 * EDGE - STRIDE:
+            take(k, a + t, a + end, kind, p)
     return [_best(f) for f in found]
 
 

@@ -418,7 +418,6 @@ def test_reader_is_the_tagger_and_closes_only_rows_without_spans():
     assert 0 < spans.sum() and len(reader.open_rows(em)) < len(x) and set(np.flatnonzero(spans)) <= set(reader.open_rows(em).tolist())
 
 
-@pytest.mark.xfail(reason="known shortfall: of altered emails 39 of 57 were found, 0.68 where 0.8 is asked for", strict=False)
 def test_network_finds_held_out_altered_spans(spark):
     """Altered forms of personal data of documents that were not trained on: recall of each kind, and precision."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
