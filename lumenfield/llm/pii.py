@@ -265,39 +265,45 @@ class Tagger:
 
 
 class Reader:
-    """A trained tagger for reading: the same network in single precision, rows of windows last."""
+    """A trained tagger for reading: the same network in single precision, all windows of a block at once."""
 
     def __init__(self, model: Tagger):
         self.model, p = model, {k: v.astype(np.float32) for k, v in model.p.items()}
-        # what a character adds to the gates, in either direction
-        self.into = {d: np.ascontiguousarray(p["embed"] @ p[f"x{d}"] + p[f"c{d}"]) for d in "fb"}
-        self.again = {d: np.ascontiguousarray(p[f"h{d}"].T) for d in "fb"}
-        self.out = {"f": p["out"][:HIDDEN].T, "b": p["out"][HIDDEN:].T}
+        # what a character adds to the gates, and what the state does, gates x inputs x hidden; a gate is 1 / (1 + exp(z))
+        # with z turned about, and the new cell's tanh 2 / (1 + exp(z)) - 1
+        sign = np.float32([-1, -1, -1, -2])[:, None, None]
+        gates = lambda w: np.ascontiguousarray(w.reshape(len(w), 4, HIDDEN).transpose(1, 0, 2) * sign)
+        self.into = {d: gates(p["embed"] @ p[f"x{d}"] + p[f"c{d}"]) for d in "fb"}
+        self.again = {d: gates(p[f"h{d}"]) for d in "fb"}
+        self.out = {"f": p["out"][:HIDDEN], "b": p["out"][HIDDEN:]}
         self.bias = p["bias"][:, None]
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """Scores of tags, time x tags x rows, for rows of character numbers."""
         rows, n = x.shape
         em = np.broadcast_to(self.bias, (n, TAGS, rows)).copy()
-        kept, z = np.empty((n, HIDDEN, rows), np.float32), np.empty((4 * HIDDEN, rows), np.float32)
-        x = np.ascontiguousarray(x.T)
-        for d in "fb":
-            h, c, tanh = np.zeros((3, HIDDEN, rows), np.float32)
-            for t in range(n) if d == "f" else range(n - 1, -1, -1):
-                np.matmul(self.again[d], h, out=z)
-                z += self.into[d][x[t]].T
-                gates, new = z[: 3 * HIDDEN], z[3 * HIDDEN :]
-                np.negative(gates, out=gates)
-                np.exp(gates, out=gates)
-                gates += 1
-                np.reciprocal(gates, out=gates)
-                np.tanh(new, out=new)
-                c *= gates[HIDDEN : 2 * HIDDEN]
-                new *= gates[:HIDDEN]
-                c += new
-                np.tanh(c, out=tanh)
-                h = np.multiply(gates[2 * HIDDEN :], tanh, out=kept[t])
-            em += self.out[d] @ kept
+        x = np.ascontiguousarray(x.T, np.intp)
+        kept, tanh = np.empty((n, rows, HIDDEN), np.float32), np.empty((rows, HIDDEN), np.float32)
+        z, own = np.empty((2, 4, rows, HIDDEN), np.float32)
+        i, f, o, new = z
+        with np.errstate(over="ignore"):  # the gate is 0 then
+            for d in "fb":
+                h, c = np.zeros((2, rows, HIDDEN), np.float32)
+                for t in range(n) if d == "f" else range(n - 1, -1, -1):
+                    np.matmul(h, self.again[d], out=z)
+                    np.take(self.into[d], x[t], axis=1, out=own, mode="clip")
+                    np.add(z, own, out=z)
+                    np.exp(z, out=z)
+                    np.add(z, 1, out=z)
+                    np.reciprocal(z, out=z)
+                    np.multiply(new, 2, out=new)
+                    np.subtract(new, 1, out=new)
+                    np.multiply(c, f, out=c)
+                    np.multiply(new, i, out=new)
+                    np.add(c, new, out=c)
+                    np.tanh(c, out=tanh)
+                    h = np.multiply(o, tanh, out=kept[t])
+                em += (kept.reshape(-1, HIDDEN) @ self.out[d]).reshape(n, rows, TAGS).transpose(0, 2, 1)
         return em
 
     def open_rows(self, em: np.ndarray) -> np.ndarray:
