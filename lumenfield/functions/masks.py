@@ -52,15 +52,17 @@ def label(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def remove_small(mask: np.ndarray, least: int, holes: bool) -> tuple[np.ndarray, bool]:
-    """Holes filled or islands dropped that have less than an area; the largest island stays if all are small."""
-    labels, area = label(~mask if holes else mask)
-    small = [k for k in range(1, len(area)) if area[k] < least]
-    if not small:
-        return mask, False
-    if holes:
-        return mask | np.isin(labels, small), True
-    keep = [k for k in range(1, len(area)) if k not in small] or [int(np.argmax(area[1:])) + 1]
-    return np.isin(labels, keep), True
+    """A mask with its holes under an area filled, or its islands under it dropped; and whether it had such.
+
+    Where all islands are that small, the largest stays, the first of equal ones.
+    """
+    part, area = label(mask != holes)
+    stays = area >= least
+    stays[0] = False
+    any_small = stays.sum() < len(area) - 1
+    if not holes and len(area) > 1 and not stays.any():
+        stays[1 + area[1:].argmax()] = True
+    return (stays[part] if not holes else ~stays[part]), bool(any_small)
 
 
 def box_xywh(box: Column) -> Column:

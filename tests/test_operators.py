@@ -108,6 +108,9 @@ def test_masks(spark):
     dots = np.zeros((6, 6), bool)
     dots[0, 0] = dots[3:5, 3:5] = True
     assert masks.remove_small(dots, 9, holes=False)[0].sum() == 4
+    assert masks.remove_small(dots, 2, holes=False)[1] and not masks.remove_small(dots, 1, holes=False)[1]
+    empty = np.zeros((3, 3), bool)
+    assert not masks.remove_small(empty, 5, holes=False)[0].any() and masks.remove_small(empty, 10, holes=True)[0].all()
 
 
 def test_scene_objects(spark):
