@@ -93,7 +93,7 @@ def _shard_rows(shard: str, lang: str, words: int, kept: tuple[bytes, bytes, int
 def _cuts(of: np.ndarray) -> list[tuple[int, int, int]]:
     """(value, first, end) of each run of a sorted array."""
     first = np.flatnonzero(np.diff(of, prepend=-1))
-    return list(zip(of[first].tolist(), first.tolist(), np.append(first[1:], len(of)).tolist(), strict=True))
+    return list(zip(of[first].tolist(), first.tolist(), np.append(first, len(of))[1:].tolist(), strict=True))
 
 
 def first_level(shard: str, lang: str, text: bytes, ranges: int) -> pa.Table:

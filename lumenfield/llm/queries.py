@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfield.llm import bpe, byte_cnn, decontaminate, kdtree, longest_match, middle, phrases, pii, pivots, repair, simhash, toxicity
+from lumenfield.llm import bpe, byte_cnn, decontaminate, kdtree, longest_match, middle, phrases, pii, pivots, repair, secret_tags, simhash, toxicity
 from lumenfield.llm.tables import read
 from lumenfield.plans.scratch import new_path
 
@@ -73,6 +73,11 @@ def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read(spark, sf_dir, "documents"))
 
 
+def op13_secret_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return secret_tags.find(docs, secret_tags.fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_byte_bpe": op2_byte_bpe,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_phrase_mining": op12_phrase_mining,
+    "op13_secret_tags": op13_secret_tags,
 }
 
 _MIDDLE_SQL = r"""

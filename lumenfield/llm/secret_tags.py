@@ -52,10 +52,10 @@ TAGS = 1 + 2 * len(KINDS)
 ROLES, BITS, FEATURES, FILE = 5, 14, 6, 24
 BUCKETS = 1 << BITS
 #: Documents that training looks at: so many with something like a secret, and so many others.
-SAMPLE, OTHERS, FORMS = 400, 200, 6
+SAMPLE, OTHERS, FORMS = 400, 200, 8
 WIDTH, ROUNDS, RATE, DECAY, SEED = 48, 120, 0.1, 1e-4, 11
 #: Least mean probability of a span's tags.
-SURE = 0.9
+SURE = 0.6
 #: Tokens between two texts of a batch, which are outside.
 GAP, CLOSED = 2, -1e4
 
@@ -452,6 +452,15 @@ class Reader:
         return out
 
 
+#: Signs at the end of a value that are tokens of their own.
+_REST = re.compile(r"[A-Za-z0-9+/_=-]*")
+
+
+def _whole(text: str, a: int, b: int, kind: str) -> tuple[int, int]:
+    """A value goes on to its last character."""
+    return (a, _REST.match(text, b).end()) if kind == "assign" else (a, b)
+
+
 def spans(texts: list[str], reader: Reader | None) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text."""
     base = [base_spans(t) for t in texts]
@@ -462,6 +471,7 @@ def spans(texts: list[str], reader: Reader | None) -> list[tuple[list[Span], lis
         starts, reach = [a for a, _ in held], np.maximum.accumulate([b for _, b in held]).tolist() if held else []
         free = []
         for a, b, kind, _ in more:
+            a, b = _whole(text, a, b, kind)
             k = int(np.searchsorted(starts, b, "left"))
             if (not k or reach[k - 1] <= a) and _plausible(text[a:b], kind):
                 free.append((a, b, kind))
