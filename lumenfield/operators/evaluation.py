@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfield.operators.datasets import global_index
+from lumenfield.operators.quantiles import join_groups, quantiles
 
 
 def finite(c: str | Column) -> Column:
@@ -21,24 +22,26 @@ def view_reliability(df: DataFrame, view: str, confidence: str) -> DataFrame:
 
 def percentile_filter(df: DataFrame, group: list[str], value: str, share: float, strict: bool = False) -> DataFrame:
     """Rows at (or above, if strict) their group's percentile. Two passes and a join on the group, no window over it."""
-    limit = df.filter(finite(value)).groupBy(*group).agg(F.percentile(value, F.lit(share)).alias("p_"))
+    limit = quantiles(df.filter(finite(value)), group, {"p_": (value, share)})
     held = df.join(limit, group)
     return held.filter(F.col(value) > F.col("p_") if strict else F.col(value) >= F.col("p_")).drop("p_")
 
 
 def clamp_depth(df: DataFrame, group: list[str], depth: str, share: float) -> DataFrame:
     """Depths above their group's percentile become 0."""
-    limit = df.filter(finite(depth)).groupBy(*group).agg(F.percentile(depth, F.lit(share)).alias("p_"))
+    limit = quantiles(df.filter(finite(depth)), group, {"p_": (depth, share)})
     return df.join(limit, group, "left").withColumn(depth, F.when(F.col(depth) > F.col("p_"), 0.0).otherwise(F.col(depth))).drop("p_")
 
 
 def median_scale(df: DataFrame, group: list[str], gt: str, pred: str) -> DataFrame:
     """Scales that align predictions: by medians and by least squares; 1 where they are not defined."""
     rows = df.filter(finite(gt) & finite(pred) & (F.col(gt) > 0) & (F.col(pred) > 0))
-    return rows.groupBy(*group).agg(
-        F.coalesce(F.median(gt) / F.nullif(F.median(pred), F.lit(0.0)), F.lit(1.0)).alias("scale_median"),
+    middle = quantiles(rows, group, {"gt_": (gt, 0.5), "pred_": (pred, 0.5)})
+    fitted = rows.groupBy(*group).agg(
         F.coalesce(F.sum(F.col(gt) * F.col(pred)) / F.nullif(F.sum(F.col(pred) * F.col(pred)), F.lit(0.0)), F.lit(1.0)).alias("scale_lstsq"),
     )
+    ratio = F.coalesce(F.col("gt_") / F.nullif(F.col("pred_"), F.lit(0.0)), F.lit(1.0))
+    return join_groups(fitted, middle, group).select(*group, ratio.alias("scale_median"), "scale_lstsq")
 
 
 def depth_metrics(df: DataFrame, group: list[str], gt: str, pred: str, inlier: float = 1.03) -> DataFrame:
@@ -66,9 +69,11 @@ def depth_metrics(df: DataFrame, group: list[str], gt: str, pred: str, inlier: f
 def summarize(df: DataFrame, metrics: list[str]) -> DataFrame:
     """metric, mean, median, std, min, max, n of finite values, one row a metric."""
     longer = df.unpivot([], [F.col(m).cast("double").alias(m) for m in metrics], "metric", "x").filter(finite("x"))
-    return longer.groupBy("metric").agg(
-        F.avg("x").alias("mean"), F.median("x").alias("median"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.count("x").alias("n")
+    middle = quantiles(longer, ["metric"], {"median": ("x", 0.5)})
+    figures = longer.groupBy("metric").agg(
+        F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.count("x").alias("n")
     )
+    return join_groups(figures, middle, ["metric"])
 
 
 def sparsification(df: DataFrame, error: str, uncertainty: str, key: str, steps: int = 100) -> DataFrame:
@@ -119,6 +124,8 @@ def auc(df: DataFrame, error: Column, most: int = 30) -> DataFrame:
 def pose_errors(df: DataFrame, gt: list[str], pred: list[str]) -> DataFrame:
     """Statistics of the distances between two positions."""
     d = F.sqrt(sum(((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)) for a, b in zip(gt, pred, strict=True)), F.lit(0.0)))
-    return df.select(d.alias("d")).agg(
-        F.avg("d").alias("mean"), F.median("d").alias("median"), F.stddev_pop("d").alias("std"), F.max("d").alias("max"), F.min("d").alias("min"), F.count("d").alias("n")
+    rows = df.select(d.alias("d"))
+    figures = rows.agg(
+        F.avg("d").alias("mean"), F.stddev_pop("d").alias("std"), F.max("d").alias("max"), F.min("d").alias("min"), F.count("d").alias("n")
     )
+    return join_groups(figures, quantiles(rows, [], {"median": ("d", 0.5)}), [])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfield.operators.evaluation import finite
+from lumenfield.operators.quantiles import join_groups, quantiles
 
 POINT = ["x", "y", "z"]
 
@@ -30,24 +31,25 @@ def truncated_distance(surface: Column | str, depth: Column | str, cut: float) -
 
 def scene_scale(points: DataFrame, group: list[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Length of the box between two percentiles of each axis."""
-    spans = points.groupBy(*group).agg(*[(F.percentile(a, F.lit(high)) - F.percentile(a, F.lit(low))).alias(f"d{a}") for a in POINT])
-    return spans.select(*group, F.sqrt(sum((F.col(f"d{a}") * F.col(f"d{a}") for a in POINT), F.lit(0.0))).alias("scale"))
+    spans = quantiles(points, group, {f"{n}{a}": (a, s) for a in POINT for n, s in (("lo", low), ("hi", high))})
+    return spans.select(*group, F.sqrt(sum(((F.col(f"hi{a}") - F.col(f"lo{a}")) * (F.col(f"hi{a}") - F.col(f"lo{a}")) for a in POINT), F.lit(0.0))).alias("scale"))
 
 
 def normalisation(points: DataFrame, group: list[str], how: str = "avg", least: float = 1e-3, most: float = 1e3) -> DataFrame:
     """The factor that points are divided by: mean or median of their distances from the origin, kept within limits."""
     distance = F.sqrt(sum((F.col(a) * F.col(a) for a in POINT), F.lit(0.0)))
     rows = points.withColumn("d_", distance).filter(finite("d_"))
-    figure = F.median("d_") if how == "median" else F.avg(F.log1p("d_")) if how == "log" else F.avg("d_")
+    if how == "median":
+        return quantiles(rows, group, {"m_": ("d_", 0.5)}).select(*group, F.greatest(F.least("m_", F.lit(most)), F.lit(least)).alias("factor"))
+    figure = F.avg(F.log1p("d_")) if how == "log" else F.avg("d_")
     return rows.groupBy(*group).agg(F.greatest(F.least(figure, F.lit(most)), F.lit(least)).alias("factor"))
 
 
 def median_centre(points: DataFrame, group: list[str]) -> DataFrame:
     """Median of each axis, and the median distance from it."""
-    centre = points.groupBy(*group).agg(*[F.median(a).alias(f"c{a}") for a in POINT])
-    both = points.join(centre, group)
+    both = join_groups(points, quantiles(points, group, {f"c{a}": (a, 0.5) for a in POINT}), group)
     d = F.sqrt(sum(((F.col(a) - F.col(f"c{a}")) * (F.col(a) - F.col(f"c{a}")) for a in POINT), F.lit(0.0)))
-    return both.groupBy(*group, "cx", "cy", "cz").agg(F.median(d).alias("scale"))
+    return quantiles(both.withColumn("d_", d), [*group, "cx", "cy", "cz"], {"scale": ("d_", 0.5)})
 
 
 def masked_mean(df: DataFrame, group: list[str], value: str, mask: str) -> DataFrame:
@@ -60,9 +62,11 @@ def masked_mean(df: DataFrame, group: list[str], value: str, mask: str) -> DataF
 def depth_statistics(df: DataFrame, group: list[str], depth: str) -> DataFrame:
     """p1, p99, mean, std and share of the positive depths."""
     d = F.when(finite(depth) & (F.col(depth) > 0), F.col(depth))
-    return df.groupBy(*group).agg(
-        F.percentile(d, F.lit(0.01)).alias("p1"), F.percentile(d, F.lit(0.99)).alias("p99"), F.avg(d).alias("mean"), F.stddev_pop(d).alias("std"), (F.count(d) / F.count(F.lit(1))).alias("valid_ratio")
+    rows = df.withColumn("d_", d)
+    figures = rows.groupBy(*group).agg(
+        F.avg(d).alias("mean"), F.stddev_pop(d).alias("std"), (F.count(d) / F.count(F.lit(1))).alias("valid_ratio")
     )
+    return join_groups(figures, quantiles(rows, group, {"p1": ("d_", 0.01), "p99": ("d_", 0.99)}), group)
 
 
 def episodes(items: DataFrame, ident: str, cls: str, shots: int, seed: int) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfield.operators.quantiles import join_groups, quantiles
+
 
 def cumulative_class_iou(df: DataFrame, image: str, pred: str, gt: str, classes: int) -> DataFrame:
     """(class_id, iou): each class's mean over images, in order, of its IoU cumulated so far.
@@ -38,7 +40,7 @@ def merge_meters(parts: DataFrame, group: list[str], total: str, count: str) ->
 
 def masked_median(df: DataFrame, group: list[str], value: str, mask: Column) -> DataFrame:
     """Median of the values under the mask; NaN if there are none."""
-    return df.groupBy(*group).agg(F.coalesce(F.median(F.when(mask, F.col(value))), F.lit(float("nan"))).alias("median"))
+    return quantiles(df.withColumn("m_", F.when(mask, F.col(value))), group, {"median": ("m_", 0.5)}).withColumn("median", F.coalesce("median", F.lit(float("nan"))))
 
 
 def joint_quantile(parts: list[DataFrame], group: list[str], depth: str, valid: Column, share: float = 0.5) -> DataFrame:
@@ -46,7 +48,7 @@ def joint_quantile(parts: list[DataFrame], group: list[str], depth: str, valid:
     rows = parts[0].select(*group, depth, valid.alias("ok_"))
     for p in parts[1:]:
         rows = rows.unionByName(p.select(*group, depth, valid.alias("ok_")))
-    return rows.filter(F.col("ok_") & ~F.isnan(F.col(depth).cast("double"))).groupBy(*group).agg(F.percentile(depth, share).alias("depth"))
+    return rows.filter(F.col("ok_") & ~F.isnan(F.col(depth).cast("double"))).transform(lambda held: quantiles(held, group, {"depth": (depth, share)}))
 
 
 def mean_distance_scale(points: DataFrame, group: list[str], mask: Column, least: float = 1e-3, most: float = 1e3) -> DataFrame:
@@ -97,7 +99,8 @@ def principal_colours(df: DataFrame, feature: str, low: float = 0.02, high: floa
     wide = df.select("*", *[F.col(feature)[k].cast("double").alias(f"f{k}_") for k in range(n)])
     vectors = VectorAssembler(inputCols=[f"f{k}_" for k in range(n)], outputCol="v_").transform(wide)
     found = PCA(k=3, inputCol="v_", outputCol="p_").fit(vectors).transform(vectors).withColumn("p_", vector_to_array("p_"))
-    ends = found.agg(*[F.percentile(F.col("p_")[k], s).alias(f"{e}{k}") for k in range(3) for e, s in (("lo", low), ("hi", high))]).first()
+    axes = found.select(*[F.col("p_")[k].alias(f"a{k}") for k in range(3)])
+    ends = quantiles(axes, [], {f"{e}{k}": (f"a{k}", s) for k in range(3) for e, s in (("lo", low), ("hi", high))}).first()
     scaled = [F.least(F.greatest((F.col("p_")[k] - ends[f"lo{k}"]) / max(ends[f"hi{k}"] - ends[f"lo{k}"], 1e-12), F.lit(0.0)), F.lit(1.0)) for k in range(3)]
     return found.withColumn("colour", F.array(*scaled)).drop("v_", "p_", *[f"f{k}_" for k in range(n)])
 
@@ -192,9 +195,9 @@ def latest_version(names: DataFrame, name: str, pattern: str = "version_([0-9]+)
 
 def min_max(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Values of each item brought to 0 to 1; an item of one value is 0."""
-    w = Window.partitionBy(*group)
-    lo, hi = F.min(value).over(w), F.max(value).over(w)
-    return df.withColumn(value, F.coalesce(F.try_divide(F.col(value) - lo, hi - lo), F.lit(0.0)))
+    ends = df.groupBy(*group).agg(F.min(value).alias("lo_"), F.max(value).alias("hi_"))
+    scaled = F.coalesce(F.try_divide(F.col(value) - F.col("lo_"), F.col("hi_") - F.col("lo_")), F.lit(0.0))
+    return join_groups(df, ends, group).withColumn(value, scaled).drop("lo_", "hi_")
 
 
 def with_empty_metrics(frames: DataFrame, metrics: DataFrame, key: str, counts: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfield.functions import geometry
+from lumenfield.operators.quantiles import quantiles
 from lumenfield.operators.temporal import asof_nearest
 from lumenfield.session import ship_package
 
@@ -111,7 +112,7 @@ def mean_of_sequences(results: DataFrame, metrics: list[str]) -> DataFrame:
 def median_camera_distance(df: DataFrame, group: str, index: str, position: list[str]) -> DataFrame:
     pairs = frame_pairs(df, group, index, position)
     distance = F.sqrt(sum(((F.col(f"{p}_a") - F.col(f"{p}_b")) ** 2 for p in position), F.lit(0.0)))
-    return pairs.groupBy(group).agg(F.median(distance).alias("distance"))
+    return quantiles(pairs.withColumn("d_", distance), [group], {"distance": ("d_", 0.5)})
 
 
 def clamp_times(targets: DataFrame, ends: DataFrame, key: str, ts: str) -> tuple[DataFrame, DataFrame]:
