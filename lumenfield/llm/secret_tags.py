@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 from lumenfield.llm.cache import Cache
 from lumenfield.llm.pii import redacted
 from lumenfield.llm.tables import least_keys, pieces
+from lumenfield.plans.scratch import materialize
 from lumenfield.session import ship_package
 
 KINDS = ("assign", "access", "hex")
@@ -338,12 +339,18 @@ def fit(docs: DataFrame, sample: int = SAMPLE, others: int = OTHERS) -> Field |
     Of a long document, stretches of 4,000 characters about its first secret, or its start, come to the driver.
     """
     start = F.greatest(F.regexp_instr("text", F.lit(_LIKELY)) - 2000, F.lit(1))
-    keyed = docs.filter(F.length("text") > 0).select(F.col("text").substr(start, F.lit(4000)).alias("part"), F.xxhash64("doc_id", "text").alias("key"), F.col("text").rlike(_LIKELY).alias("likely"))
+    key = F.xxhash64("doc_id", "text").alias("key")
+    rows = docs.filter(F.length("text") > 0)
+    # texts are looked through once; then those of few keys are read
+    keyed = materialize(rows.select(key, F.col("text").rlike(_LIKELY).alias("likely")), "keys")
     counts = {r["likely"]: r["count"] for r in keyed.groupBy("likely").count().collect()}
     texts: list[str] = []
     for likely, most in ((True, sample), (False, others)):
         if counts.get(likely):
-            texts += [r["part"] for r in least_keys(keyed.filter(F.col("likely") == likely), "key", most, counts[likely], "part").collect()]
+            chosen = [r["key"] for r in least_keys(keyed.filter(F.col("likely") == likely), "key", most, counts[likely]).collect()]
+            some = rows.withColumn("key", key).filter(F.col("key") <= max(chosen)).filter(F.col("key").isin(chosen))
+            some = some.select("key", F.col("text").substr(start, F.lit(4000)).alias("part"))
+            texts += [r["part"] for r in some.distinct().orderBy("key", "part").limit(most).collect()]
     windows = windows_of(list(dict.fromkeys(texts)))
     return Field().train(windows) if any(any(y) for _, y, _ in windows) else None
 
