@@ -5,7 +5,8 @@ and A-Z are lowered. Every SEED consecutive words of a test item are a seed. Doc
 for seeds whole, and a seed is rare if at most a share RARE of all documents, or FEW documents, hold
 it, or if it is in the rarer half of an item's seeds, so that a passage that very many documents
 hold is found in all of them. Where a document holds rare seeds of
-an item, the passage around them, with the item's length before and after, is aligned to the item
+an item, the passage around them, with as many words before and after as an alignment of the least
+score can have, is aligned to the item
 by Smith-Waterman on words: MATCH for equal words, MISMATCH and GAP otherwise. The passage around
 other, common seeds is aligned too unless its words and the item's show that no alignment in it can
 reach the least score asked for, so commonness hides no contaminated document; only scores under that
@@ -26,6 +27,7 @@ named; a null item_id is -1. Other columns are ignored. An empty benchmark leave
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -159,8 +161,13 @@ def _could(passage: np.ndarray, item: np.ndarray, known: np.ndarray, need: float
     return some
 
 
-def _regions(places: np.ndarray, length: int, end: int) -> list[tuple[int, int]]:
-    """Passages of a document around an item's seeds; those that overlap are one, split when long."""
+def _regions(places: np.ndarray, length: int, end: int, least: float) -> list[tuple[int, int]]:
+    """Passages of a document around an item's seeds; those that overlap are one, split when long.
+
+    An alignment that scores `least` has at most 2 length (1 - least) words more than the item: each costs
+    GAP, and all matches together are worth MATCH length.
+    """
+    length += math.ceil(MATCH * length * max(0.0, 1 - least) / -GAP)
     spans: list[list[int]] = []
     for at in places.tolist():
         lo, hi = max(0, at - length), min(end, at + length + SEED)
@@ -215,7 +222,7 @@ def _aligned(hits: DataFrame, items: object, rare: object, least: float) -> Data
                         at.setdefault(k, ([], []))[0 if usable[seed] else 1].append(place)
                 for k, found in at.items():
                     item = own.rows[k]
-                    sure, more = (_regions(np.array(x, np.int64), len(item), len(row)) for x in found)
+                    sure, more = (_regions(np.array(x, np.int64), len(item), len(row), least) for x in found)
                     jobs += [(rid, k, row[a:b]) for a, b in sure]
                     for a, b in more:
                         if not any(lo <= a and b <= hi for lo, hi in sure) and _could(row[a:b], item, known, least * MATCH * len(item)):
