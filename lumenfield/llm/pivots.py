@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfield.llm.tables import salted
+from lumenfield.llm.tables import least_keys, salted
 from lumenfield.operators.components import connected_components
 from lumenfield.plans.scratch import materialize
 from lumenfield.session import ship_package
@@ -64,7 +64,13 @@ def spread(sample: np.ndarray, count: int) -> np.ndarray:
 
 def nearest(vectors: np.ndarray, pivots: np.ndarray, count: int) -> np.ndarray:
     """Numbers of each row's nearest pivots, nearest first; ties by number."""
-    return np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")[:, :count].astype(np.int32)
+    away = -(vectors @ pivots.T)
+    if count < away.shape[1]:
+        some = np.sort(np.argpartition(away, count - 1, axis=1)[:, :count], axis=1)
+    else:
+        some = np.broadcast_to(np.arange(away.shape[1]), away.shape)
+    order = np.argsort(np.take_along_axis(away, some, 1), axis=1, kind="stable")
+    return np.take_along_axis(some, order, 1).astype(np.int32)
 
 
 def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +157,8 @@ def _linked(rows: DataFrame, kind: str, least: float, pivots: int | None, k: int
     )
     distinct = materialize(distinct, "distinct")
     pivots = pivots or min(MOST, max(FEWEST, round((distinct.count() / 4) ** 0.5)))
-    sample = distinct.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE * pivots).toArrow()
+    keyed = distinct.select("vec", F.xxhash64("vec").alias("key"))
+    sample = least_keys(keyed, "key", SAMPLE * pivots, distinct.count(), "vec").select("vec").toArrow()
     points = spread(unit_rows(sample.column("vec").combine_chunks()), pivots)
     k_own, shared_own = min(k, len(points)), min(shared, len(points))
     count, sent = len(points), spark.sparkContext.broadcast(points)
