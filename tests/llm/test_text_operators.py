@@ -554,3 +554,39 @@ def test_spaced_and_cut_strings():
     keys, count = toxicity.strings(["You i d i o t now", "i.d.i.o.t!", " ", "a b"])
     assert keys.to_pylist() == ["you", "idiot", "now", "idiot", "", "a", "b"] and count.tolist() == [3, 1, 1, 2]
     assert all(len(w) <= toxicity.CUT for w in toxicity.windows("y" * 1000))
+
+
+def test_scattered_copies_are_found_as_in_whole_documents(spark):
+    rng = random.Random(21)
+    item = [f"w{k}" for k in range(10)]
+    scattered = [*item[:3], *(f"s{k}" for k in range(7)), *item[3:5], "s8", *item[5:7], "s9", *item[7:9], "s10", item[9]]
+    rows = [(0, " ".join(["x"] * 50 + scattered + ["y"] * 50))]
+    for n in range(1, 60):
+        own = list(item)
+        for _ in range(rng.randint(0, 12)):
+            own.insert(rng.randint(3, len(own)), f"t{rng.randint(0, 99)}")
+        rows.append((n, " ".join(["x"] * rng.randint(0, 40) + own + ["y"] * 40)))
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: (r["contaminated"], r["contamination"]) for r in decontaminate.decontaminate(docs, benchmark).collect()}
+    number = {w.encode(): k + 1 for k, w in enumerate(item)}
+    coded = np.arange(1, 11)
+    for i, text in rows:
+        own = np.array([number.get(w, 0) for w in decontaminate.words(text)])
+        score = float(decontaminate.smith_waterman([own], [coded])[0]) / 20
+        assert got[i][0] == (score >= decontaminate.LEAST) and (score < decontaminate.LEAST or got[i][1] == score)
+    assert got[0] == (True, 0.55)
+
+
+def test_token_files_of_one_key_use_all_tasks(spark):
+    docs = spark.range(4000).selectExpr("cast(null as long) as doc_id", "concat('text ', id % 1500) as text")
+    path = new_path(spark, "one-key")
+    repair.write(docs, path, P.path("byte_bpe_50k.json"))
+    assert spark.read.parquet(path).select("part").distinct().count() > 1
+    assert repair.read(spark, path).count() == 4000
+
+
+def test_queries_of_all_operators_are_registered():
+    import __spark_entry__
+
+    names = {q.split("_")[0] for q in __spark_entry__.queries()}
+    assert {f"op{k}" for k in range(1, 14)} | {"pipeline"} <= names
