@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfield.operators import clustering, neighbours
+from lumenfield.operators import clustering, neighbours, surface, visibility
+from lumenfield.plans.queries import _NEAR, _POINT, _points, query, r6, table
 from lumenfield.plans.scratch import materialize
-from lumenfield.plans.queries import _NEAR, _POINT, _points, query, r6
 
 AXES = ["x", "y", "z"]
 
@@ -41,3 +41,58 @@ def hdbscan_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = materialize(p.join(clustering.hdbscan(p, "vec_id", AXES, samples=3, size=5), "vec_id"), "clustered")
     full = clustering.fill(found, "vec_id", AXES).select("vec_id", F.col("label").alias("filled"))
     return found.select("vec_id", "label").join(full, "vec_id")
+
+
+def _cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A camera for each nation, turned about the vertical."""
+    a = F.col("n_nationkey") * 0.251 + 0.1
+    zero, one = F.lit(0.0), F.lit(1.0)
+    w2c = F.array(F.cos(a), zero, F.sin(a), F.lit(0.05), zero, one, zero, F.lit(-0.02), -F.sin(a), zero, F.cos(a), F.lit(0.31), zero, zero, zero, one)
+    return table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("view"), w2c.alias("w2c"), *[F.lit(x).alias(n) for n, x in (("fx", 40.3), ("fy", 40.7), ("cx", 32.1), ("cy", 23.9), ("width", 64), ("height", 48))]
+    )
+
+
+_CAMERAS = "(SELECT n_nationkey AS view, cos(n_nationkey * 0.251 + 0.1) AS c, sin(n_nationkey * 0.251 + 0.1) AS s FROM nation)"
+
+
+@query(
+    "visible_faces",
+    f"""WITH p AS (SELECT view, vec_id, c * x + s * z + 0.05 AS px, y - 0.02 AS py, c * z - s * x + 0.31 AS pz FROM {_POINT}, {_CAMERAS})
+    SELECT view, vec_id FROM p WHERE pz > 0 AND (40.3 * px + 32.1 * pz) / pz >= 0 AND (40.3 * px + 32.1 * pz) / pz < 64
+    AND (40.7 * py + 23.9 * pz) / pz >= 0 AND (40.7 * py + 23.9 * pz) / pz < 48""",
+)
+def visible_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points that each camera sees."""
+    return visibility.visible(_points(spark, sf_dir), _cameras(spark, sf_dir), "vec_id", "view", AXES).select("view", "vec_id")
+
+
+_PIXELS = """(SELECT l_linenumber AS frame, (l_partkey * 7 + l_orderkey) % 24 AS u, (l_suppkey * 5 + l_orderkey) % 18 AS v, sum(l_quantity) / count(*) / 20.0 AS depth
+    FROM lineitem GROUP BY ALL)"""
+
+
+@query(
+    "depth_surface_voxels",
+    f"""WITH px AS {_PIXELS},
+    cam AS (SELECT frame, cos(frame * 0.317) AS c, sin(frame * 0.317) AS s FROM (SELECT DISTINCT frame FROM px)),
+    ray AS (SELECT frame, (u - 12.03) / 21.7 AS rx, (v - 9.01) / 22.3 AS ry, greatest(depth + (i - 1) * 0.3, 0.0) AS z FROM px, range(3) AS steps(i)),
+    p AS (SELECT frame, rx * z - 0.013 AS x, ry * z - 0.017 AS y, z - 0.019 AS z FROM ray),
+    blocks AS (SELECT DISTINCT frame, floor((c * x - s * z) / 0.8)::BIGINT AS bx, floor(y / 0.8)::BIGINT AS by_, floor((s * x + c * z) / 0.8)::BIGINT AS bz FROM p JOIN cam USING (frame)),
+    vox AS (SELECT frame, bx * 4 + i AS vx, by_ * 4 + j AS vy, bz * 4 + k AS vz FROM blocks, range(4) AS a(i), range(4) AS b(j), range(4) AS d(k)),
+    at AS (SELECT frame, vx, vy, vz, c * (vx * 0.2) + s * (vz * 0.2) + 0.013 AS x, vy * 0.2 + 0.017 AS y, c * (vz * 0.2) - s * (vx * 0.2) + 0.019 AS z FROM vox JOIN cam USING (frame)),
+    uv AS (SELECT *, 21.7 * x / z + 12.03 AS u, 22.3 * y / z + 9.01 AS v FROM at WHERE z > 0),
+    seen AS (SELECT uv.vx, uv.vy, uv.vz, px.depth - uv.z AS d FROM uv JOIN px ON px.frame = uv.frame AND px.u = floor(uv.u) AND px.v = floor(uv.v) WHERE uv.u >= 0 AND uv.v >= 0 AND uv.u <= 23 AND uv.v <= 17)
+    SELECT vx, vy, vz, round(avg(least(d / 0.3, 1.0)), 6) AS tsdf, count(*)::DOUBLE AS weight FROM seen WHERE d >= -0.3 GROUP BY ALL HAVING count(*) >= 2""".replace("at AS", "placed AS").replace("FROM at ", "FROM placed "),
+)
+def depth_surface_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxels of which at least two depth frames give a distance: a frame a line number, its pixels' depths from quantities."""
+    u, v = (F.col("l_partkey") * 7 + F.col("l_orderkey")) % 24, (F.col("l_suppkey") * 5 + F.col("l_orderkey")) % 18
+    item = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("frame"), u.alias("u"), v.alias("v"), "l_quantity")
+    pixels = item.groupBy("frame", "u", "v").agg((F.sum("l_quantity") / F.count(F.lit(1)) / 20.0).alias("depth"))
+    a = F.col("frame") * 0.317
+    zero, one = F.lit(0.0), F.lit(1.0)
+    w2c = F.array(F.cos(a), zero, F.sin(a), F.lit(0.013), zero, one, zero, F.lit(0.017), -F.sin(a), zero, F.cos(a), F.lit(0.019), zero, zero, zero, one)
+    size = [F.lit(x).alias(n) for n, x in (("fx", 21.7), ("fy", 22.3), ("cx", 12.03), ("cy", 9.01), ("width", 24), ("height", 18))]
+    cameras = pixels.select("frame").distinct().select("frame", w2c.alias("w2c"), *size)
+    out = surface.integrate(pixels, cameras, "frame", 0.2, 0.3, least=2.0, block=4)
+    return out.select("vx", "vy", "vz", r6("tsdf").alias("tsdf"), "weight")
