@@ -69,6 +69,21 @@ def decimate(df: DataFrame, key: str, ts: str, interval: float, order: list[str]
     return out.withColumn("r_", F.row_number().over(Window.partitionBy(key, "b_").orderBy(ts, *order))).filter("r_ = 1").drop("b_", "r_")
 
 
+def decimate_accumulating(df: DataFrame, key: str, ts: str, interval: float, order: list[str]) -> DataFrame:
+    """Rows at or after the next mark, which moves on by one interval for each row taken, from the key's first time.
+
+    After gaps several rows in a row are taken until the marks have caught up. A row's number of marks
+    reached bounds how many may be taken up to it, and each row takes one at most: what is taken up to row
+    n is the least, over rows m up to n, of the marks reached at m and the rows after it.
+    """
+    w = Window.partitionBy(key).orderBy(ts, *order)
+    reached = F.floor((F.col(ts) - F.first(ts).over(w)) / interval) + 1
+    placed = df.withColumn("n_", F.row_number().over(w)).withColumn("c_", reached - F.col("n_"))
+    upto = F.col("n_") + F.least(F.min("c_").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    taken = placed.withColumn("t_", upto)
+    return taken.withColumn("b_", F.coalesce(F.lag("t_").over(w), F.lit(0))).filter("t_ > b_").drop("n_", "c_", "t_", "b_")
+
+
 def moving(df: DataFrame, key: str, order: list[str], value: str, last: int = 20) -> DataFrame:
     """Mean, maximum and lower median of the last rows, and the running mean of all."""
     w = Window.partitionBy(key).orderBy(*order)

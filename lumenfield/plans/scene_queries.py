@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfield.operators import clustering, neighbours, surface, visibility
-from lumenfield.plans.queries import _NEAR, _POINT, _points, query, r6, table
+from lumenfield.operators import clustering, neighbours, runs, surface, temporal, visibility
+from lumenfield.plans.queries import _NEAR, _POINT, EVENTS, _points, events, query, r6, table
 from lumenfield.plans.scratch import materialize
 
 AXES = ["x", "y", "z"]
@@ -96,3 +96,64 @@ def depth_surface_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     cameras = pixels.select("frame").distinct().select("frame", w2c.alias("w2c"), *size)
     out = surface.integrate(pixels, cameras, "frame", 0.2, 0.3, least=2.0, block=4)
     return out.select("vx", "vy", "vz", r6("tsdf").alias("tsdf"), "weight")
+
+
+_ORDERED = "(SELECT user_id, event_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM " + EVENTS + ")"
+
+
+@query(
+    "decimate_accumulating",
+    f"""WITH RECURSIVE e AS {_ORDERED},
+    s AS (SELECT user_id, n, event_id, t AS next_, true AS taken FROM e WHERE n = 1
+      UNION ALL
+      SELECT e.user_id, e.n, e.event_id, CASE WHEN s.taken THEN s.next_ + 259200000000 ELSE s.next_ END AS next_,
+             e.t >= CASE WHEN s.taken THEN s.next_ + 259200000000 ELSE s.next_ END AS taken
+      FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+    SELECT event_id FROM s WHERE taken""",
+)
+def decimate_accumulating(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user at or after a mark that moves on by three days for each one taken."""
+    return temporal.decimate_accumulating(events(spark, sf_dir), "user_id", "t", 259_200_000_000, ["event_id"]).select("event_id")
+
+
+_MASK = "(SELECT DISTINCT l_linenumber AS mask, l_partkey % 97 AS x, (l_orderkey + l_suppkey) % 89 AS y FROM lineitem WHERE l_quantity > 45)"
+
+
+def _mask_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks of the items of large quantities, one for each line number."""
+    item = table(spark, sf_dir, "lineitem").filter("l_quantity > 45")
+    pixels = item.select(F.col("l_linenumber").cast("long").alias("mask"), (F.col("l_partkey") % 97).alias("x"), ((F.col("l_orderkey") + F.col("l_suppkey")) % 89).alias("y"))
+    return runs.from_pixels(pixels, "mask", "x", "y")
+
+
+@query(
+    "mask_components",
+    f"""WITH RECURSIVE p AS {_MASK},
+    reach AS (SELECT mask, x, y, x AS x0, y AS y0 FROM p
+      UNION
+      SELECT p.mask, p.x, p.y, r.x0, r.y0 FROM reach r JOIN p ON p.mask = r.mask AND abs(p.x - r.x) <= 1 AND abs(p.y - r.y) <= 1),
+    c AS (SELECT mask, x0, y0, count(*) AS area FROM reach GROUP BY ALL)
+    SELECT mask, area, (count(*) // area)::BIGINT AS parts FROM c GROUP BY mask, area""",
+)
+def mask_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many components of each area each mask has."""
+    parts = runs.components(_mask_runs(spark, sf_dir)).select("mask", "component", "area").distinct()
+    return parts.groupBy("mask", "area").agg(F.count(F.lit(1)).alias("parts"))
+
+
+@query(
+    "mask_pair_iou",
+    f"""WITH b AS (SELECT user_id, value >= 50 AS p, value >= 20 AND value < 70 AS q FROM {EVENTS})
+    SELECT user_id, round(coalesce(count(*) FILTER (WHERE p AND q) / nullif(count(*) FILTER (WHERE p OR q), 0), 0), 6) AS iou FROM b GROUP BY user_id""",
+)
+def mask_pair_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap of two masks of each user's events, written as lengths of runs, by way of their compact text."""
+    rows = events(spark, sf_dir)
+    sides = []
+    for name, bit in (("p", F.col("value") >= 50), ("q", (F.col("value") >= 20) & (F.col("value") < 70))):
+        own = temporal.run_lengths(rows.withColumn("bit", bit.cast("int")), "user_id", ["t", "event_id"], "bit")
+        counts = own.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("run", "bit", F.col("length").cast("long").alias("length")))).alias("r"))
+        start = F.when(F.col("r")[0]["bit"] == 1, F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+        sides.append(counts.select("user_id", runs.to_text(F.concat(start, F.col("r.length"))).alias(name)))
+    both = sides[0].join(sides[1], "user_id")
+    return both.select("user_id", r6(runs.iou(runs.from_text(F.col("p")), runs.from_text(F.col("q")))).alias("iou"))
