@@ -135,17 +135,6 @@ def longest_side(width: Column, height: Column, side: int = 1024) -> Column:
     return F.array(F.floor(width * scale + 0.5), F.floor(height * scale + 0.5))
 
 
-def crop_boxes(width: int, height: int, layers: int, overlap: float = 512 / 1500) -> list[tuple[int, int, int, int, int]]:
-    """(layer, x0, y0, x1, y1): the image, then for each layer a grid of twice as many crops a side, which overlap."""
-    out = [(0, 0, 0, width, height)]
-    for layer in range(1, layers + 1):
-        n = 2**layer
-        shared = int(overlap * min(width, height) * 2 / n)
-        w, h = (-(-(shared * (n - 1) + side) // n) for side in (width, height))
-        out += [(layer, (w - shared) * i, (h - shared) * j, min((w - shared) * i + w, width), min((h - shared) * j + h, height)) for i in range(n) for j in range(n)]
-    return out
-
-
 # pixels and pairs
 
 
@@ -167,20 +156,13 @@ def partner(index: Column) -> Column:
     return index.bitwiseXOR(F.lit(1))
 
 
-def stride_weights(strides: list[int], kind: str = "uniform") -> dict[int, float]:
-    """Shares of strides: alike, falling by e, or from a to b in equal steps ("linear_a_b")."""
-    import math
-
-    if kind == "uniform":
-        raw = [1.0] * len(strides)
-    elif kind == "exponential":
-        raw = [math.exp(-k) for k in range(len(strides))]
-    elif kind.startswith("linear"):
-        a, b = map(float, kind.split("_")[1:])
-        raw = [a + (b - a) * k / max(1, len(strides) - 1) for k in range(len(strides))]
-    else:
-        raise ValueError(f"no such kind of stride weights: {kind}")
-    return {s: r / sum(raw) for s, r in zip(strides, raw, strict=True)}
+def drawn(key: Column, weights: list[float], seed: int = 0) -> Column:
+    """A place in weights, from 0, drawn by hash of a key in proportion to them; the same for equal keys."""
+    if not weights or min(weights) < 0 or sum(weights) <= 0:
+        raise ValueError("weights have to be 0 or more, and some over 0")
+    share = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    ends = [sum(weights[: k + 1]) / sum(weights) for k in range(len(weights) - 1)]
+    return sum(((share >= e).cast("int") for e in ends), F.lit(0))
 
 
 def labels_of(text: Column) -> Column:

@@ -84,8 +84,8 @@ def members(df: DataFrame, cls: str, ident: str) -> DataFrame:
 
 
 def by_directory(paths: DataFrame, path: str, component: int) -> DataFrame:
-    """Paths grouped by one component of theirs, counted from 1, or from the end if negative."""
-    return paths.groupBy(F.try_element_at(F.split(path, "/"), F.lit(component)).alias("directory")).agg(F.array_sort(F.collect_list(path)).alias("paths"))
+    """Paths with the component of theirs that they are grouped by, counted from 1, or from the end if negative."""
+    return paths.select(F.try_element_at(F.split(path, "/"), F.lit(component)).alias("directory"), path)
 
 
 def ranked_labels(df: DataFrame, label: str) -> DataFrame:

@@ -86,27 +86,6 @@ def box_iou(box: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.divide(inter, total, out=np.zeros_like(inter), where=total > 0)
 
 
-def nms(boxes: np.ndarray, scores: np.ndarray, limit: float) -> np.ndarray:
-    """Places of boxes that stay, best first: none overlaps a better one by more than the limit."""
-    order, kept = np.argsort(-scores, kind="stable"), []
-    while len(order):
-        kept.append(int(order[0]))
-        order = order[1:][box_iou(boxes[order[0]], boxes[order[1:]]) <= limit]
-    return np.array(kept, np.int64)
-
-
-def suppress(df: DataFrame, image: str, ident: str, limit: float = 0.7) -> DataFrame:
-    """Rows (x0, y0, x1, y1, score) that stay after suppression within each image; columns image and id."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(ident)
-        keep = nms(group[["x0", "y0", "x1", "y1"]].to_numpy(float), group["score"].to_numpy(float), limit)
-        return group.iloc[keep][[image, ident]]
-
-    kinds = dict(df.dtypes)
-    return df.groupBy(image).applyInPandas(run, f"{image} {kinds[image]}, {ident} {kinds[ident]}")
-
-
 def assign(worth: np.ndarray) -> list[tuple[int, int]]:
     """One-to-one pairs (row, column) with the highest total worth, by shortest augmenting paths."""
     flip = worth.shape[0] > worth.shape[1]

@@ -298,7 +298,7 @@ def class_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("by_directory", "SELECT split_part(url, '/', 3) AS directory, count(*) AS n FROM pages GROUP BY 1")
 def by_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reductions.by_directory(table(spark, sf_dir, "pages"), "url", 3).select("directory", F.size("paths").cast("long").alias("n"))
+    return reductions.by_directory(table(spark, sf_dir, "pages"), "url", 3).groupBy("directory").agg(F.count("url").alias("n"))
 
 
 @query("ranked_labels", "SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS rank FROM (SELECT DISTINCT event_type FROM events)")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfield.functions import geometry, masks
-from lumenfield.operators import alignment, datasets, evaluation, fusion, inertial, selection, temporal, vectors
+from lumenfield.operators import alignment, datasets, evaluation, fusion, inertial, selection, suppression, temporal, vectors
 from lumenfield.operators.components import connected_components
 from lumenfield.session import ship_package
 
@@ -515,11 +515,22 @@ def greedy_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.select_views(views, "l_linenumber", "l_suppkey", "rel", "m", 10)
 
 
-@query("nms")
+@query(
+    "nms",
+    f"""WITH RECURSIVE r AS (SELECT label, vec_id, x, y, row_number() OVER (PARTITION BY label ORDER BY z DESC, vec_id) AS n FROM {_POINT}),
+    s AS (SELECT label, n, [{{'id': vec_id, 'x': x, 'y': y}}] AS kept FROM r WHERE n = 1
+      UNION ALL
+      SELECT r.label, r.n, CASE WHEN len(list_filter(s.kept, lambda k: greatest(0.2 - abs(k.x - r.x), 0) * greatest(0.2 - abs(k.y - r.y), 0)
+        / (0.08 - greatest(0.2 - abs(k.x - r.x), 0) * greatest(0.2 - abs(k.y - r.y), 0)) > 0.5)) > 0
+        THEN s.kept ELSE list_append(s.kept, {{'id': r.vec_id, 'x': r.x, 'y': r.y}}) END AS kept
+      FROM s JOIN r ON r.label = s.label AND r.n = s.n + 1),
+    f AS (SELECT label, unnest(kept) AS k FROM s WHERE n = (SELECT max(n) FROM r WHERE r.label = s.label))
+    SELECT label, k.id AS vec_id FROM f""",
+)
 def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _points(spark, sf_dir)
     boxes = p.select("label", "vec_id", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 0.2).alias("x1"), (F.col("y") + 0.2).alias("y1"), F.col("z").alias("score"))
-    return selection.suppress(boxes, "label", "vec_id", 0.5)
+    return suppression.suppress(boxes, "label", "vec_id", 0.5)
 
 
 @query("farthest_points")

@@ -78,7 +78,7 @@ def label_faces(faces: DataFrame, objects: DataFrame, slack: float = 0.05, share
         return faces.limit(0).select("fid", F.lit(None).cast("string").alias("object_id"))
     centers = reach.select("object_id", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"), "reach")
     pairs = vectors.radius_join(faces.select("fid", *POINT), centers, POINT, float(eps)).filter(F.col("distance") <= F.col("reach_r"))
-    scored = pairs.withColumn("score", 1 - F.col("distance") / F.col("reach_r")).withColumn("rank_", F.xxhash64("object_id_r"))
+    scored = pairs.withColumn("score", 1 - F.col("distance") / F.col("reach_r"))
     top = datasets.first_n(scored, ["fid"], [F.desc("score"), "object_id_r"], 2)
     best = top.groupBy("fid").agg(F.max_by("object_id_r", "score").alias("object_id"), F.max("score").alias("best"), F.when(F.count(F.lit(1)) > 1, F.min("score")).alias("second"))
     return best.filter(F.col("best") >= share * (F.col("best") + F.greatest(F.coalesce("second", F.lit(0.0)), F.lit(0.0)))).select("fid", "object_id")

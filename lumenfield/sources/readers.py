@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenfield.operators.datasets import global_index
+
 IMU = "timestamp long, acc_x double, acc_y double, acc_z double, gyro_x double, gyro_y double, gyro_z double"
 AR_POSE = "timestamp long, px double, py double, pz double, qx double, qy double, qz double, qw double"
 
@@ -62,8 +64,8 @@ def read_trajectory(spark: SparkSession, path: str, skip: int = 0, stride: int =
     cells = F.transform(F.split(F.trim("value"), r"[\s,]+"), lambda x: x.try_cast("double"))
     rows = rows.select(cells.alias("c")).filter(F.size("c") >= 8)
     out = rows.select(F.col("c")[0].alias("ts"), F.slice("c", 2, 3).alias("position"), F.slice("c", 5, 4).alias("quaternion"))
-    out = out.withColumn("idx", F.row_number().over(Window.orderBy("ts")) - 1).filter((F.col("idx") >= skip) & (F.pmod(F.col("idx") - skip, F.lit(stride)) == 0))
-    return out.orderBy("idx").limit(most) if most else out
+    out = global_index(out, ["ts", "position", "quaternion"], "idx").filter((F.col("idx") >= skip) & (F.pmod(F.col("idx") - skip, F.lit(stride)) == 0))
+    return (out.filter(F.col("idx") < skip + stride * most) if most else out).orderBy("idx")
 
 
 def read_images(spark: SparkSession, folder: str, pattern: str = "*.jpg") -> DataFrame:

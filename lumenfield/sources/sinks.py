@@ -150,10 +150,15 @@ def write_document(spark: SparkSession, path: str, document: dict[str, Any]) ->
         stream.write(bytearray(json.dumps(document, sort_keys=True, default=_plain).encode()))
     finally:
         stream.close()
+    # what was there stays beside the new file until that is in place
+    old = jvm.org.apache.hadoop.fs.Path(path + ".old")
     if store.exists(target):
-        store.delete(target, False)
+        store.delete(old, False)
+        if not store.rename(target, old):
+            raise OSError(f"{path} could not be moved aside")
     if not store.rename(part, target):
-        raise OSError(f"{path} could not be put in place")
+        raise OSError(f"{path} could not be put in place; what was there is at {path}.old")
+    store.delete(old, False)
 
 
 def _plain(value: Any) -> Any:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenfield.functions import frames, geometry
-from lumenfield.operators import predicates, reductions, trajectory
+from lumenfield.operators import predicates, reductions, suppression, trajectory
 from lumenfield.sources import sinks
 
 
@@ -69,16 +69,18 @@ def test_matrices_boxes_and_crops(spark):
     assert value(spark, frames.to_model_space(box, F.lit(2.0), F.lit(4.0), 8.0)) == [8, 8, 40, 24]
     k = lit([50, 0, 32, 0, 40, 24, 0, 0, 1])
     assert value(spark, frames.crop_intrinsics(k, F.lit(64), F.lit(48), F.lit(32), F.lit(24)))[2:6] == [16, 0, 40, 12]
-    crops = frames.crop_boxes(100, 80, 2)
+    images = spark.createDataFrame([(7, 100, 80)], "id int, w int, h int")
+    crops = [tuple(r)[1:] for r in suppression.crops(images, "id", "w", "h", 2).orderBy("layer", "x0", "y0").collect()]
     assert len(crops) == 1 + 4 + 16 and crops[0] == (0, 0, 0, 100, 80)
+    assert crops[1:5] == [(1, 0, 0, 64, 54), (1, 0, 27, 64, 80), (1, 37, 0, 100, 54), (1, 37, 27, 100, 80)]
     for layer in (1, 2):
         own = [c for c in crops if c[0] == layer]
         covered = np.zeros((80, 100), bool)
         for _, x0, y0, x1, y1 in own:
             covered[y0:y1, x0:x1] = True
         assert covered.all()
-    for kind in ("uniform", "exponential", "linear_1_3"):
-        assert np.isclose(sum(frames.stride_weights([1, 2, 4], kind).values()), 1)
+    counts = {r["k"]: r["count"] for r in spark.range(20_000).select(frames.drawn(F.col("id"), [3.0, 0.0, 1.0, 4.0], 5).alias("k")).groupBy("k").count().collect()}
+    assert set(counts) == {0, 2, 3} and all(abs(counts[k] / 20_000 - w / 8) < 0.02 for k, w in ((0, 3), (2, 1), (3, 4)))
 
 
 def test_trajectory_alignment(spark):
