@@ -207,18 +207,3 @@ def test_pool_stream(spark, tmp_path):
     run = stream.writeStream.outputMode("append").format("memory").queryName("pool_out").trigger(availableNow=True).start()
     run.awaitTermination()
     assert [(r["accepted"], r["size"]) for r in spark.table("pool_out").orderBy("seq").collect()] == [(True, 1), (True, 2), (True, 3), (False, 3), (False, 3)]
-
-
-def test_inertial_folds():
-    from lumenfield.operators import inertial
-
-    ts = np.arange(0, 1001, 10.0)
-    still = np.tile([0.0, 0, 9.80665], (len(ts), 1))
-    turns = inertial.orientations(ts, still, np.zeros_like(still))
-    assert np.allclose(turns, [1, 0, 0, 0]) and np.allclose(inertial.positions(ts, still, turns), 0)
-    rate = np.tile([math.pi / 2, 0, 0], (len(ts), 1))
-    assert np.allclose(np.abs(inertial.orientations(ts, still, rate)[-1]), [math.cos(math.pi / 4), math.sin(math.pi / 4), 0, 0], atol=1e-9)
-    push = still + (1.0, 0, 0)
-    assert inertial.positions(ts, push, turns)[-1][0] == pytest.approx(0.5, abs=0.02)
-    assert np.allclose(inertial.rotate(inertial.level(np.array([0, 3.0, 4.0])), np.array([0, 0.6, 0.8])), [0, 0, 1])
-    assert np.linalg.det(np.stack([inertial.rotate(inertial.level(np.array([0, 0, -1.0])), e) for e in np.eye(3)])) == pytest.approx(1)
