@@ -266,9 +266,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, block: in
             yield flush()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # rows of one doc_id, null above all, are cut anywhere between texts
-    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("key")).repartitionByRange(parts, "doc_id", "key")
-    ordered = ordered.sortWithinPartitions("doc_id", "key", "text").drop("key")
+    # rows of one doc_id, null above all, are cut anywhere by their place in the input; texts are not read to find the ranges
+    ordered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("key")).repartitionByRange(parts, "doc_id", "key")
+    ordered = ordered.sortWithinPartitions("doc_id", "text").drop("key")
     ordered.mapInArrow(run, _SCHEMA).write.parquet(path)
 
 
