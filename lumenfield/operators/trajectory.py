@@ -104,6 +104,27 @@ def trajectory_errors(pairs: DataFrame, key: str, order: list[str], align: bool
     return off.groupBy(key).agg(F.sqrt(F.avg("a_")).alias("ate"), F.sqrt(F.coalesce(F.avg("r_"), F.lit(0.0))).alias("rpe"))
 
 
+def relative_pose_errors(pairs: DataFrame, key: str, order: list[str], truth: str, found: str, delta: int = 1) -> DataFrame:
+    """key, rpe_rotation (degrees) and rpe_translation: root mean squares over all pairs of poses `delta` apart; n of them.
+
+    truth and found: camera-to-world poses (4x4). The error of a pair is what its true motion, undone, leaves
+    of the found one; a turn common to all found poses changes neither figure. Sequences of `delta` poses or fewer
+    have null errors and n 0.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    rows = pairs.select(key, F.col(truth).alias("t_"), F.col(found).alias("f_"), F.lag(truth, delta).over(w).alias("t0_"), F.lag(found, delta).over(w).alias("f0_"))
+    # one step a column, so that no product is computed twice
+    for name, inverse in (("ti_", "t0_"), ("fi_", "f0_")):
+        rows = rows.withColumn(name, geometry.invert_pose(inverse))
+    rows = rows.withColumns({"t_": geometry.multiply("ti_", "t_", 4), "f_": geometry.multiply("fi_", "f_", 4)}).withColumn("ti_", geometry.invert_pose("t_"))
+    rows = rows.withColumn("e_", F.when(F.col("t0_").isNotNull() & F.col("f0_").isNotNull(), geometry.multiply("ti_", "f_", 4)))
+    trace = F.col("e_")[0] + F.col("e_")[5] + F.col("e_")[10]
+    # least and greatest pass over nulls
+    turn = F.when(F.col("e_").isNotNull(), F.degrees(F.acos(F.least(F.greatest((trace - 1) / 2, F.lit(-1.0)), F.lit(1.0)))))
+    move = F.col("e_")[3] * F.col("e_")[3] + F.col("e_")[7] * F.col("e_")[7] + F.col("e_")[11] * F.col("e_")[11]
+    return rows.groupBy(key).agg(F.sqrt(F.avg(turn * turn)).alias("rpe_rotation"), F.sqrt(F.avg(move)).alias("rpe_translation"), F.count("e_").alias("n"))
+
+
 def mean_of_sequences(results: DataFrame, metrics: list[str]) -> DataFrame:
     """One row of means over sequences; zeros if there are none."""
     return results.agg(*[F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in metrics])

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfield.operators import clustering, neighbours, runs, surface, temporal, visibility
+from lumenfield.operators import clustering, neighbours, runs, surface, temporal, trajectory, visibility
 from lumenfield.plans.queries import _NEAR, _POINT, EVENTS, _points, events, query, r6, table
 from lumenfield.plans.scratch import materialize
 
@@ -157,3 +157,25 @@ def mask_pair_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
         sides.append(counts.select("user_id", runs.to_text(F.concat(start, F.col("r.length"))).alias(name)))
     both = sides[0].join(sides[1], "user_id")
     return both.select("user_id", r6(runs.iou(runs.from_text(F.col("p")), runs.from_text(F.col("q")))).alias("iou"))
+
+
+@query(
+    "relative_pose_errors",
+    """WITH p AS (SELECT l_suppkey AS k, l_orderkey, l_linenumber, l_tax * 9.0 AS a, l_discount * 8.0 AS b, l_quantity / 10.0 AS x, l_extendedprice / 20000.0 AS y FROM lineitem),
+    d AS (SELECT k, a - lag(a) OVER w AS da, b - lag(b) OVER w AS db, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, lag(a) OVER w AS a0, lag(b) OVER w AS b0
+      FROM p WINDOW w AS (PARTITION BY k ORDER BY l_orderkey, l_linenumber, x, y)),
+    e AS (SELECT k, CASE WHEN da IS NOT NULL THEN degrees(acos(least(greatest(cos(db - da), -1), 1))) END AS turn, cos(a0) * dx AS tx, -sin(a0) * dx AS ty, cos(b0) * dy AS fx, -sin(b0) * dy AS fy FROM d)
+    SELECT k, round(sqrt(avg(turn * turn)), 4) AS rpe_rotation, round(sqrt(avg((fx - tx) ** 2 + (fy - ty) ** 2)), 4) AS rpe_translation, count(turn) AS n FROM e GROUP BY k""",
+)
+def relative_pose_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of motions from item to item of each supplier: cameras turned about the vertical and moved along x."""
+    item = table(spark, sf_dir, "lineitem")
+
+    def pose(angle: Column, x: Column) -> Column:
+        zero, one = F.lit(0.0), F.lit(1.0)
+        return F.array(F.cos(angle), -F.sin(angle), zero, x, F.sin(angle), F.cos(angle), zero, zero, zero, zero, one, zero, zero, zero, zero, one)
+
+    x, y = (F.col("l_quantity") / 10.0).cast("double"), (F.col("l_extendedprice") / 20000.0).cast("double")
+    rows = item.select(F.col("l_suppkey").alias("k"), "l_orderkey", "l_linenumber", x.alias("x"), y.alias("y"), pose(F.col("l_tax").cast("double") * 9.0, x).alias("t"), pose(F.col("l_discount").cast("double") * 8.0, y).alias("f"))
+    out = trajectory.relative_pose_errors(rows, "k", ["l_orderkey", "l_linenumber", "x", "y"], "t", "f")
+    return out.select("k", F.round("rpe_rotation", 4).alias("rpe_rotation"), F.round("rpe_translation", 4).alias("rpe_translation"), "n")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from lumenfield.operators import rotations
+from lumenfield.operators import rotations, trajectory
 
 
 def mul(a, b):
@@ -74,3 +74,31 @@ def test_squad(spark):
     for r in got:
         q = np.array(r["quaternion"])
         assert abs(np.linalg.norm(q) - 1) < 1e-9 and abs(abs(q @ want[r["s"], r["t"]]) - 1) < 1e-9
+
+
+def pose(rng):
+    q = rng.normal(size=4)
+    w, x, y, z = q / np.linalg.norm(q)
+    out = np.eye(4)
+    out[:3, :3] = [[1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)], [2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)], [2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]]
+    out[:3, 3] = rng.normal(size=3)
+    return out
+
+
+def test_relative_pose_errors(spark):
+    rng = np.random.default_rng(12)
+    truth, found = [[pose(rng) for _ in range(7)] for _ in range(2)]
+    turn = pose(rng)
+    rows = [("a", k, t.ravel().tolist(), f.ravel().tolist()) for k, (t, f) in enumerate(zip(truth, found, strict=True))]
+    rows += [("same", k, t.ravel().tolist(), (turn @ t).ravel().tolist()) for k, t in enumerate(truth)] + [("one", 0, truth[0].ravel().tolist(), found[0].ravel().tolist())]
+    table = spark.createDataFrame(rows, "s string, i int, t array<double>, f array<double>")
+    for delta in (1, 3):
+        angles, moves = [], []
+        for k in range(7 - delta):
+            e = np.linalg.inv(np.linalg.inv(truth[k]) @ truth[k + delta]) @ np.linalg.inv(found[k]) @ found[k + delta]
+            angles.append(np.degrees(np.arccos((np.trace(e[:3, :3]) - 1) / 2)))
+            moves.append(np.linalg.norm(e[:3, 3]))
+        got = {r["s"]: r for r in trajectory.relative_pose_errors(table, "s", ["i"], "t", "f", delta).collect()}
+        assert np.isclose(got["a"]["rpe_rotation"], np.sqrt(np.mean(np.square(angles)))) and np.isclose(got["a"]["rpe_translation"], np.sqrt(np.mean(np.square(moves))))
+        assert got["a"]["n"] == 7 - delta and got["same"]["rpe_rotation"] < 1e-4 and got["same"]["rpe_translation"] < 1e-9
+        assert got["one"]["n"] == 0 and got["one"]["rpe_rotation"] is None
