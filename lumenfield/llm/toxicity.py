@@ -1,24 +1,36 @@
 """Toxicity by a support vector machine on a gap-tolerant string kernel with Nystroem landmarks.
 
-Kernel of two strings: all subsequences of ORDER characters that they share, within SPAN characters,
-each weighted by DECAY for every character that it skips in either string; brought to 1 for equal
-strings and raised to POWER. An insult with characters put between its own or with a suffix keeps
-much of its kernel. Strings are a text's lower-cased words, their letters and digits alone, so that
-punctuation within a word hides nothing; runs of single characters, as in a spaced-out word, are one
-string, and those over CUT characters are read in overlapping windows.
+Kernel of two strings: how far one is inside the other. All runs of ORDER characters of the one are
+looked for in the other as subsequences, within SPAN characters, weighted by DECAY for every
+character that is skipped; their mean is the share that is inside, and the larger share of both
+directions counts (that of a string in a longer landmark times its part of the length). What is
+over FLOOR, brought to 1 for equal strings, is raised to POWER. So characters put between an
+insult's own, before or behind it take little away, wherever they stand and whatever they are. A
+letter left out or put in another's place takes much.
+
+Strings are a text's lower-cased words, their letters and digits alone, so that punctuation within
+a word hides nothing; runs of single characters, as in a spaced-out word, are one string, and those
+over CUT characters are read in overlapping windows, of which the nearest counts.
 
 Kernel of two sentences: the sum over all pairs of their strings; a text is the bag of its sentences
-and has the mean of theirs (the set kernel of multiple-instance learning), so the SVM's examples are
-whole labelled texts, and a margin is a mean over strings. The kernel is approximated by landmarks:
-strings that the labelled texts hold. They are drawn from both classes: strings that more toxic texts
-hold than chance would explain, alone or with strings like them, and the clean texts' strings that
-are most like those. Languages are never looked at; a string of a rare language needs no more texts
-than one of a common language. The margin becomes a probability on the margins of labelled texts
-that the model that scored them, one of FOLDS, had not seen.
+and is looked at in two ways (multiple-instance learning). One machine sees the mean over a text's
+strings, or over FEW where it has less. The other sees passages of PASSAGE strings, one every half of
+that, and takes a text for as toxic as its strongest one: what a passage holds is a sum, so that an
+insult counts the same in a text of ten words and of ten thousand. It starts from the first machine;
+each of its ROUNDS sees the passage of each text that was found strongest before.
+
+The kernel is approximated by landmarks: strings that the labelled texts hold. They are drawn from
+both classes: strings that more toxic texts hold than chance would explain, alone or with strings like
+them, and the clean texts' strings that are most like those. Languages are never looked at; a string
+of a rare language needs no more texts than one of a common language. Margins become probabilities on
+the margins of labelled texts that the model that scored them, one of FOLDS, had not seen; the larger
+one is the score. Where labels follow the share of insults and not their presence, the second
+machine's bar is raised until it costs nothing of the first one's F1.
 
 Training reads at most SAMPLE labelled texts of each class, those with the least hashes of their
-ids, whole; copies of a text count once. Scoring reads all texts whole; the scores of strings are
-kept by each worker up to a number of them.
+ids, whole; copies of a text count once. At most CANDIDATES strings, the most telling ones, are
+weighed as landmarks. Scoring reads all texts whole; the scores of strings are kept by each worker
+up to a number of them.
 
 Null and empty texts score as a text with a harmless string. Where there is nothing to learn from,
 all scores are 0. Each row of the table returns one row, repeated rows and null doc_ids too. Rows
@@ -45,14 +57,13 @@ from lumenfield.llm.tables import least_keys, pieces
 from lumenfield.plans.scratch import materialize
 from lumenfield.session import ship_package
 
-ORDER, SPAN, DECAY, POWER, CUT = 3, 6, 0.8, 4, 24
-#: Kernels of strings that share less with all landmarks (a share of the squared norm) are 0.
-KNOWN = 0.35
+ORDER, SPAN, DECAY, FLOOR, POWER, CUT = 3, 6, 0.99, 0.5, 3, 24
+FEW, PASSAGE, ROUNDS = 40, 32, 3
 SAMPLE, LANDMARKS, CANDIDATES, FOLDS = 4000, 512, 1500, 6
 #: Toxic texts that a landmark's string has to be in, and how far beyond chance (in nats) they have to be.
 SUPPORT, BEYOND = 3, 4.0
-#: What a mean over strings is multiplied by, and the ridge of the SVM.
-SCALE, RIDGE = 40.0, 1e-3
+#: What a mean over strings is multiplied by, and the ridges of the machines of means and of passages.
+SCALE, RIDGES = 40.0, (1e-3, 2e-2)
 LEAST = 0.7
 #: Odd numbers that make one number of a subsequence; two different ones are the same in one case of 2**32.
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -79,14 +90,14 @@ def windows(word: str) -> list[str]:
 
 @lru_cache(maxsize=CUT + 1)
 def _places(length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the subsequences of a string of some length, and their weights."""
-    inner = list(itertools.combinations(range(1, SPAN), ORDER - 1))
-    places = np.array([(at, *(at + k for k in rest)) for at in range(length) for rest in inner if at + rest[-1] < length], np.int64).reshape(-1, ORDER)
+    """Places of the subsequences of a string of some length, runs first and the widest last, and their weights."""
+    inner = sorted(itertools.combinations(range(1, SPAN), ORDER - 1), key=lambda rest: rest[-1])
+    places = np.array([(at, *(at + k for k in rest)) for rest in inner for at in range(length - rest[-1])], np.int64).reshape(-1, ORDER)
     return places, DECAY ** (places[:, -1] - places[:, 0] + 1.0 - ORDER) if len(places) else np.zeros(0)
 
 
-def _by_length(words: list[str], step: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(numbers of words of one length, their subsequences' cells, weights of those), in bounded blocks."""
+def _by_length(words: list[str], step: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(numbers of words of one length, their subsequences' cells, weights of those, how many are runs), in bounded blocks."""
     length = np.fromiter(map(len, words), np.int64, len(words))
     for n in np.unique(length[length <= CUT]).tolist():
         places, weight = _places(n)
@@ -94,98 +105,127 @@ def _by_length(words: list[str], step: int = 1 << 19) -> Iterator[tuple[np.ndarr
         size = max(1, step // max(1, len(places)))
         for at in range(0, len(own) if len(places) else 0, size):
             some = own[at : at + size]
-            code = np.frombuffer("".join([words[k] for k in some]).encode("utf-32-le"), np.uint32).reshape(-1, n)
+            code = np.frombuffer("".join([words[k] for k in some]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
             cells = (code * _MIX[0])[:, places[:, 0]]
             for k in range(1, ORDER):
                 cells += (code * _MIX[k])[:, places[:, k]]
-            yield some, cells, weight
+            yield some, cells, weight, n - ORDER + 1
 
 
-def _norms(cells: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Squared norm of each row's subsequences, those that occur more than once added up."""
-    order = np.argsort(cells, axis=1)
-    c, w = np.take_along_axis(cells, order, 1), weight[order]
-    fresh = np.ones(c.shape, bool)
-    fresh[:, 1:] = c[:, 1:] != c[:, :-1]
-    total = np.add.reduceat(w.ravel(), np.flatnonzero(fresh.ravel())) ** 2
-    row = np.repeat(np.arange(len(c)), fresh.sum(1))
-    return np.bincount(row, total, len(c))
+def _distinct(row: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Where each (row, cell) is first."""
+    return np.unique(row.astype(np.uint64) << np.uint64(32) | cell.astype(np.uint64), return_index=True)[1]
 
 
-class Kernel:
-    """The kernel with some landmarks: lists of landmarks by subsequence."""
+class _Lists:
+    """Landmarks, with weights, by cell."""
 
-    def __init__(self, landmarks: list[str]):
-        self.landmarks = landmarks
-        cells, owner, weight = [], [], []
-        norm = np.zeros(len(landmarks))
-        for some, c, w in _by_length(landmarks):
-            norm[some] = _norms(c, w)
-            cells.append(c.ravel())
-            owner.append(np.repeat(some, c.shape[1]))
-            weight.append(np.tile(w, len(some)))
-        cells = np.concatenate([*cells, np.zeros(0, np.uint32)])
-        order = np.argsort(cells, kind="stable")
-        self.owner = np.concatenate([*owner, np.zeros(0, np.int64)])[order].astype(np.int64)
-        self.weight = np.concatenate([*weight, np.zeros(0)])[order] / np.sqrt(norm[self.owner])
-        self.cells, start = np.unique(cells[order], return_index=True)
-        self.size = np.diff(np.append(start, len(cells)))
-        self.start = start
+    def __init__(self, owner: np.ndarray, cell: np.ndarray, weight: np.ndarray):
+        first = _distinct(owner, cell)
+        first = first[np.argsort(cell[first], kind="stable")]
+        self.owner, self.weight = owner[first], weight[first]
+        self.cells, self.start = np.unique(cell[first], return_index=True)
+        self.size = np.diff(np.append(self.start, len(first)))
         self.known = np.zeros(1 << _BITS, bool)
         self.known[(self.cells >> np.uint32(32 - _BITS)).astype(np.int64)] = True
 
-    def __call__(self, words: list[str], step: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers of the words with a kernel, their kernels with all landmarks)."""
-        numbers, values = [np.zeros(0, np.int64)], [np.zeros((0, len(self.landmarks)), np.float32)]
-        for some, cells, weight in _by_length(words):
-            hit = self.known[(cells >> np.uint32(32 - _BITS)).astype(np.int64)]
-            good = np.flatnonzero(hit @ (weight * weight) >= KNOWN * float(weight @ weight))
-            if not len(good):
-                continue
-            cells, hit = cells[good], hit[good]
-            norm = _norms(cells, weight)
-            row, col = np.nonzero(hit)
-            own = cells[row, col]
-            slot = np.minimum(np.searchsorted(self.cells, own), len(self.cells) - 1)
-            real = self.cells[slot] == own
-            row, slot, w = row[real], slot[real], weight[col[real]]
-            total = np.cumsum(np.bincount(row, self.size[slot], len(good)))
-            # as many words at once as meet about `step` entries of the lists
-            wide = max(1, step // len(self.landmarks))
-            cuts = np.unique(np.concatenate((np.arange(0, len(good), wide), np.searchsorted(total, np.arange(step, total[-1], step)) + 1, [len(good)])))
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                i, j = np.searchsorted(row, (a, b))
-                each = self.size[slot[i:j]]
-                at = np.arange(int(each.sum())) + np.repeat(self.start[slot[i:j]] - (np.cumsum(each) - each), each)
-                key = np.repeat(row[i:j] - a, each) * len(self.landmarks) + self.owner[at]
-                k = np.bincount(key, np.repeat(w[i:j], each) * self.weight[at], (b - a) * len(self.landmarks)).reshape(b - a, -1)
-                numbers.append(some[good[a:b]])
-                values.append(((k / np.sqrt(norm[a:b])[:, None]) ** POWER).astype(np.float32))
-        return np.concatenate(numbers), np.concatenate(values)
+    def meet(self, cells: np.ndarray, weight: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row * most + landmark, sum of both sides' weights' products) of all that meet in a cell; a row's cell counts once, its first."""
+        row, col = np.nonzero(self.known[(cells >> np.uint32(32 - _BITS)).astype(np.int64)])
+        own = cells[row, col]
+        slot = np.minimum(np.searchsorted(self.cells, own), max(0, len(self.cells) - 1))
+        real = np.flatnonzero(self.cells[slot] == own) if len(row) else np.zeros(0, np.int64)
+        real = real[_distinct(row[real], own[real])]
+        row, slot, w = row[real], slot[real], weight[col[real]]
+        each = self.size[slot]
+        at = np.arange(int(each.sum())) + np.repeat(self.start[slot] - (np.cumsum(each) - each), each)
+        key, place = np.unique(np.repeat(row, each) * most + self.owner[at], return_inverse=True)
+        return key, np.bincount(place, np.repeat(w, each) * self.weight[at], len(key))
+
+
+class Kernel:
+    """The kernel with some landmarks: lists of landmarks by run, and by subsequence."""
+
+    def __init__(self, landmarks: list[str]):
+        self.landmarks = landmarks
+        self.length = np.fromiter(map(len, landmarks), np.int64, len(landmarks))
+        inside = [(np.repeat(some, c.shape[1]), c.ravel(), np.tile(w, len(some))) for some, c, w, _ in _by_length(landmarks)]
+        runs = [(np.repeat(some, n), c[:, :n].ravel(), np.ones(n * len(some))) for some, c, w, n in _by_length(landmarks)]
+        none = (np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0))
+        self.inside, self.runs = (_Lists(*map(np.concatenate, zip(*own, none, strict=True))) for own in (inside, runs))
+        self.own_runs = np.bincount(self.runs.owner, minlength=len(landmarks))
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers of words, of landmarks, their kernels) wherever these are over 0."""
+        most = max(1, len(self.landmarks))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for some, cells, weight, n in _by_length(words):
+            key, held = self.runs.meet(cells, weight, most)
+            held = held / self.own_runs[key % most]
+            back, within = self.inside.meet(cells[:, :n], weight[:n], most)
+            many = np.sort(cells[:, :n], 1)
+            many = 1 + (many[:, 1:] != many[:, :-1]).sum(1)
+            within = within / many[back // most] * np.minimum(1, (n + ORDER - 1) / self.length[back % most])
+            keep, also = held > FLOOR, within > FLOOR
+            key, place = np.unique(np.concatenate((key[keep], back[also])), return_inverse=True)
+            value = np.zeros(len(key))
+            np.maximum.at(value, place, np.concatenate((held[keep], within[also])))
+            found.append((some[key // most], key % most, ((np.minimum(value, 1) - FLOOR) / (1 - FLOOR)) ** POWER))
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+    def whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for strings of any length: the nearest of a string's windows counts."""
+        cut = [windows(w) for w in words]
+        number, mark, value = self([c for own in cut for c in own])
+        word = np.repeat(np.arange(len(words)), [len(own) for own in cut])[number]
+        order = np.lexsort((-value, mark, word))
+        word, mark, value = word[order], mark[order], value[order]
+        first = np.ones(len(word), bool)
+        first[1:] = (word[1:] != word[:-1]) | (mark[1:] != mark[:-1])
+        return word[first], mark[first], value[first]
+
+    def square(self) -> np.ndarray:
+        """The landmarks' kernels with one another."""
+        number, mark, value = self(self.landmarks)
+        full = np.zeros((len(self.landmarks), len(self.landmarks)), np.float32)
+        full[number, mark] = value
+        return np.sqrt(full * full.T)
+
+
+def strongest(values: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, end, sum) of the strongest passage of each text, of all texts' strings' values in order; the earlier of equal ones."""
+    total = np.concatenate(([0.0], np.cumsum(values)))
+    end = np.cumsum(count)
+    step = PASSAGE // 2
+    many = 1 + np.maximum(0, -(-(count - PASSAGE) // step))
+    text = np.repeat(np.arange(len(count)), many)
+    at = (end - count)[text] + step * (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many))
+    stop = np.minimum(at + PASSAGE, end[text])
+    sums = total[stop] - total[at]
+    best = np.lexsort((at, -sums, text))[np.cumsum(many) - many] if len(text) else text
+    return at[best], stop[best], sums[best]
 
 
 class Texts:
-    """Labelled texts as their distinct strings' numbers and how often they hold each."""
+    """Labelled texts as their strings' numbers, in order."""
 
     def __init__(self, rows: Iterable[tuple[str, int]]):
         number: dict[str, int] = {}
-        self.ids, self.counts, self.lengths, label = [], [], [], []
+        self.ids, label = [], []
         seen: dict[int, list[int]] = {}
         for text, toxic in rows:
-            flat, count = strings([text])
-            coded = flat.value_counts()
-            own: Counter[int] = Counter()
-            for word, n in zip(coded.field(0).to_pylist(), coded.field(1).to_pylist(), strict=True):
-                for w in windows(word):
-                    own[number.setdefault(w, len(number))] += n
-            ids = np.array(sorted(own), np.int64)
-            if self._copy(ids, toxic, seen, len(label)):
+            flat, _ = strings([text])
+            coded = flat.dictionary_encode()
+            place = np.array([number.setdefault(w, len(number)) for w in coded.dictionary.to_pylist()], np.int32)
+            ids = place[coded.indices.to_numpy()]
+            if self._copy(np.sort(place).astype(np.int64), toxic, seen, len(label)):
                 continue
-            self.ids.append(ids.astype(np.int32))
-            self.counts.append(np.array([own[k] for k in ids.tolist()], np.int32))
-            self.lengths.append(int(count[0]))
+            self.ids.append(ids)
             label.append(int(toxic))
         self.names, self.label = list(number), np.array(label, np.int64)
+        self.flat = np.concatenate([*self.ids, np.zeros(0, np.int32)])
+        self.lengths = np.array([len(k) for k in self.ids], np.int64)
+        self.text = np.repeat(np.arange(len(label)), self.lengths)
 
     @staticmethod
     def _copy(ids: np.ndarray, toxic: int, seen: dict[int, list[int]], mine: int) -> bool:
@@ -200,22 +240,52 @@ class Texts:
 
     def held(self, which: np.ndarray) -> np.ndarray:
         """In how many of some texts each string is."""
-        return np.bincount(np.concatenate([*(self.ids[k] for k in which), np.zeros(0, np.int64)]), minlength=len(self.names))
-
-    def features(self, kernel: Kernel, step: int = 16_384) -> np.ndarray:
-        """Each text's mean kernel with the landmarks, times SCALE; strings are taken `step` at a time."""
-        out = np.zeros((len(self.label), len(kernel.landmarks)), np.float32)
-        for first in range(0, len(self.names), step):
-            good, values = kernel(self.names[first : first + step])
-            row = np.full(step, -1)
-            row[good] = np.arange(len(good))
-            for k, (ids, counts) in enumerate(zip(self.ids, self.counts, strict=True)):
-                a, b = np.searchsorted(ids, (first, first + step))
-                own = row[ids[a:b] - first]
-                has = own >= 0
-                if has.any():
-                    out[k] += counts[a:b][has] @ values[own[has]] * (SCALE / self.lengths[k])
-        return out
+        return np.bincount(np.concatenate([*(np.unique(self.ids[k]) for k in which), np.zeros(0, np.int64)]), minlength=len(self.names))
+
+    def kernels(self, kernel: Kernel, step: int = 16_384) -> Sparse:
+        """The kernels of all strings with the landmarks; strings are taken `step` at a time."""
+        found = [(n + at, m, v) for at in range(0, len(self.names), step) for n, m, v in [kernel.whole(self.names[at : at + step])]]
+        return Sparse(*map(np.concatenate, zip(*found, strict=True)), len(self.names), len(kernel.landmarks))
+
+    def means(self, like: Sparse) -> np.ndarray:
+        """Each text's mean kernels, times SCALE."""
+        return like.summed(self.flat, self.text, len(self.label)) * (SCALE / np.maximum(self.lengths, FEW))[:, None]
+
+    def passages(self, like: Sparse, scores: np.ndarray) -> np.ndarray:
+        """The sums of kernels of each text's strongest passage."""
+        first, end, _ = strongest(scores[self.flat], self.lengths)
+        inside = np.zeros(len(self.flat) + 1, np.int64)
+        np.add.at(inside, first, 1)
+        np.add.at(inside, end, -1)
+        own = np.cumsum(inside)[:-1] > 0
+        return like.summed(self.flat[own], self.text[own], len(self.label))
+
+
+class Sparse:
+    """Kernels of strings with landmarks, those over 0."""
+
+    def __init__(self, row: np.ndarray, mark: np.ndarray, value: np.ndarray, rows: int, marks: int):
+        order = np.argsort(row, kind="stable")
+        self.row, self.mark, self.value, self.marks = row[order], mark[order], value[order], marks
+        self.start = np.searchsorted(self.row, np.arange(rows + 1))
+
+    def of(self, marks: list[int]) -> Sparse:
+        """Some landmarks alone, in the order given."""
+        place = np.full(self.marks, -1)
+        place[marks] = np.arange(len(marks))
+        own = place[self.mark] >= 0
+        return Sparse(self.row[own], place[self.mark[own]], self.value[own], len(self.start) - 1, len(marks))
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * weights[self.mark], len(self.start) - 1)
+
+    def summed(self, ids: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+        """The sums of strings' kernels by group."""
+        each = self.start[ids + 1] - self.start[ids]
+        some = each > 0
+        ids, group, each = ids[some], group[some], each[some]
+        at = np.arange(int(each.sum())) + np.repeat(self.start[ids] - (np.cumsum(each) - each), each)
+        return np.bincount(np.repeat(group, each) * self.marks + self.mark[at], self.value[at], groups * self.marks).reshape(groups, self.marks)
 
 
 def beyond(toxic: np.ndarray, clean: np.ndarray, texts: tuple[int, int]) -> np.ndarray:
@@ -231,16 +301,13 @@ def choose(texts: Texts, toxic: np.ndarray, clean: np.ndarray, most: int = LANDM
     """Landmarks, from both classes."""
     in_toxic, in_clean, sizes = texts.held(toxic), texts.held(clean), (len(toxic), len(clean))
     length = np.fromiter(map(len, texts.names), np.int64, len(texts.names))
-    gain = beyond(in_toxic, in_clean, sizes) * (length >= ORDER)
+    gain = beyond(in_toxic, in_clean, sizes) * ((length >= ORDER) & (length <= CUT))
     first = np.flatnonzero((in_toxic >= SUPPORT) & (gain > 0))
     first = first[np.lexsort((first, -gain[first]))][:CANDIDATES]
     if not len(first):
         return []
     names = [texts.names[k] for k in first.tolist()]
-    number, like = Kernel(names)(names)
-    full = np.zeros((len(names), len(names)), np.float32)
-    full[number] = like
-    del like
+    full = Kernel(names).square()
     # strings like one another speak for each other
     joint = beyond(full @ in_toxic[first], full @ in_clean[first], sizes)
     total = np.maximum(joint, gain[first])
@@ -248,23 +315,21 @@ def choose(texts: Texts, toxic: np.ndarray, clean: np.ndarray, most: int = LANDM
     marks = [names[k] for k in good[np.lexsort((good, -total[good]))][: most * 3 // 4].tolist()]
     if not marks:
         return []
-    own = np.flatnonzero((in_clean > in_toxic) & (length >= ORDER))
+    own = np.flatnonzero((in_clean > in_toxic) & (length >= ORDER) & (length <= CUT))
     kernel, near = Kernel(marks), np.zeros(len(own))
     for at in range(0, len(own), 16_384):
-        number, like = kernel([texts.names[k] for k in own[at : at + 16_384].tolist()])
-        near[at + number] = like.max(1, initial=0) * np.log1p(in_clean[own[at + number]])
+        number, _, like = kernel.whole([texts.names[k] for k in own[at : at + 16_384].tolist()])
+        np.maximum.at(near, at + number, like * np.log1p(in_clean[own[at + number]]))
     chosen = np.lexsort((own, -near))[: most // 4]
     return marks + [texts.names[k] for k in own[chosen[near[chosen] > 0]].tolist()]
 
 
 class Model:
     def __init__(self, landmarks: list[str]):
-        self.landmarks, self.bias, self.slope, self.shift = landmarks, -1.0, 1.0, 0.0
+        self.landmarks, self.slope, self.shift = landmarks, np.ones(2), np.zeros(2)
+        self.weights, self.bias = np.zeros((len(landmarks), 2)), -np.ones(2)
         self.kernel = Kernel(landmarks)
-        number, gram = self.kernel(landmarks)
-        full = np.zeros((len(landmarks), len(landmarks)))
-        full[number] = gram
-        value, vector = np.linalg.eigh((full + full.T) / 2)
+        value, vector = np.linalg.eigh(self.kernel.square().astype(np.float64))
         good = value > 1e-3 * max(value.max(), 1e-12)
         self.whiten = vector[:, good] / np.sqrt(value[good])
 
@@ -275,31 +340,27 @@ class Model:
         self.__dict__.update(state)
         self.kernel = Kernel(self.landmarks)
 
-    def string_scores(self, words: list[str]) -> list[float]:
-        """What each string adds to its text's sum."""
-        cut = [windows(w) for w in words]
-        parts = list(dict.fromkeys(c for own in cut for c in own))
-        number, values = self.kernel(parts)
-        score = np.zeros(len(parts))
-        score[number] = values @ self.weights
-        found = dict(zip(parts, score.tolist(), strict=True))
-        return [sum(map(found.__getitem__, own)) for own in cut]
-
-    def margins(self, values: list[float], index: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Texts' margins from the scores of distinct strings, each string's place among them, and texts' numbers of strings."""
-        total = np.concatenate(([0.0], np.cumsum(np.array(values, np.float64)[index]))) if len(index) else np.zeros(1)
-        return SCALE * np.diff(total[np.concatenate(([0], np.cumsum(count)))]) / np.maximum(count, 1) + self.bias
+    def string_scores(self, words: list[str]) -> list[complex]:
+        """What each string adds to its text's sum (the real part) and to its passages' sums (the imaginary part)."""
+        number, mark, value = self.kernel.whole(words)
+        mean, local = (np.bincount(number, value * w[mark], len(words)) for w in self.weights.T)
+        return (mean + 1j * local).tolist()
+
+    def margins(self, values: list[complex], index: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Texts' margins by both machines, from distinct strings' scores, each string's place among them, and texts' numbers of strings."""
+        flat = np.array(values, np.complex128)[index]
+        return both(flat.real, flat.imag, np.asarray(count, np.int64)) + self.bias
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
+        return (1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))).max(1)
 
-    def train(self, features: np.ndarray, label: np.ndarray, ridge: float = RIDGE, rounds: int = 100) -> Model:
+    def train(self, which: int, features: np.ndarray, label: np.ndarray, rounds: int = 100) -> Model:
         """Primal SVM with squared hinge loss by Newton steps on the examples within the margin; both classes weigh the same."""
         y = np.where(label > 0, 1.0, -1.0)
         weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
         z = np.empty((len(y), self.whiten.shape[1] + 1))
         z[:, :-1], z[:, -1] = features @ self.whiten, 1
-        w, penalty, before = np.zeros(z.shape[1]), np.eye(z.shape[1]) * ridge, None
+        w, penalty, before = np.zeros(z.shape[1]), np.eye(z.shape[1]) * RIDGES[which], None
         penalty[-1, -1] = 1e-9
         for _ in range(rounds):
             active = y * (z @ w) < 1
@@ -308,30 +369,60 @@ class Model:
             before = active
             a = z[active] * weight[active, None]
             w = np.linalg.solve(a.T @ z[active] + penalty, a.T @ y[active])
-        self.weights, self.bias = self.whiten @ w[:-1], float(w[-1])
+        self.weights[:, which], self.bias[which] = self.whiten @ w[:-1], w[-1]
         return self
 
     def calibrate(self, margin: np.ndarray, label: np.ndarray) -> None:
-        """Platt's sigmoid: a logistic fit of labels on margins, with smoothed targets."""
-        pos, neg = (label > 0).sum(), (label <= 0).sum()
-        target = np.where(label > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-        a, b = 1.0, 0.0
-        for _ in range(200):
-            p = 1 / (1 + np.exp(-np.clip(a * margin + b, -40, 40)))
-            g = np.array([((p - target) * margin).sum(), (p - target).sum()])
-            r = p * (1 - p)
-            h = np.array([[(r * margin * margin).sum(), (r * margin).sum()], [(r * margin).sum(), r.sum()]]) + 1e-3 * np.eye(2)
-            step = np.linalg.solve(h, g)
-            a, b = a - step[0], b - step[1]
-            if np.abs(step).max() < 1e-8:
-                break
-        # LEAST is where the labels are told apart best
-        order = np.argsort(-margin, kind="stable")
-        found = np.cumsum(label[order] > 0)
-        best = int(np.argmax(2 * found / (np.arange(1, len(order) + 1) + pos)))
-        edge = float(margin[order[best : best + 2]].mean())
-        self.slope = a if a > 0 else 1.0
-        self.shift = float(np.log(LEAST / (1 - LEAST)) - self.slope * edge)
+        """A slope by Platt's logistic fit for both machines; LEAST is where the labels are told apart best."""
+        first, second = margin.T
+        toxic = label > 0
+        edge, told = best_edge(first, toxic)
+        other, _ = best_edge(second, toxic)
+        # all bars of the second machine from its own best one upwards, beside the first one's
+        rest = np.flatnonzero((first < edge) & (second >= other))
+        rest = rest[np.argsort(second[rest], kind="stable")]
+        left = np.cumsum(toxic[rest][::-1])[::-1]
+        already = first >= edge
+        f1 = 2 * (toxic[already].sum() + left) / (already.sum() + toxic.sum() + np.arange(len(rest), 0, -1))
+        good = np.flatnonzero(f1 >= told)
+        if not len(rest) or (len(good) and not good[0]):
+            bar = other
+        else:
+            bar = second[rest[good[0]]] if len(good) else second[rest[-1]] + 1e-6
+        self.slope = np.array([platt(m, label) for m in (first, second)])
+        self.shift = np.log(LEAST / (1 - LEAST)) - self.slope * np.array([edge, bar])
+
+
+def both(mean: np.ndarray, local: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The means over texts and the sums of their strongest passages, from all their strings' scores in order."""
+    total = np.concatenate(([0.0], np.cumsum(mean)))
+    ends = np.concatenate(([0], np.cumsum(count)))
+    return np.stack((SCALE * np.diff(total[ends]) / np.maximum(count, FEW), strongest(local, count)[2]), 1)
+
+
+def best_edge(margin: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """The margin that tells labels apart best, and the F1 there."""
+    order = np.argsort(-margin, kind="stable")
+    f1 = 2 * np.cumsum(toxic[order]) / (np.arange(1, len(order) + 1) + toxic.sum())
+    best = int(np.argmax(f1))
+    return float(margin[order[best : best + 2]].mean()), float(f1[best])
+
+
+def platt(margin: np.ndarray, label: np.ndarray) -> float:
+    """The slope of a logistic fit of labels on margins, with smoothed targets."""
+    pos, neg = (label > 0).sum(), (label <= 0).sum()
+    target = np.where(label > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    a, b = 1.0, 0.0
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -40, 40)))
+        g = np.array([((p - target) * margin).sum(), (p - target).sum()])
+        r = p * (1 - p)
+        h = np.array([[(r * margin * margin).sum(), (r * margin).sum()], [(r * margin).sum(), r.sum()]]) + 1e-3 * np.eye(2)
+        step = np.linalg.solve(h, g)
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-8:
+            break
+    return a if a > 0 else 1.0
 
 
 def fit(rows: Iterable[tuple[str, int]], folds: int = FOLDS) -> Model | None:
@@ -345,14 +436,22 @@ def fit(rows: Iterable[tuple[str, int]], folds: int = FOLDS) -> Model | None:
     # all parts' landmarks together, so that the texts' strings are read once
     union = list(dict.fromkeys(x for own in chosen for x in own))
     place = {x: k for k, x in enumerate(union)}
-    features = texts.features(Kernel(union))
-    models = [Model(own).train(features[np.ix_(p, [place[x] for x in own])], texts.label[p]) if own else None for p, own in zip(parts, chosen, strict=True)]
-    margins, seen = [], []
-    for k, part in enumerate(models[1:]):
-        if part is not None:
-            own = every[every % folds == k]
-            margins.append(features[np.ix_(own, [place[x] for x in part.landmarks])] @ part.weights + part.bias)
-            seen.append(own)
+    like = texts.kernels(Kernel(union))
+    models, margins, seen = [], [], []
+    for k, (part, own) in enumerate(zip(parts, chosen, strict=True)):
+        if not own:
+            continue
+        mine = like.of([place[x] for x in own])
+        model = Model(own).train(0, texts.means(mine)[part], texts.label[part])
+        model.weights[:, 1] = model.weights[:, 0]
+        for _ in range(ROUNDS):
+            model.train(1, texts.passages(mine, mine.scores(model.weights[:, 1]))[part], texts.label[part])
+        models.append(model)
+        if k:
+            rest = every[every % folds == k - 1]
+            scores = (mine.scores(w)[texts.flat] for w in model.weights.T)
+            margins.append((both(*scores, texts.lengths) + model.bias)[rest])
+            seen.append(rest)
     if seen:
         models[0].calibrate(np.concatenate(margins), texts.label[np.concatenate(seen)])
     return models[0]

@@ -467,34 +467,44 @@ def test_string_kernel_is_exact():
     random.seed(9)
     words = ["".join(random.choice("abc") for _ in range(random.randint(4, 10))) for _ in range(15)] + ["ab", "x"]
 
-    def brute(s: str, t: str) -> float:
-        places = lambda w: [p for p in itertools.combinations(range(len(w)), toxicity.ORDER) if p[-1] - p[0] < toxicity.SPAN]
-        return sum(
-            toxicity.DECAY ** (a[-1] - a[0] + b[-1] - b[0] + 2 - 2 * toxicity.ORDER)
-            for a in places(s) for b in places(t) if all(s[x] == t[y] for x, y in zip(a, b, strict=True))
-        )
-
-    number, values = toxicity.Kernel(words[:6])(words)
+    def share(runs: str, inside: str) -> float:
+        own = {runs[k : k + toxicity.ORDER] for k in range(len(runs) - toxicity.ORDER + 1)}
+        at = [p for p in itertools.combinations(range(len(inside)), toxicity.ORDER) if p[-1] - p[0] < toxicity.SPAN]
+        found = {}
+        for p in at:
+            u = "".join(inside[k] for k in p)
+            found[u] = max(found.get(u, 0), toxicity.DECAY ** (p[-1] - p[0] + 1 - toxicity.ORDER))
+        return sum(found.get(u, 0) for u in own) / max(1, len(own))
+
+    def brute(word: str, mark: str) -> float:
+        c = max(share(mark, word), share(word, mark) * min(1, len(word) / len(mark)))
+        return (max(0, c - toxicity.FLOOR) / (1 - toxicity.FLOOR)) ** toxicity.POWER
+
+    number, mark, values = toxicity.Kernel(words[:6])(words)
     got = np.zeros((len(words), 6))
-    got[number] = values
-    want = [[(brute(a, b) / max(1e-9, brute(a, a) * brute(b, b)) ** 0.5) ** toxicity.POWER for b in words[:6]] for a in words]
-    # strings that share little with all landmarks count as unlike them
-    assert set(range(6)) <= set(number.tolist()) and np.allclose(got[number], np.array(want)[number])
+    got[number, mark] = values
+    assert np.allclose(got, [[brute(a, b) for b in words[:6]] for a in words])
+    number, mark, values = toxicity.Kernel(words[:6]).whole(["q" * 40 + words[0] + "q" * 30, words[1]])
+    assert {(0, 0), (1, 1)} <= set(zip(number.tolist(), mark.tolist(), strict=True)) and values.max() == 1
 
 
 def test_toxicity_scores_against_plain_sums():
-    model = toxicity.Model(["idiot", "moron", "pleasant"]).train(np.array([[3.0, 0, 0], [0, 3, 0], [0, 0, 3], [0, 0, 0]]), np.array([1, 1, 0, 0]))
-    texts = ["you IDIOT, mor-on", "pleasant day", "", None, "i d i o t " * 3 + "z" * 70]
+    model = toxicity.Model(["idiot", "moron", "pleasant"])
+    for which in (0, 1):
+        model.train(which, np.array([[3.0, 0, 0], [0, 3, 0], [0, 0, 3], [0, 0, 0]]), np.array([1, 1, 0, 0]))
+    texts = ["you IDIOT, mor-on", "pleasant day", "", None, "i d i o t " * 3 + "z" * 70, "day " * 100 + "moron " + "day idiot " * 90]
     keys, count = toxicity.strings(texts)
     got = model.margins(*toxicity.Cache(model.string_scores).of(keys), count)
     for text, margin in zip(texts, got, strict=True):
         flat = toxicity.strings([text])[0].to_pylist()
-        total = 0.0
+        each = []
         for word in flat:
-            for w in toxicity.windows(word):
-                for values in model.kernel([w])[1]:
-                    total += float(values @ model.weights)
-        assert np.isclose(margin, toxicity.SCALE * total / len(flat) + model.bias)
+            number, mark, value = model.kernel.whole([word])
+            each.append(value @ model.weights[mark] if len(mark) else np.zeros(2))
+        each, step = np.array(each), toxicity.PASSAGE // 2
+        starts = [k for k in range(0, len(each), step) if k == 0 or k - step + toxicity.PASSAGE < len(each)]
+        local = max(each[k : k + toxicity.PASSAGE, 1].sum() for k in starts)
+        assert np.allclose(margin, [toxicity.SCALE * each[:, 0].sum() / max(len(flat), toxicity.FEW), local] + model.bias)
 
 
 def held_out_figures(got) -> tuple[float, float]:
@@ -519,7 +529,7 @@ def test_toxicity_odd_rows(odd, none, spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.classify(odd, labels).filter("score = 0 and predicted = 0").count() == len(ODD)
     assert toxicity.classify(none, labels).count() == 0
-    model = toxicity.Model(["idiot", "moron"]).train(np.eye(2) * 3, np.array([1, 0]))
+    model = toxicity.Model(["idiot", "moron"]).train(0, np.eye(2) * 3, np.array([1, 0])).train(1, np.eye(2), np.array([1, 0]))
     got = toxicity.score(odd, model)
     assert got.columns == [*odd.columns, "toxicity"] and got.count() == len(ODD)
     assert all(0 <= r["toxicity"] <= 1 for r in got.collect())
@@ -539,9 +549,20 @@ def test_toxicity_learns_all_marks_and_their_gapped_forms():
         keys, count = toxicity.strings(texts)
         return model.probability(model.margins(*toxicity.Cache(model.string_scores).of(keys), count))
 
-    assert (scores([text(w) for w in insults]) >= toxicity.LEAST).all() and (scores([text() for _ in range(300)]) < toxicity.LEAST).all()
-    for hidden in (lambda w: "-".join(w), lambda w: " ".join(w), lambda w: w[:3] + "." + w[3:], lambda w: w[:3] + "q" + w[3:]):
-        assert (scores([text(hidden(w)) for w in insults]) >= toxicity.LEAST).mean() >= 0.9
+    def inserted(w: str, n: int) -> str:
+        for _ in range(n):
+            k = rng.randint(1, len(w) - 1)
+            w = w[:k] + rng.choice("abcdefghijklmnopqrstuvwxyz") + w[k:]
+        return w
+
+    forms = [
+        lambda w: w, lambda w: "-".join(w), lambda w: " ".join(w), lambda w: w[:3] + "." + w[3:], lambda w: inserted(w, 1), lambda w: inserted(w, 2),
+        lambda w: "x".join(w), lambda w: "".join(c + rng.choice("abcqz17") for c in w), lambda w: f"xx{w}xx",
+    ]
+    for n in (12, 100, 400, 1000):
+        for k, form in enumerate(forms):
+            assert (scores([text(form(w), *(rng.choice(harmless) for _ in range(n // 2)), n=n // 2) for w in insults]) >= toxicity.LEAST).mean() >= 0.9, (n, k)
+        assert (scores([text(n=n) for _ in range(200)]) >= toxicity.LEAST).mean() <= 0.03
 
 
 def test_toxicity_sample_is_bounded(spark):
