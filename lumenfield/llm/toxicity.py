@@ -59,7 +59,7 @@ from lumenfield.session import ship_package
 
 ORDER, SPAN, DECAY, FLOOR, POWER, CUT = 3, 6, 0.99, 0.5, 3, 24
 FEW, PASSAGE, ROUNDS = 40, 32, 3
-SAMPLE, LANDMARKS, CANDIDATES, FOLDS = 4000, 512, 1500, 6
+SAMPLE, LANDMARKS, CANDIDATES, FOLDS = 4000, 512, 1500, 3
 #: Toxic texts that a landmark's string has to be in, and how far beyond chance (in nats) they have to be.
 SUPPORT, BEYOND = 3, 4.0
 #: What a mean over strings is multiplied by, and the ridges of the machines of means and of passages.
@@ -96,7 +96,7 @@ def _places(length: int) -> tuple[np.ndarray, np.ndarray]:
     return places, DECAY ** (places[:, -1] - places[:, 0] + 1.0 - ORDER) if len(places) else np.zeros(0)
 
 
-def _by_length(words: list[str], step: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+def _by_length(words: list[str], step: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """(numbers of words of one length, their subsequences' cells, weights of those, how many are runs), in bounded blocks."""
     length = np.fromiter(map(len, words), np.int64, len(words))
     for n in np.unique(length[length <= CUT]).tolist():
@@ -211,7 +211,7 @@ class Texts:
 
     def __init__(self, rows: Iterable[tuple[str, int]]):
         number: dict[str, int] = {}
-        self.ids, label = [], []
+        parts, label = [], []
         seen: dict[int, list[int]] = {}
         for text, toxic in rows:
             flat, _ = strings([text])
@@ -220,12 +220,13 @@ class Texts:
             ids = place[coded.indices.to_numpy()]
             if self._copy(np.sort(place).astype(np.int64), toxic, seen, len(label)):
                 continue
-            self.ids.append(ids)
+            parts.append(ids)
             label.append(int(toxic))
         self.names, self.label = list(number), np.array(label, np.int64)
-        self.flat = np.concatenate([*self.ids, np.zeros(0, np.int32)])
-        self.lengths = np.array([len(k) for k in self.ids], np.int64)
-        self.text = np.repeat(np.arange(len(label)), self.lengths)
+        self.lengths = np.array([len(k) for k in parts], np.int64)
+        self.flat = np.concatenate([*parts, np.zeros(0, np.int32)])
+        self.ids = np.split(self.flat, np.cumsum(self.lengths)[:-1]) if parts else []
+        self.text = np.repeat(np.arange(len(label), dtype=np.int32), self.lengths)
 
     @staticmethod
     def _copy(ids: np.ndarray, toxic: int, seen: dict[int, list[int]], mine: int) -> bool:
@@ -244,7 +245,7 @@ class Texts:
 
     def kernels(self, kernel: Kernel, step: int = 16_384) -> Sparse:
         """The kernels of all strings with the landmarks; strings are taken `step` at a time."""
-        found = [(n + at, m, v) for at in range(0, len(self.names), step) for n, m, v in [kernel.whole(self.names[at : at + step])]]
+        found = [((n + at).astype(np.int32), m.astype(np.int32), v.astype(np.float32)) for at in range(0, len(self.names), step) for n, m, v in [kernel.whole(self.names[at : at + step])]]
         return Sparse(*map(np.concatenate, zip(*found, strict=True)), len(self.names), len(kernel.landmarks))
 
     def means(self, like: Sparse) -> np.ndarray:
@@ -254,7 +255,7 @@ class Texts:
     def passages(self, like: Sparse, scores: np.ndarray) -> np.ndarray:
         """The sums of kernels of each text's strongest passage."""
         first, end, _ = strongest(scores[self.flat], self.lengths)
-        inside = np.zeros(len(self.flat) + 1, np.int64)
+        inside = np.zeros(len(self.flat) + 1, np.int32)
         np.add.at(inside, first, 1)
         np.add.at(inside, end, -1)
         own = np.cumsum(inside)[:-1] > 0
@@ -265,27 +266,31 @@ class Sparse:
     """Kernels of strings with landmarks, those over 0."""
 
     def __init__(self, row: np.ndarray, mark: np.ndarray, value: np.ndarray, rows: int, marks: int):
-        order = np.argsort(row, kind="stable")
-        self.row, self.mark, self.value, self.marks = row[order], mark[order], value[order], marks
+        # rows are in order
+        self.row, self.mark, self.value, self.marks = row, mark, value, marks
         self.start = np.searchsorted(self.row, np.arange(rows + 1))
 
     def of(self, marks: list[int]) -> Sparse:
         """Some landmarks alone, in the order given."""
-        place = np.full(self.marks, -1)
-        place[marks] = np.arange(len(marks))
+        place = np.full(self.marks, -1, np.int32)
+        place[marks] = np.arange(len(marks), dtype=np.int32)
         own = place[self.mark] >= 0
         return Sparse(self.row[own], place[self.mark[own]], self.value[own], len(self.start) - 1, len(marks))
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * weights[self.mark], len(self.start) - 1)
 
-    def summed(self, ids: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
-        """The sums of strings' kernels by group."""
-        each = self.start[ids + 1] - self.start[ids]
-        some = each > 0
-        ids, group, each = ids[some], group[some], each[some]
-        at = np.arange(int(each.sum())) + np.repeat(self.start[ids] - (np.cumsum(each) - each), each)
-        return np.bincount(np.repeat(group, each) * self.marks + self.mark[at], self.value[at], groups * self.marks).reshape(groups, self.marks)
+    def summed(self, ids: np.ndarray, group: np.ndarray, groups: int, step: int = 1 << 17) -> np.ndarray:
+        """The sums of strings' kernels by group; groups are in order, and `step` strings are taken at a time."""
+        out = np.zeros((groups, self.marks))
+        for k in range(0, len(ids), step):
+            own, of = ids[k : k + step], group[k : k + step].astype(np.int64)
+            low, high = int(of[0]), int(of[-1]) + 1
+            each = self.start[own + 1] - self.start[own]
+            at = np.arange(int(each.sum())) + np.repeat(self.start[own] - (np.cumsum(each) - each), each)
+            key = np.repeat(of - low, each) * self.marks + self.mark[at]
+            out[low:high] += np.bincount(key, self.value[at], (high - low) * self.marks).reshape(-1, self.marks)
+        return out
 
 
 def beyond(toxic: np.ndarray, clean: np.ndarray, texts: tuple[int, int]) -> np.ndarray:
