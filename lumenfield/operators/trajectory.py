@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfield.functions import geometry
+from lumenfield.operators import vectors
 from lumenfield.operators.quantiles import quantiles
 from lumenfield.operators.temporal import asof_nearest
 from lumenfield.session import ship_package
@@ -104,25 +106,61 @@ def trajectory_errors(pairs: DataFrame, key: str, order: list[str], align: bool
     return off.groupBy(key).agg(F.sqrt(F.avg("a_")).alias("ate"), F.sqrt(F.coalesce(F.avg("r_"), F.lit(0.0))).alias("rpe"))
 
 
-def relative_pose_errors(pairs: DataFrame, key: str, order: list[str], truth: str, found: str, delta: int = 1) -> DataFrame:
+def relative_pose_errors(pairs: DataFrame, key: str, order: list[str], truth: str | Column, found: str | Column, delta: int = 1) -> DataFrame:
     """key, rpe_rotation (degrees) and rpe_translation: root mean squares over all pairs of poses `delta` apart; n of them.
 
     truth and found: camera-to-world poses (4x4). The error of a pair is what its true motion, undone, leaves
     of the found one; a turn common to all found poses changes neither figure. Sequences of `delta` poses or fewer
-    have null errors and n 0.
+    have null errors and n 0; pairs that lack a pose are left out. Rows are sorted before the poses are computed, and read
+    batch by batch with the last `delta` poses carried on; each batch gives sums of its sequences.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    rows = pairs.select(key, F.col(truth).alias("t_"), F.col(found).alias("f_"), F.lag(truth, delta).over(w).alias("t0_"), F.lag(found, delta).over(w).alias("f0_"))
-    # one step a column, so that no product is computed twice
-    for name, inverse in (("ti_", "t0_"), ("fi_", "f0_")):
-        rows = rows.withColumn(name, geometry.invert_pose(inverse))
-    rows = rows.withColumns({"t_": geometry.multiply("ti_", "t_", 4), "f_": geometry.multiply("fi_", "f_", 4)}).withColumn("ti_", geometry.invert_pose("t_"))
-    rows = rows.withColumn("e_", F.when(F.col("t0_").isNotNull() & F.col("f0_").isNotNull(), geometry.multiply("ti_", "f_", 4)))
-    trace = F.col("e_")[0] + F.col("e_")[5] + F.col("e_")[10]
-    # least and greatest pass over nulls
-    turn = F.when(F.col("e_").isNotNull(), F.degrees(F.acos(F.least(F.greatest((trace - 1) / 2, F.lit(-1.0)), F.lit(1.0)))))
-    move = F.col("e_")[3] * F.col("e_")[3] + F.col("e_")[7] * F.col("e_")[7] + F.col("e_")[11] * F.col("e_")[11]
-    return rows.groupBy(key).agg(F.sqrt(F.avg(turn * turn)).alias("rpe_rotation"), F.sqrt(F.avg(move)).alias("rpe_translation"), F.count("e_").alias("n"))
+    ship_package(pairs.sparkSession)
+    kind = dict(pairs.dtypes)[key]
+    placed = pairs.repartition(F.col(key)).sortWithinPartitions(key, *order)
+    pose = lambda c: (F.col(c) if isinstance(c, str) else c).cast("array<double>")
+    rows = placed.select(F.col(key).alias("key"), pose(truth).alias("t"), pose(found).alias("f"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            new = len(table)
+            if kept is not None:
+                table = pa.concat_tables([kept, table])
+            kept = table.slice(max(0, len(table) - delta))
+            coded = table["key"].combine_chunks().dictionary_encode(null_encoding="encode")
+            code = np.asarray(coded.indices)
+            turn, move, good = _motion_errors(table, delta)
+            good &= code[delta:] == code[:-delta]
+            at, size = code[delta:][good], len(coded.dictionary)
+            # batches that only go on with sequences name them, too
+            own = np.unique(code[-new:]) if new else np.zeros(0, int)
+            total = lambda w: np.bincount(at, w, size)[own].astype(float)  # noqa: B023, E731
+            yield pa.record_batch([coded.dictionary.take(pa.array(own)), *[pa.array(total(w)) for w in (turn[good] ** 2, move[good])], pa.array(np.bincount(at, minlength=size)[own])], ["key", "turn", "move", "n"])
+
+    out = rows.mapInArrow(sums, f"key {kind}, turn double, move double, n long").groupBy(F.col("key").alias(key))
+    n = F.sum("n")
+    mean = lambda c: F.when(n > 0, F.sqrt(F.sum(c) / n))
+    return out.agg(mean("turn").alias("rpe_rotation"), mean("move").alias("rpe_translation"), n.alias("n"))
+
+
+def _motion_errors(table: pa.Table, delta: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Turn in degrees and squared shift of the error of each pose's motion from the one `delta` rows before, and which have all poses."""
+    motions, good = [], np.ones(max(0, len(table) - delta), bool)
+    for c in "tf":
+        values, held = vectors.matrix(table[c])
+        whole = held.sum(axis=1) == 16
+        poses = np.zeros((len(values), 16))
+        poses[whole] = values[whole, :16]
+        poses = poses.reshape(-1, 4, 4)
+        good &= whole[delta:] & whole[: len(whole) - delta][: len(good)]
+        before, after = poses[: len(good)], poses[delta:]
+        undone = before[:, :3, :3].transpose(0, 2, 1)
+        motions.append((undone @ after[:, :3, :3], (undone @ (after[:, :3, 3] - before[:, :3, 3])[..., None])[..., 0]))
+    (turn, shift), (found, moved) = motions
+    trace = (turn * found).sum(axis=(1, 2))
+    left = (turn.transpose(0, 2, 1) @ (moved - shift)[..., None])[..., 0]
+    return np.degrees(np.arccos(np.clip((trace - 1) / 2, -1, 1))), (left**2).sum(axis=1), good
 
 
 def mean_of_sequences(results: DataFrame, metrics: list[str]) -> DataFrame:

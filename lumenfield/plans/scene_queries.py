@@ -176,6 +176,6 @@ def relative_pose_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array(F.cos(angle), -F.sin(angle), zero, x, F.sin(angle), F.cos(angle), zero, zero, zero, zero, one, zero, zero, zero, zero, one)
 
     x, y = (F.col("l_quantity") / 10.0).cast("double"), (F.col("l_extendedprice") / 20000.0).cast("double")
-    rows = item.select(F.col("l_suppkey").alias("k"), "l_orderkey", "l_linenumber", x.alias("x"), y.alias("y"), pose(F.col("l_tax").cast("double") * 9.0, x).alias("t"), pose(F.col("l_discount").cast("double") * 8.0, y).alias("f"))
-    out = trajectory.relative_pose_errors(rows, "k", ["l_orderkey", "l_linenumber", "x", "y"], "t", "f")
+    rows = item.select(F.col("l_suppkey").alias("k"), "l_orderkey", "l_linenumber", x.alias("x"), y.alias("y"), (F.col("l_tax").cast("double") * 9.0).alias("a"), (F.col("l_discount").cast("double") * 8.0).alias("b"))
+    out = trajectory.relative_pose_errors(rows, "k", ["l_orderkey", "l_linenumber", "x", "y"], pose(F.col("a"), F.col("x")), pose(F.col("b"), F.col("y")))
     return out.select("k", F.round("rpe_rotation", 4).alias("rpe_rotation"), F.round("rpe_translation", 4).alias("rpe_translation"), "n")

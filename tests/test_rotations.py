@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from lumenfield.operators import rotations, trajectory
 
 
@@ -102,3 +105,19 @@ def test_relative_pose_errors(spark):
         assert np.isclose(got["a"]["rpe_rotation"], np.sqrt(np.mean(np.square(angles)))) and np.isclose(got["a"]["rpe_translation"], np.sqrt(np.mean(np.square(moves))))
         assert got["a"]["n"] == 7 - delta and got["same"]["rpe_rotation"] < 1e-4 and got["same"]["rpe_translation"] < 1e-9
         assert got["one"]["n"] == 0 and got["one"]["rpe_rotation"] is None
+
+
+def test_relative_pose_errors_over_batches(spark):
+    # poses are computed after the sort, and pairs go on from batch to batch; pairs without a pose are left out
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    rows = spark.range(50).selectExpr("if(id < 40, 'a', if(id < 49, 'b', null)) as s", "id as i", "if(id = 44, null, id * 0.1) as a")
+    turn = lambda a: F.when(a.isNotNull(), F.array(*[x if isinstance(x, Column) else F.lit(float(x)) for x in (F.cos(a), -F.sin(a), 0, a, F.sin(a), F.cos(a), 0, 0, 0, 0, 1, 0, 0, 0, 0, 1)]))
+    try:
+        spark.conf.set(size, "7")
+        for delta in (1, 9):
+            got = {r["s"]: r for r in trajectory.relative_pose_errors(rows, "s", ["i"], turn(F.lit(0.0) * F.col("a")), turn(F.col("a")), delta).collect()}
+            assert {s: r["n"] for s, r in got.items()} == {"a": 40 - delta, "b": 6 if delta == 1 else 0, None: 0}
+            assert np.isclose(got["a"]["rpe_rotation"], np.degrees(0.1 * delta)) and np.isclose(got["a"]["rpe_translation"], 0.1 * delta) and got[None]["rpe_rotation"] is None
+    finally:
+        spark.conf.set(size, before)
