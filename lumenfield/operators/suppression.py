@@ -1,9 +1,9 @@
-"""Greedy suppression of boxes, exactly, in rounds over a table of overlaps, and suppression across crops.
+"""Greedy suppression of boxes, exactly, in rounds over the boxes left, and suppression across crops.
 
-Which boxes overlap by more than the limit is found once, by a join on cells of the boxes' own size.
-Then in each round the boxes that no better box left overlaps stay, and what these overlap goes, until
-nothing is left: what stays is what going through the boxes from the best on would keep. All images go
-through a round together, and an image's boxes need not be in one task.
+Boxes of about one size and place are a group: all of one overlap by more than the limit, or nearly. In each round
+the best boxes of groups stay that no group near with a better best box can reach, and what these overlap
+goes, until nothing is left: what stays is what going through the boxes from the best on would keep. Boxes only
+meet boxes that stay, never all that they overlap, and an image's boxes need not be in one task.
 """
 
 from __future__ import annotations
@@ -25,35 +25,27 @@ def _overlap(a: str, b: str) -> Column:
     return shared / (area(a) + area(b) - shared)
 
 
-def overlaps(boxes: DataFrame, limit: float) -> DataFrame:
-    """better, worse: ids of boxes of one image that overlap by more than limit (over 0). boxes: id, image, rank (struct, less is better), corners.
+def _reaches(limit: float) -> Column:
+    """Whether box a may overlap by more than the limit with a box of group g: one in its hull, of an area from small to large."""
+    side = lambda lo, hi: F.greatest(F.least(F.col("a_" + hi), F.col("g_" + hi)) - F.greatest(F.col("a_" + lo), F.col("g_" + lo)), F.lit(0.0))
+    area = (F.col("a_x1") - F.col("a_x0")) * (F.col("a_y1") - F.col("a_y0"))
+    # rounding must not part what overlaps by a hair more than the limit
+    shared, least = side("x0", "x1") * side("y0", "y1") * (1 + 1e-9), limit * (1 - 1e-9)
+    return (shared > least * area) & (shared > least * F.col("g_small")) & (F.col("g_large") > least * area)
 
-    A box is put into the up to four cells of its level, cells as wide as it; as two boxes with
-    such an overlap can't differ in size by more than it, also into those of a few levels above.
-    """
-    if limit <= 0:
-        raise ValueError("the limit has to be over 0")
-    up = math.ceil(math.log2(1 / min(limit, 1.0))) + 1
-    size = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    named = boxes.filter(size > 0).withColumn("level", F.ceil(F.log2(size)).cast("int"))
 
-    def cells(df: DataFrame, level: Column) -> DataFrame:
+def _meet(few: DataFrame, many: DataFrame, up: int) -> DataFrame:
+    """Pairs (a_*, g_*) of rows of one image that share a cell as wide as the latter's level; few are put into the cells of `up` levels around theirs."""
+
+    def cells(df: DataFrame, level: Column, prefix: str) -> DataFrame:
         out = df.withColumn("cell", level)
         width = F.pow(F.lit(2.0), F.col("cell"))
-        for n, lo, hi in (("i", "x0", "x1"), ("j", "y0", "y1")):
+        for n, lo, hi in (("ci", "x0", "x1"), ("cj", "y0", "y1")):
             out = out.withColumn(n, F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
-        return out
+        return out.select("image", "cell", "ci", "cj", *[F.col(c).alias(prefix + c) for c in df.columns if c != "image"])
 
-    side = lambda p: [F.col(c).alias(p + c) for c in ("id", "rank", "level", *BOX)]
-    large = cells(named, F.col("level")).select("image", "cell", "i", "j", *side("a_"))
-    small = cells(named, F.explode(F.sequence(F.col("level"), F.col("level") + up))).select("image", "cell", "i", "j", *side("b_"))
-    both = large.join(small, ["image", "cell", "i", "j"]).filter("a_id != b_id and (a_level > b_level or (a_level = b_level and a_rank < b_rank))")
-    # a pair counts in the cell of its overlap's first corner
-    width = F.pow(F.lit(2.0), F.col("cell"))
-    own = (F.floor(F.greatest("a_x0", "b_x0") / width) == F.col("i")) & (F.floor(F.greatest("a_y0", "b_y0") / width) == F.col("j"))
-    found = both.filter(own & (_overlap("a_", "b_") > limit))
-    first = F.col("a_rank") < F.col("b_rank")
-    return found.select(F.when(first, F.col("a_id")).otherwise(F.col("b_id")).alias("better"), F.when(first, F.col("b_id")).otherwise(F.col("a_id")).alias("worse"))
+    around = F.explode(F.sequence(F.col("level") - up, F.col("level") + up))
+    return cells(few, around, "a_").join(cells(many, F.col("level"), "g_"), ["image", "cell", "ci", "cj"])
 
 
 def suppress(df: DataFrame, image: str, ident: str, limit: float = 0.7, order: list[Column] | None = None) -> DataFrame:
@@ -62,34 +54,45 @@ def suppress(df: DataFrame, image: str, ident: str, limit: float = 0.7, order: l
     order: columns of less for better, instead of the score. Boxes of no area overlap nothing. Boxes whose
     corners or score are null or not finite are left out.
     """
+    if limit <= 0:
+        raise ValueError("the limit has to be over 0")
     good = F.lit(True)
     for c in (*BOX, *(() if order else ("score",))):
         good &= F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) != float("inf"))
     ranked = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order or [-F.col("score")])], F.col(ident).alias("ident"))
     rows = df.filter(good).select(F.col(image).alias("image"), F.col(ident).alias("ident"), ranked.alias("rank"), *[F.col(c).cast("double").alias(c) for c in BOX])
     rows = materialize(rows.withColumn("id", F.monotonically_increasing_id()), "boxes")
-    # of equal boxes the best stays or none does
+    named = [F.col("image").alias(image), F.col("ident").alias(ident)]
+    if limit >= 1:
+        return rows.select(*named)
+    # groups: sides and corners alike by a sixth of what the limit leaves; two boxes over the limit have sides alike by it
+    step = (1 - limit) / 6
+    up = math.ceil(math.log2((1 + step) / limit)) + 1
     flat = (F.col("x1") <= F.col("x0")) | (F.col("y1") <= F.col("y0"))
-    best = rows.filter(~flat).groupBy("image", *BOX).agg(F.min(F.struct("rank", "id")).alias("b"))
-    if limit < 1:
-        alone = best.select("image", *BOX, F.col("b.rank").alias("rank"), F.col("b.id").alias("id"))
-    else:
-        alone = rows.filter(~flat)
-    pairs, path = materialize_at(overlaps(alone, limit), "overlaps")
-    gone = rows.select("id").limit(0)
-    while True:
-        # better ones that nothing left overlaps stay
-        free = pairs.select(F.col("better").alias("id")).distinct().join(pairs.select(F.col("worse").alias("id")), "id", "left_anti")
-        fall = materialize(pairs.join(free.withColumnRenamed("id", "better"), "better", "left_semi").select(F.col("worse").alias("id")).distinct(), "fallen")
-        if not fall.limit(1).count():
-            break
-        gone = gone.unionByName(fall)
-        rest = pairs.join(fall.withColumnRenamed("id", "better"), "better", "left_anti").join(fall.withColumnRenamed("id", "worse"), "worse", "left_anti")
-        following, new = materialize_at(rest, "overlaps")
-        drop_path(df.sparkSession, path)
-        pairs, path = following, new
-    kept = alone.select("id").join(gone, "id", "left_anti").unionByName(rows.filter(flat).select("id"))
-    return rows.join(kept, "id", "left_semi").select(F.col("image").alias(image), F.col("ident").alias(ident))
+    alive = rows.filter(~flat)
+    for n, lo, hi in (("w", "x0", "x1"), ("h", "y0", "y1")):
+        alive = alive.withColumn(n, F.floor(F.log(F.col(hi) - F.col(lo)) / math.log1p(step)))
+        alive = alive.withColumn("g" + n, F.floor(F.col(lo) / (F.pow(F.lit(1 + step), F.col(n)) * step)))
+    alive = alive.withColumn("level", F.ceil((F.greatest("w", "h") + 1) * math.log2(1 + step)).cast("int"))
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    key = ["image", "w", "h", "gw", "gh", "level"]
+    alive, path = materialize_at(alive, "alive")
+    stay = rows.filter(flat).select("id")
+    while not alive.isEmpty():
+        hull = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+        best = F.min(F.struct("rank", "id", *[F.col(c).alias("b" + c) for c in BOX])).alias("b")
+        groups, old = materialize_at(alive.groupBy(*key).agg(best, *hull, F.min(area).alias("small"), F.max(area).alias("large")).drop("w", "h", "gw", "gh"), "groups")
+        first = groups.select("image", "level", "b.id", "b.rank", *[F.col("b.b" + c).alias(c) for c in BOX])
+        held = _meet(first, groups, up).filter((F.col("g_b.rank") < F.col("a_rank")) & _reaches(limit)).select(F.col("a_id").alias("id"))
+        kept = materialize(first.join(held, "id", "left_anti"), "kept")
+        stay = stay.unionByName(kept.select("id"))
+        fall = _meet(kept, alive.select("image", "level", "id", *BOX), up).filter((F.col("a_id") != F.col("g_id")) & (_overlap("a_", "g_") > limit)).select(F.col("g_id").alias("id"))
+        following, new = materialize_at(alive.join(fall.unionByName(kept.select("id")), "id", "left_anti"), "alive")
+        for done in (path, old):
+            drop_path(df.sparkSession, done)
+        alive, path = following, new
+    drop_path(df.sparkSession, path)
+    return rows.join(stay, "id", "left_semi").select(*named)
 
 
 def suppress_across_crops(df: DataFrame, image: str, ident: str, crop: str, limit: float = 0.7) -> DataFrame:

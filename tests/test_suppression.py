@@ -49,3 +49,12 @@ def test_one_image_is_dealt_over_tasks(spark):
     # a chain in which every other box stays, and a crowd of equal boxes
     boxes = spark.range(60_000).selectExpr("1 as image", "id", "if(id < 50000, id % 20000 * 10.0, 7e6) as x0", "0.0 as y0", "if(id < 50000, id % 20000 * 10.0, 7e6) + 9 as x1", "9.0 as y1", "1.0 / (id + 1) as score")
     assert suppression.suppress(boxes, "image", "id", 0.5).count() == 20_001
+
+
+def test_a_crowd_is_not_paired(spark):
+    # each of 30,000 boxes overlaps thousands of others; of 400 million pairs and more none is written
+    boxes = spark.range(30_000).selectExpr("1 as image", "id", "pmod(hash(id), 1000) / 5000.0 as x0", "pmod(hash(id, 7), 1000) / 5000.0 as y0", "pmod(hash(id, 9), 100000) / 1e5 as score")
+    boxes = boxes.selectExpr("*", "x0 + 0.2 as x1", "y0 + 0.2 as y1")
+    got = {tuple(r) for r in suppression.suppress(boxes, "image", "id", 0.5).collect()}
+    rows = [(r["image"], r["id"], r["x0"], r["y0"], r["x1"], r["y1"], r["score"]) for r in boxes.collect()]
+    assert got == greedy(sorted(rows, key=lambda r: (-r[6], r[1])), 0.5) and len(got) < 50
