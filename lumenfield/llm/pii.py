@@ -12,7 +12,9 @@ A span that cuts a word grows over it.
 Of spans that overlap, the set with the highest total confidence stays. Base spans always stay, and
 what the network adds has to touch none of them, to have the parts of its kind and to be sure.
 
-The network computes in single precision. A window whose characters all lie so far on the side of
+The network computes in single precision. A window that no span with the parts of its kind can come
+from, with no sign for at and too few digits in it or near it, is not computed: all that the network
+could say there would be dropped, so the result is that of all windows. A window whose characters all lie so far on the side of
 "no span" that no path of tags can win is "no span" throughout, without the sums of the CRF.
 
 Offsets are code points, ends exclusive. Null texts are empty; empty texts have no spans. Repeated
@@ -105,6 +107,8 @@ SHORT = FILL = 64
 SURE = 0.9
 #: A span this near to a window's inner edge is taken from the next window.
 EDGE = 4
+#: Characters of all windows of a block that are scored at once: what they need stays in a core's cache.
+AT_ONCE = 8
 #: Characters up to which a span is sure to be read whole: the longest address there may be.
 LONGEST = 254
 
@@ -269,41 +273,53 @@ class Reader:
 
     def __init__(self, model: Tagger):
         self.model, p = model, {k: v.astype(np.float32) for k, v in model.p.items()}
-        # what a character adds to the gates, and what the state does, gates x inputs x hidden; a gate is 1 / (1 + exp(z))
-        # with z turned about, and the new cell's tanh 2 / (1 + exp(z)) - 1
-        sign = np.float32([-1, -1, -1, -2])[:, None, None]
-        gates = lambda w: np.ascontiguousarray(w.reshape(len(w), 4, HIDDEN).transpose(1, 0, 2) * sign)
-        self.into = {d: gates(p["embed"] @ p[f"x{d}"] + p[f"c{d}"]) for d in "fb"}
-        self.again = {d: gates(p[f"h{d}"]) for d in "fb"}
-        self.out = {"f": p["out"][:HIDDEN], "b": p["out"][HIDDEN:]}
+        # what a step reads, half the state before it, the character's embedding and a 1, to the gates, with z turned about: a gate
+        # is 1 / (1 + exp(z)), and the new cell's tanh 2 / (1 + exp(z)) - 1
+        sign = np.repeat(np.float32([-1, -1, -1, -2]), HIDDEN)[:, None]
+        self.gates = np.stack([np.concatenate((2 * p[f"h{d}"], p[f"x{d}"], p[f"c{d}"][None])).T * sign for d in "fb"])
+        self.embed = p["embed"]
+        self.out = 2 * np.stack((p["out"][:HIDDEN].T, p["out"][HIDDEN:].T))
         self.bias = p["bias"][:, None]
+        self.held = np.empty(0, np.float32)
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        """Scores of tags, time x tags x rows, for rows of character numbers."""
+        """Scores of tags, time x tags x rows, for rows of character numbers; both directions step together."""
         rows, n = x.shape
-        em = np.broadcast_to(self.bias, (n, TAGS, rows)).copy()
         x = np.ascontiguousarray(x.T, np.intp)
-        kept, tanh = np.empty((n, rows, HIDDEN), np.float32), np.empty((rows, HIDDEN), np.float32)
-        z, own = np.empty((2, 4, rows, HIDDEN), np.float32)
-        i, f, o, new = z
+        shape = (n + 1, 2, self.gates.shape[2], rows)
+        if self.held.size < np.prod(shape):
+            self.held = np.empty(np.prod(shape), np.float32)
+        held = self.held[: np.prod(shape)].reshape(shape)
+        held[0, :, :HIDDEN], held[:-1, :, -1] = 0, 1
+        held[:-1, 0, HIDDEN:-1] = self.embed.take(x, axis=0).transpose(0, 2, 1)
+        held[:-1, 1, HIDDEN:-1] = held[-2::-1, 0, HIDDEN:-1]
+        z = np.empty((2, 4 * HIDDEN, rows), np.float32)
+        i, f, o, new = (z[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+        # minus twice the cell, whose tanh is 2 / (1 + exp(c)) - 1
+        c, tanh = np.zeros_like(new), np.empty_like(new)
         with np.errstate(over="ignore"):  # the gate is 0 then
-            for d in "fb":
-                h, c = np.zeros((2, rows, HIDDEN), np.float32)
-                for t in range(n) if d == "f" else range(n - 1, -1, -1):
-                    np.matmul(h, self.again[d], out=z)
-                    np.take(self.into[d], x[t], axis=1, out=own, mode="clip")
-                    np.add(z, own, out=z)
-                    np.exp(z, out=z)
-                    np.add(z, 1, out=z)
-                    np.reciprocal(z, out=z)
-                    np.multiply(new, 2, out=new)
-                    np.subtract(new, 1, out=new)
-                    np.multiply(c, f, out=c)
-                    np.multiply(new, i, out=new)
-                    np.add(c, new, out=c)
-                    np.tanh(c, out=tanh)
-                    h = np.multiply(o, tanh, out=kept[t])
-                em += (kept.reshape(-1, HIDDEN) @ self.out[d]).reshape(n, rows, TAGS).transpose(0, 2, 1)
+            for t in range(n):
+                np.matmul(self.gates, held[t], out=z)
+                np.exp(z, out=z)
+                np.add(z, 1, out=z)
+                np.divide(1, z[:, : 3 * HIDDEN], out=z[:, : 3 * HIDDEN])
+                np.divide(-4, new, out=new)
+                np.add(new, 2, out=new)
+                np.multiply(c, f, out=c)
+                np.multiply(new, i, out=new)
+                np.add(c, new, out=c)
+                np.exp(c, out=tanh)
+                np.add(tanh, 1, out=tanh)
+                np.divide(1, tanh, out=tanh)
+                np.subtract(tanh, 0.5, out=tanh)
+                np.multiply(o, tanh, out=held[t + 1, :, :HIDDEN])
+        em = np.empty((n, TAGS, rows), np.float32)
+        ahead, back = held[1:, 0, :HIDDEN], held[:0:-1, 1, :HIDDEN]
+        for t in range(0, n, AT_ONCE):
+            own = em[t : t + AT_ONCE]
+            np.matmul(self.out[0], ahead[t : t + AT_ONCE], out=own)
+            own += np.matmul(self.out[1], back[t : t + AT_ONCE])
+            own += self.bias
         return em
 
     def open_rows(self, em: np.ndarray) -> np.ndarray:
@@ -318,13 +334,18 @@ class Reader:
         begin = (step[first, inner] - step[0, 0]).astype(np.float32)[:, None]
         go = (step[inner, inner] - step[0, 0]).astype(np.float32)[:, None]
         leave = max(0.0, float(step[1:, 0].max() - step[0, 0]))
-        gain = em[:, 1:] - em[:, :1]
         b, i = np.full((2, len(KINDS), em.shape[2]), -1e9, np.float32)
         best = np.full((len(KINDS), em.shape[2]), -1e9, np.float32)
-        for t in range(len(em)):
-            i = np.maximum(b + begin, i + go) + gain[t, 1::2]
-            b = enter + gain[t, ::2]
-            np.maximum(best, np.maximum(b, i), out=best)
+        for t in range(0, len(em), AT_ONCE):
+            gain = em[t : t + AT_ONCE, 1:] - em[t : t + AT_ONCE, :1]
+            for own in gain:
+                np.add(b, begin, out=b)
+                np.add(i, go, out=i)
+                np.maximum(b, i, out=i)
+                np.add(i, own[1::2], out=i)
+                np.add(enter, own[::2], out=b)
+                np.maximum(best, b, out=best)
+                np.maximum(best, i, out=best)
         return np.flatnonzero(best.max(0) + leave > -1e-3)
 
 
@@ -450,31 +471,61 @@ def _read(texts: list[str], reader: Reader, jobs: list[tuple[int, int]], wide: i
     for k, a in jobs:
         by_width.setdefault(min(wide, -(-(len(texts[k]) - a) // FILL) * FILL), []).append((k, a))
     for width, own_jobs in by_width.items():
+        held, names = [], []
         for at in range(0, len(own_jobs), step):
             some = own_jobs[at : at + step]
             em = reader.emissions(codes("".join([texts[k][a : a + width].ljust(width) for k, a in some])).reshape(len(some), width))
             rows = reader.open_rows(em)
-            if not len(rows):
+            if len(rows):
+                held.append(em[:, :, rows])
+                names += [some[n] for n in rows.tolist()]
+            # few rows are open: those of several blocks are decoded together
+            if names and (len(names) >= step or at + step >= len(own_jobs)):
+                yield from _decode(reader.model, np.concatenate(held, 2).transpose(0, 2, 1).astype(np.float64, "C"), names)
+                held, names = [], []
+
+
+def _decode(model: Tagger, em: np.ndarray, names: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, int, str, float]]:
+    """Spans of the best tags in windows of one width, and their characters' mean probability."""
+    tags = model.viterbi(em)
+    rows = np.flatnonzero(tags.any(1))
+    sure = model.marginals(em[:, rows]) if len(rows) else None
+    for r, row in enumerate(rows.tolist()):
+        (k, a), own, t = names[row], tags[row], 0
+        while t < len(own):
+            if own[t] == 0 or own[t] % 2 == 0:
+                t += 1
                 continue
-            em = np.ascontiguousarray(em[:, :, rows].transpose(0, 2, 1), np.float64)
-            tags, sure = reader.model.viterbi(em), reader.model.marginals(em)
-            for r, (k, a) in enumerate([some[n] for n in rows.tolist()]):
-                own, t = tags[r], 0
-                while t < width:
-                    if own[t] == 0 or own[t] % 2 == 0:
-                        t += 1
-                        continue
-                    end = t + 1
-                    while end < width and own[end] == own[t] + 1:
-                        end += 1
-                    yield k, a, t, end, KINDS[(own[t] - 1) // 2], float(sure[np.arange(t, end), r, own[t:end]].mean())
-                    t = end
+            end = t + 1
+            while end < len(own) and own[end] == own[t] + 1:
+                end += 1
+            yield k, a, t, end, KINDS[(own[t] - 1) // 2], float(sure[np.arange(t, end), r, own[t:end]].mean())
+            t = end
+
+
+def windows(text: str) -> list[int]:
+    """Starts of the windows of a text that a plausible span can come from; every other span would be dropped by _plausible.
+
+    What a window can lead to, by itself or by what is read again for it and grows over the words that it cuts,
+    lies within 2 * LONGEST + EDGE characters about it. A plausible span has a sign for at, written or
+    spelled out, or four digits at least.
+    """
+    raw = np.frombuffer(f"\0{text}\0\0".encode("utf-32-le"), np.uint32)
+    lower = raw | np.uint32(32)
+    digit = raw - np.uint32(48) < 10
+    word = digit | (lower - np.uint32(97) < 26)
+    spelled = (lower[1:-2] == ord("a")) & (lower[2:-1] == ord("t")) & ~word[:-3] & ~word[3:]
+    signs, digits = np.flatnonzero(spelled | (raw[1:-2] == ord("@"))), np.flatnonzero(digit[1:-2])
+    # until one reaches the end
+    starts = np.arange(0, max(1, len(text) - WINDOW + STRIDE), STRIDE)
+    reach = 2 * LONGEST + EDGE
+    inside = lambda at: np.searchsorted(at, starts + WINDOW + reach) - np.searchsorted(at, starts - reach)
+    return starts[(inside(signs) > 0) | (inside(digits) >= 4)].tolist()
 
 
 def network_spans(texts: list[str], reader: Reader, step: int = 512) -> list[list[Span]]:
     """What the network finds in each text, all windows reconciled."""
-    # windows until one reaches the end
-    jobs = [(k, a) for k, text in enumerate(texts) if text for a in range(0, max(1, len(text) - WINDOW + STRIDE), STRIDE)]
+    jobs = [(k, a) for k, text in enumerate(texts) if text for a in windows(text)]
     found: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
     again: set[tuple[int, int]] = set()
 
@@ -530,7 +581,7 @@ def redacted(text: str, some: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find(docs: DataFrame, model: Tagger | None, rows: int = 256) -> DataFrame:
+def find(docs: DataFrame, model: Tagger | None, rows: int = 1024) -> DataFrame:
     """doc_id; n_email, n_ip, n_card, n_phone of base spans; base_sha256; spans; n_added."""
     ship_package(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -551,7 +602,7 @@ def find(docs: DataFrame, model: Tagger | None, rows: int = 256) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {counts}, base_sha256 string, spans string, n_added long")
 
 
-def redact(docs: DataFrame, model: Tagger | None, rows: int = 256) -> DataFrame:
+def redact(docs: DataFrame, model: Tagger | None, rows: int = 1024) -> DataFrame:
     """docs (all columns), texts with their spans replaced; null texts stay null."""
     ship_package(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -418,6 +418,37 @@ def test_reader_is_the_tagger_and_closes_only_rows_without_spans():
     assert 0 < spans.sum() and len(reader.open_rows(em)) < len(x) and set(np.flatnonzero(spans)) <= set(reader.open_rows(em).tolist())
 
 
+def test_windows_left_out_change_nothing(monkeypatch):
+    """Any network finds the same with and without the windows that no plausible span can come from; plain text is not computed."""
+    rng, read = random.Random(21), []
+
+    class Long(pii.Reader):
+        """A span from each h on that is an address, from each 1 an ip, from each 4 a card and from each + a phone."""
+
+        def emissions(self, x):
+            read.append(x.size)
+            em = np.full((x.shape[1], pii.TAGS, x.shape[0]), 10, np.float32)
+            em[:, 1::2] = np.stack([x.T == ord(c) for c in "h14+"], 1) * np.float32(100) - 40
+            em[:, 0] = 0
+            return em
+
+    model = pii.Tagger()
+    parts = ["@mail.ex", " at a.b", " AT x.", "[at] y dot z", "( at )b.c", "a.b", "1.2.3.5", "12", "+7 (299) 555-6503", "4222 2222 2222 2222", "٣٤", "é@é.c", "\u2003at\u2003c.d", "cat.", "at"]
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(1, 9)))
+    plain = lambda n: " ".join(word() for _ in range(n)).replace(" at ", " a t ")
+    texts = ["", "at", "1234", plain(2000)]
+    texts += ["".join(plain(rng.randint(0, 250)) + rng.choice(["", " "]) + rng.choice(parts) for _ in range(rng.randint(1, 5))) for _ in range(80)]
+    texts += [plain(60) + "x" * n + rng.choice(parts) + "x" * n + plain(200) for n in range(100, 400, 12)]
+    reader = Long(model)
+    monkeypatch.setattr(pii, "SURE", 0.0)
+    got, few = pii.network_spans(texts, reader), sum(read)
+    read.clear()
+    assert pii.network_spans([plain(3000)], reader) == [[]] and not read
+    monkeypatch.setattr(pii, "windows", lambda text: list(range(0, max(1, len(text) - pii.WINDOW + pii.STRIDE), pii.STRIDE)))
+    want = pii.network_spans(texts, reader)
+    assert got == want and sum(map(len, want)) > 50 and few < sum(read)
+
+
 def test_network_finds_held_out_altered_spans(spark):
     """Altered forms of personal data of documents that were not trained on: recall of each kind, and precision."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
