@@ -77,6 +77,10 @@ class Cache:
         self.young: dict[str, Any] = {}
         self.old: dict[str, Any] = {}
 
+    def peek(self, key: str) -> Any:
+        """The value of a key if it is kept."""
+        return self.young.get(key) or self.old.get(key)
+
     def values(self, keys: list[str]) -> list[Any]:
         """The value of each of some distinct keys; values may not be None."""
         found = list(map(self.young.get, keys))

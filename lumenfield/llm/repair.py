@@ -72,29 +72,38 @@ class Encoder:
 
     def _encode(self, keys: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(keys)
-        heads, tails, at = [], [], []
-        for k, found in enumerate(map(_WORD.fullmatch, keys)) if self.by_word else ():
-            if found and (head := found[1]).isalpha():
-                heads.append(head)
-                tails.append(found[2])
-                at.append(k)
-        after = {tail: self._library([tail])[0] for tail in dict.fromkeys(tails)}
-        for k, ids, tail in zip(at, self._words(heads), tails, strict=True):
-            out[k] = ids + after[tail]
+        # words as they are, and those with punctuation after them, whose own ids may be known already
+        words, tailed = [], []
+        for k, key in enumerate(keys) if self.by_word else ():
+            if key.isalpha():
+                words.append(k)
+            elif (found := _WORD.fullmatch(key)) and found[1].isalpha():
+                tailed.append((k, found[1], found[2]))
+        for k, ids in zip(words, self._words([keys[k] for k in words]), strict=True):
+            out[k] = ids
+        if tailed:
+            own = {keys[k]: out[k] for k in words}
+            known = {head: own.get(head) or self.cache.peek(head) for _, head, _ in tailed}
+            heads = [head for head, ids in known.items() if ids is None]
+            known.update(zip(heads, self._words(heads), strict=True))
+            tails = list(dict.fromkeys(tail for _, _, tail in tailed))
+            after = dict(zip(tails, self._library(tails), strict=True))
+            for k, head, tail in tailed:
+                out[k] = known[head] + after[tail]
         rest = [k for k, ids in enumerate(out) if ids is None]
         for k, ids in zip(rest, self._library([unit(keys[k]) for k in rest]), strict=True):
             out[k] = ids
         return out
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u2").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(x.ids, "<u2").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _words(self, words: list[str]) -> Iterator[bytes]:
         """Ids of words, each with the space before it."""
         tokenize = self.tokenizer.model.tokenize
-        shown = "\n".join(words).encode().decode("latin-1").translate(_SHOWN)
-        for word in shown.split(_SHOWN[10]) if words else ():
-            ids = array("H", [token.id for token in tokenize(_SHOWN[32] + word)])
+        shown = "".join(["\n " + word for word in words]).encode().decode("latin-1").translate(_SHOWN)
+        for word in shown.split(_SHOWN[10])[1:]:
+            ids = array("H", [token.id for token in tokenize(word)])
             if sys.byteorder == "big":
                 ids.byteswap()
             yield ids.tobytes()
@@ -232,7 +241,7 @@ class Block:
 _SCHEMA = "part int, block int, first long, n_docs int, n_ids long, doc_ids array<long>, grammar binary"
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, block: int = BLOCK, rows: int = 512) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, block: int = BLOCK, rows: int = 1024) -> None:
     """Write docs' ids to path, in ascending doc_id order over part and block."""
     spark = docs.sparkSession
     ship_package(spark)

@@ -100,6 +100,18 @@ def test_token_files_hold_special_tokens_as_the_library_does(spark):
         assert (got[k]["n_tokens"], got[k]["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), text
 
 
+def test_words_before_punctuation_are_encoded_once(monkeypatch):
+    path = P.path("byte_bpe_50k.json")
+    tok, own, asked = Tokenizer.from_file(path), repair.Encoder(path), []
+    words = own._words
+    monkeypatch.setattr(own, "_words", lambda x: asked.extend(x) or words(x))
+    texts = ["so onthe onthe. (onthe) onthe, erin erin; erin! é é. 12 12.", "onthe onthe? erin erin: tha. tha, tha 't. ", "", "a tha tha; \n onthe..."]
+    for text in texts:
+        ids, count = own.encode_all([text])
+        assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids and count.tolist() == [len(ids)]
+    assert {"onthe", "erin", "tha", "é"} <= set(asked) and len(asked) == len(set(asked))
+
+
 def test_grammar_decodes_any_part():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 60, 300)
