@@ -87,15 +87,16 @@ class Cache:
         absent = [i for i, v in enumerate(found) if v is None]
         if absent:
             names = [keys[i] for i in absent]
-            fresh = dict(zip(names, map(self.old.get, names), strict=True))
-            lost = [k for k, v in fresh.items() if v is None]
+            fresh = list(map(self.old.get, names))
+            lost = [i for i, v in enumerate(fresh) if v is None]
             if lost:
-                fresh.update(zip(lost, self.compute(lost), strict=True))
-            for i, k in zip(absent, names, strict=True):
-                found[i] = fresh[k]
+                for i, v in zip(lost, self.compute([names[i] for i in lost]), strict=True):
+                    fresh[i] = v
+            for i, v in zip(absent, fresh, strict=True):
+                found[i] = v
             if len(self.young) + len(fresh) > self.half:
                 self.old, self.young = self.young, {}
-            self.young.update([(k, v) for k, v in fresh.items() if len(k) <= self.longest][: self.half])
+            self.young.update([(k, v) for k, v in zip(names, fresh, strict=True) if len(k) <= self.longest][: self.half])
         return found
 
     def of(self, keys: pa.Array) -> tuple[list[Any], np.ndarray]:

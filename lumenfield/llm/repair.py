@@ -14,11 +14,11 @@ columns are ignored. A worker holds one block and one slice of texts.
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
 import struct
-import sys
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,7 +52,87 @@ def _shown() -> dict[int, str]:
 
 
 _SHOWN = _shown()
-_WORD = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
+#: The same as a table for charmap decoding.
+_TABLE = "".join(_SHOWN[b] for b in range(256))
+#: Words that the library's model takes in one call.
+_JOINED = 64
+#: A token with a space or a line end inside it, beside something else.
+_CROSSES = re.compile(f"[^{_SHOWN[32]}]{_SHOWN[32]}|{_SHOWN[10]}[^{_SHOWN[10]}]|[^{_SHOWN[10]}]{_SHOWN[10]}")
+#: Kinds of bytes: letters, digits and signs, which are always cut from each other, but nothing is cut after an apostrophe.
+_LETTER, _DIGIT, _SIGN, _APOSTROPHE, _SPACE, _LINE, _WHITE, _LATIN, _HIGH, _NOT_SURE = range(1, 11)
+
+
+def _kind(b: int) -> int:
+    c = chr(b)
+    if b < 128:
+        if c in " \n'":
+            return {" ": _SPACE, "\n": _LINE, "'": _APOSTROPHE}[c]
+        return _LETTER if c.isalpha() else _DIGIT if c.isdigit() else _SIGN if 32 < b < 127 else _WHITE
+    # C3 to C5 begin letters of Latin (and two signs); C2 and E1 to E3 may begin white space
+    return _LATIN if 0xC3 <= b <= 0xC5 else _NOT_SURE if b == 0xC2 or 0xE1 <= b <= 0xE3 else _HIGH
+
+
+_KINDS = bytes(map(_kind, range(256)))
+_SEEN = np.isin(np.arange(16), (_LETTER, _DIGIT, _SIGN, _APOSTROPHE, _LATIN, _HIGH))
+#: By the kinds before and after a place, as 16 of the one and one of the other.
+_CHANGES = np.zeros(256, bool)
+_CHANGES[[16 * a + b for a in (_LETTER, _DIGIT, _SIGN) for b in (_LETTER, _DIGIT, _SIGN, _APOSTROPHE) if a != b and (a, b) != (_SIGN, _APOSTROPHE)]] = True
+
+
+def stretches(texts: pa.Array, whole: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray]:
+    """Parts of texts (large strings, no null) that the byte-level cut can take alone, in one array, and each text's number of them.
+
+    A part begins at a space that stands alone between visible characters, at a line end that does
+    so and after it, and where letters, digits and ASCII signs change. The cut's pattern always has
+    a border there and looks no further. Texts marked in `whole` are cut at spaces alone.
+    """
+    if not len(texts):
+        return texts, np.zeros(0, np.int64)
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    first, n = int(ends[0]), int(ends[-1] - ends[0])
+    ends = ends - first
+    if not n:
+        return pa.array([], pa.large_string()), np.zeros(len(texts), np.int64)
+    data = texts.buffers()[2].slice(first, n)
+    # two bytes of white space on either side
+    raw = np.frombuffer(b"\t\t" + memoryview(data) + b"\t\t", np.uint8)
+    kind = np.frombuffer(raw.tobytes().translate(_KINDS), np.uint8)
+    before, last, here, after = kind[:-4], kind[1:-3], kind[2:-2], kind[3:-1]
+    # by the character that ends before each byte: a letter, or one that is surely visible
+    latin = (before == _LATIN) & (raw[1:-3] != 0x97) & (raw[1:-3] != 0xB7)
+    old = last.copy()
+    high = np.flatnonzero(last == _HIGH)
+    two = raw[high]
+    old[high] = np.where(latin[high], _LETTER, np.where((two == 0xC2) | (two == 0x80) | (two == 0x81) | (two == 0x9A), _NOT_SURE, _HIGH))
+    # by the one that begins there
+    new = here.copy()
+    at = np.flatnonzero(here == _LATIN)
+    new[at] = np.where((raw[at + 3] != 0x97) & (raw[at + 3] != 0xB7), _LETTER, _HIGH)
+    seen = _SEEN[old] & _SEEN[after]
+    lone = (here == _LINE) & seen
+    cut = _CHANGES[old * np.uint8(16) + new]
+    cut |= lone
+    cut[1:] |= lone[:-1]
+    if whole is not None and whole.any():
+        cut &= ~np.repeat(whole, np.diff(ends))
+    cut |= (here == _SPACE) & seen
+    # texts are cut from each other, and what is beside an end is no part of the text
+    starts = ends[:-1][np.diff(ends) > 0]
+    cut[starts] = True
+    at = np.append(np.flatnonzero(cut), n)
+    count = np.diff(np.searchsorted(at, ends))
+    return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64)), data), count
+
+
+def _between_words(token: str) -> bool:
+    """Whether a token of a byte-level vocabulary could come from the end of a word of letters and what follows it."""
+    if not _CROSSES.search(token):
+        return False
+    try:
+        text = bytes(_TABLE.index(c) for c in token).decode()
+    except ValueError:
+        return True
+    return any(c not in " \n" for c in text) and all(c in " \n" or c.isalpha() for c in text)
 
 
 class Encoder:
@@ -67,52 +148,61 @@ class Encoder:
         # a word of letters, and the ASCII punctuation after it, are pieces of the byte-level cut: the library's model can take them directly
         state = json.loads(self.tokenizer.to_str())
         cut = state["pre_tokenizer"] or {}
-        self.by_word = not state["normalizer"] and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
+        self.by_word = bool(not state["normalizer"] and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space"))
+        # words are merged many at a time: merges must be all there is to it, no token may lie across two words, and those that begin one tell where it begins
+        model, vocabulary = state["model"], self.tokenizer.get_vocab()
+        self.added = [x["content"] for x in state["added_tokens"]]
+        others = ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")
+        self.by_word = self.by_word and model["type"] == "BPE" and not any(map(model.get, others)) and not any(x.strip().isalpha() for x in self.added)
+        self.by_word = self.by_word and all(c in vocabulary for c in _TABLE) and not any(map(_between_words, vocabulary))
+        self.begins = np.zeros(1 << 16, bool)
+        self.begins[[k for token, k in vocabulary.items() if token[:1] in (_SHOWN[32], _SHOWN[10])]] = True
         self.cache = Cache(self._encode)
 
     def _encode(self, keys: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return self._library([unit(key) for key in keys])
+        # words of letters go to the model; what follows no space is read after a line end, whose id is dropped
+        asked = [key[1:] if key[0] == " " else "\n" + key for key in keys]
+        words = [k for k, key in enumerate(keys) if (asked[k] if key[0] == " " else key).isalpha()]
         out: list[bytes | None] = [None] * len(keys)
-        # words as they are, and those with punctuation after them, whose own ids may be known already
-        words, tailed = [], []
-        for k, key in enumerate(keys) if self.by_word else ():
-            if key.isalpha():
-                words.append(k)
-            elif (found := _WORD.fullmatch(key)) and found[1].isalpha():
-                tailed.append((k, found[1], found[2]))
-        for k, ids in zip(words, self._words([keys[k] for k in words]), strict=True):
-            out[k] = ids
-        if tailed:
-            own = {keys[k]: out[k] for k in words}
-            known = {head: own.get(head) or self.cache.peek(head) for _, head, _ in tailed}
-            heads = [head for head, ids in known.items() if ids is None]
-            known.update(zip(heads, self._words(heads), strict=True))
-            tails = list(dict.fromkeys(tail for _, _, tail in tailed))
-            after = dict(zip(tails, self._library(tails), strict=True))
-            for k, head, tail in tailed:
-                out[k] = known[head] + after[tail]
+        for k, ids in zip(words, self._words([asked[k] for k in words]), strict=True):
+            out[k] = ids if keys[k][0] == " " else ids[2:]
         rest = [k for k, ids in enumerate(out) if ids is None]
-        for k, ids in zip(rest, self._library([unit(keys[k]) for k in rest]), strict=True):
+        for k, ids in zip(rest, self._library([keys[k] for k in rest]), strict=True):
             out[k] = ids
         return out
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u2").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _words(self, words: list[str]) -> Iterator[bytes]:
-        """Ids of words, each with the space before it."""
-        tokenize = self.tokenizer.model.tokenize
-        shown = "".join(["\n " + word for word in words]).encode().decode("latin-1").translate(_SHOWN)
-        for word in shown.split(_SHOWN[10])[1:]:
-            ids = array("H", [token.id for token in tokenize(word)])
-            if sys.byteorder == "big":
-                ids.byteswap()
-            yield ids.tobytes()
-
-    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each with the space before it or with the line end that it begins with."""
+        tokenize, ids = self.tokenizer.model.tokenize, array("H")
+        for k in range(0, len(words), _JOINED):
+            raw = "".join([word if word[0] == "\n" else " " + word for word in words[k : k + _JOINED]]).encode()
+            ids.extend([token.id for token in tokenize(codecs.charmap_decode(raw, "strict", _TABLE)[0])])
+        flat = np.frombuffer(ids, np.uint16)
+        at = (2 * np.flatnonzero(self.begins[flat])).tolist()
+        raw = flat.astype("<u2").tobytes()
+        return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)] if at else []
+
+    def encode_all(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, one after the other, and each text's number of them."""
-        keys, count = units(texts)
+        if self.by_word:
+            column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string()).fill_null("")
+            keys, count = stretches(column, self._special(column))
+        else:
+            keys, count = units([t or "" for t in (texts.to_pylist() if isinstance(texts, pa.Array) else texts)])
         return gather(*self.cache.of(keys), count, "<u2")
 
+    def _special(self, texts: pa.Array) -> np.ndarray:
+        """Which texts hold an added token, that the library takes out before it cuts them."""
+        found = np.zeros(len(texts), bool)
+        for content in self.added:
+            found |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        return found
+
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
@@ -158,15 +248,16 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int) -> bytes:
         chosen = chosen[np.unique(table[_hash(chosen)])]
         table[:] = len(chosen)
         table[_hash(chosen)] = np.arange(len(chosen))
-        slot = table[_hash(pairs)]
-        hit = np.append(chosen, np.uint32(0))[slot] == pairs
-        hit &= inside & (slot < len(chosen))
-        at = np.flatnonzero(hit)
+        slot = table.take(_hash(pairs))
+        at = np.flatnonzero((slot < len(chosen)) & inside)
+        slot = slot.take(at)
+        hit = chosen.take(slot) == pairs.take(at)
+        at, slot = at[hit], slot[hit]
         # of hits in a row every second is taken, from the first on
-        fresh = np.concatenate(([True], at[1:] != at[:-1] + 1))
-        begin = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - begin) % 2 == 0]
-        symbols[at] = base + rules + slot[at]
+        begin = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1] + 1)))
+        odd = (np.arange(len(at)) - np.repeat(begin, np.diff(begin, append=len(at)))) & 1
+        at, slot = at[odd == 0], slot[odd == 0]
+        symbols[at] = base + rules + slot.astype(np.uint32)
         last[at] |= last[at + 1]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
@@ -234,8 +325,14 @@ class Block:
 
     def documents(self) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and each document's number of them."""
-        lengths = np.add.reduceat(self.size[self.symbols], self.starts[:-1])
-        return self.expand(self.symbols), lengths
+        size = self.size[self.symbols]
+        ends = np.cumsum(size)
+        lengths = np.add.reduceat(size, self.starts[:-1])
+        # each rule is expanded once, and its ids are copied to wherever it is used
+        rules = np.arange(self.base, len(self.size), dtype=np.uint16)
+        flat = np.concatenate((np.arange(self.base, dtype=np.uint16), self.expand(rules)))
+        begin = np.cumsum(self.size) - self.size
+        return flat.take(np.arange(self.total) + np.repeat(begin[self.symbols] - (ends - size), size)), lengths
 
 
 _SCHEMA = "part int, block int, first long, n_docs int, n_ids long, doc_ids array<long>, grammar binary"
@@ -264,7 +361,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, block: in
 
         for batch in batches:
             for piece in pieces(batch, rows):
-                flat, count = own.encode_all([t or "" for t in piece.column("text").to_pylist()])
+                flat, count = own.encode_all(piece.column("text"))
                 for doc, x in zip(piece.column("doc_id").to_pylist(), np.split(flat, np.cumsum(count)[:-1]), strict=True):
                     held.append(doc)
                     ids += [x, end]

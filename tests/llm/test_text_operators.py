@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -112,6 +114,51 @@ def test_words_before_punctuation_are_encoded_once(monkeypatch):
     assert {"onthe", "erin", "tha", "é"} <= set(asked) and len(asked) == len(set(asked))
 
 
+def test_words_at_signs_and_line_ends_go_to_the_model_together(monkeypatch):
+    path = P.path("byte_bpe_50k.json")
+    tok, own, asked, whole, calls = Tokenizer.from_file(path), repair.Encoder(path), [], [], []
+    words, library = own._words, own._library
+    monkeypatch.setattr(own, "_words", lambda x: calls.append(len(x)) or asked.extend(x) or words(x))
+    monkeypatch.setattr(own, "_library", lambda x: whole.extend(x) or library(x))
+    texts = ["onthe.\nErwhhe, (tstha) éreèlle;\nÑdo ßa1 it's", "Erwhhe.\nonthe,onthe 12.5 *tstha*"]
+    ids, count = own.encode_all(texts)
+    want = [tok.encode(text, add_special_tokens=False).ids for text in texts]
+    assert ids.tolist() == sum(want, []) and count.tolist() == list(map(len, want))
+    assert calls == [len(set(asked))] and {"\nonthe", "\nErwhhe", "\ntstha", "éreèlle", "\nÑdo", "ßa"} <= set(asked)
+    assert [x for x in whole if any(map(str.isalpha, x))] == ["'s"]
+
+
+def test_token_ids_of_any_mixture_equal_the_library():
+    path = P.path("byte_bpe_50k.json")
+    tok, own, rng = Tokenizer.from_file(path), repair.Encoder(path), random.Random(18)
+    parts = [*" \n\n  aZé×÷ßŁªº½٣7日　。😀…«»'-.,!(\t\r\x0b\x1c\x85\xa0\u1680\u2003\u2028\u200b\u202f\u205f\u0301\u00ad\0\x7f"]
+    parts += ["word", "über", "l'été", "don't", "'s", "'ll", "'re", "''", "('ve", "\n\n", " \n", "4711", "Ġ", "Ċ", "à", "<|endoftext|>", "<|", "  "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    texts += ["".join(rng.choice(parts[:40]) + rng.choice(["a", "é", "", " "]) for _ in range(rng.randint(0, 9))) for _ in range(10_000)]
+    texts += ["", None, "x" * 3000, "é, " * 500]
+    assert own.by_word and [len(x) for x in own.encode_all([])] == [0, 0]
+    for at in range(0, len(texts), 1500):
+        some = texts[at : at + 1500]
+        ids, count = own.encode_all(pa.array(some, pa.string())[1:])
+        for text, got in zip(some[1:], np.split(ids, np.cumsum(count)[:-1]), strict=True):
+            assert got.tolist() == tok.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
+def test_tokenizers_whose_words_cannot_be_joined_encode_whole_parts(tmp_path):
+    state, texts = json.loads(open(P.path("byte_bpe_50k.json")).read()), ["one two,three\nfour one", "", " five"]
+    merges = lambda s: s["model"].update(ignore_merges=True)
+    token = lambda s: s["added_tokens"].append(s["added_tokens"][0] | {"id": len(s["model"]["vocab"]) + 1, "content": "two"})
+    across = lambda s: s["model"]["merges"].append("e Ġ" if isinstance(s["model"]["merges"][0], str) else ["e", "Ġ"]) or s["model"]["vocab"].update({"eĠ": 50257})
+    for k, change in enumerate((merges, token, across)):
+        own = json.loads(json.dumps(state))
+        change(own)
+        (tmp_path / f"{k}.json").write_text(json.dumps(own))
+        tok, encoder = Tokenizer.from_file(str(tmp_path / f"{k}.json")), repair.Encoder(str(tmp_path / f"{k}.json"))
+        want = [tok.encode(text, add_special_tokens=False).ids for text in texts]
+        ids, count = encoder.encode_all(texts)
+        assert not encoder.by_word and ids.tolist() == sum(want, []) and count.tolist() == list(map(len, want))
+
+
 def test_grammar_decodes_any_part():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 60, 300)
